@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+Every source is a batch table read to its end and every report is a date range around an
+explicit as-of day, so there is no stream, watermark or keyed state to rebuild.
+"""
