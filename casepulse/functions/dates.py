@@ -38,28 +38,45 @@ def bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
 
 
+def days_in_mask(mask: Column) -> Column:
+    return F.coalesce(F.bit_count(mask), F.lit(0)).cast("long")
+
+
 def distinct_bits(position: Column) -> Column:
     """Aggregate: how many different positions (0..62) occur; NULL positions do not count.
 
     One BIGINT per group combines on the map side, so unlike a distinct count it needs no
     second exchange and a hot key shuffles one row per map task.
     """
-    return F.coalesce(F.bit_count(F.bit_or(bit(position))), F.lit(0)).cast("long")
+    return days_in_mask(F.bit_or(bit(position)))
+
+
+def day_mask(date: Column, start: dt.date, end: dt.date) -> Column:
+    """Aggregate: one bit per day of [start, end] that occurs; NULL when none does."""
+    if (end - start).days >= MASK_BITS:
+        raise ValueError(f"a window holds at most {MASK_BITS} days")
+    inside = date.between(F.lit(start), F.lit(end))
+    return F.bit_or(bit(F.when(inside, F.datediff(date, F.lit(start)))))
 
 
 def distinct_days(date: Column, start: dt.date, end: dt.date) -> Column:
     """Aggregate: number of different days within [start, end]; other days do not count."""
-    inside = date.between(F.lit(start), F.lit(end))
     if (end - start).days < MASK_BITS:
-        return distinct_bits(F.when(inside, F.datediff(date, F.lit(start))))
-    return F.count_distinct(F.when(inside, date))
+        return days_in_mask(day_mask(date, start, end))
+    return F.count_distinct(F.when(date.between(F.lit(start), F.lit(end)), date))
 
 
 def weekday_name(date: Column) -> Column:
     return F.date_format(date, "EEEE")
 
 
-def interval_label(ts: Column, hours: int = 4) -> Column:
-    """``08:00 - 12:00`` for the ``hours``-long bucket of the day that holds ``ts``."""
-    start = F.floor(F.hour(ts) / F.lit(hours)).cast("int") * F.lit(hours)
+def weekday_label(weekday: Column) -> Column:
+    """Name of a weekday number, Monday = 0."""
+    # 1970-01-05 was a Monday.
+    return weekday_name(F.date_add(F.lit(dt.date(1970, 1, 5)), weekday))
+
+
+def interval_label(bucket: Column, hours: int = 4) -> Column:
+    """``08:00 - 12:00`` for bucket 2 of the ``hours``-long parts of a day."""
+    start = bucket * F.lit(hours)
     return F.format_string("%02d:00 - %02d:00", start, start + F.lit(hours))

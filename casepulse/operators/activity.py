@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.functions import text
-from casepulse.functions.dates import days, distinct_days
+from casepulse.functions.dates import day_mask, days, days_in_mask, distinct_days
 from casepulse.functions.numbers import total
 from casepulse.operators.keyed import distinct_keys, left_join_hot
 from casepulse.schemas import CHURN_TIERS, Tier
@@ -142,16 +142,27 @@ def daily_volume(
     start, end = as_of - days(window_days), as_of - days(1)
     inside = F.col(DATE).between(F.lit(start), F.lit(end))
     today = F.col(DATE) == F.lit(as_of)
-    return (
+    cases = F.col("total_case")
+    # The name is a key of the first aggregate, which so stays a hash aggregate; only its short
+    # result is sorted for the smallest name.
+    per_name = (
         daily.dropna(subset=["client_fk"])
         .filter(F.col(DATE).between(F.lit(start), F.lit(as_of)))
-        .groupBy("client_fk")
+        .groupBy("client_fk", "client_name")
+        .agg(
+            day_mask(F.col(DATE), start, end).alias("seen"),
+            F.sum(F.when(inside, cases)).alias("cases"),
+            F.count(F.when(inside, cases)).alias("rows"),
+            F.when(F.count_if(today) > 0, total(F.when(today, cases))).alias("cases_today"),
+        )
+    )
+    return (
+        per_name.groupBy("client_fk")
         .agg(
-            *_activity(start, end),
-            F.min(F.when(inside, F.col("client_name"))).alias("client_name"),
-            F.when(F.count_if(today) > 0, total(F.when(today, F.col("total_case")))).alias(
-                "cases_today"
-            ),
+            days_in_mask(F.bit_or("seen")).alias("active_days"),
+            F.try_divide(F.sum("cases"), F.sum("rows")).alias("avg_case_load"),
+            F.min(F.when(F.col("seen").isNotNull(), F.col("client_name"))).alias("client_name"),
+            F.sum("cases_today").alias("cases_today"),
         )
         .filter(F.col("avg_case_load") > min_avg_load)
     )

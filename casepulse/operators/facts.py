@@ -23,6 +23,22 @@ def client_day(cases: DataFrame, keys: Sequence[str], ts: str = "created_at") ->
     )
 
 
+def by_client_id(daily: DataFrame) -> DataFrame:
+    """The daily fact as the weekday, comparison and trend reports read it."""
+    return daily.withColumnRenamed("client_fk", "client_id")
+
+
+def timed_cases(studies: DataFrame, clients: DataFrame) -> DataFrame:
+    """Completed cases with their time of day, one row each, for the hourly reports."""
+    names = clients.select(F.col("id").alias("client_id"), "client_name")
+    cases = studies.filter(F.col("status") == "COMPLETED").select(
+        F.col("client_fk").alias("client_id"),
+        F.col("created_at").alias("case_receiving_date"),
+        F.lit(1).cast("long").alias("total_case"),
+    )
+    return cases.join(names, "client_id")
+
+
 def missing_tat_value(mode: str) -> int | None:
     """The turn-around time of a case without one: 0 and so within target, or left out."""
     return {"zero": 0, "exclude": None}[mode]

@@ -169,7 +169,11 @@ def _joined_baselines(
 def _single_pass_baselines(
     daily: DataFrame, as_of: dt.date, year_aware: bool, whole_weeks: bool
 ) -> DataFrame:
-    """All sums and period means from one aggregate per client; only the weekday mean joins."""
+    """All sums and period means from one hash aggregate per client.
+
+    The names join from today's rows alone: a minimum over text would make Spark sort the whole
+    history for this aggregate.
+    """
     today = _day() == F.lit(as_of)
     yesterday = _day() == F.lit(as_of - days(1))
     week = _week_rows(as_of)
@@ -182,8 +186,7 @@ def _single_pass_baselines(
         .filter(today | yesterday | week | month | weeks.rows | months.rows)
         .groupBy("client_id")
         .agg(
-            F.min(F.when(today, F.col("client_name"))).alias("client_name"),
-            F.when(F.count_if(today) > 0, total(F.when(today, cases))).alias("today_case"),
+            total(F.when(today, cases)).alias("today_case"),
             F.when(F.count_if(yesterday) > 0, total(F.when(yesterday, cases))).alias(
                 "yesterday_case_count"
             ),
@@ -192,9 +195,11 @@ def _single_pass_baselines(
             _mean_per_period(weeks).alias("avg_case_count_last_3_weeks"),
             _mean_per_period(months).alias("avg_case_count_last_3_months"),
         )
-        .filter(F.col("today_case").isNotNull())
     )
-    return summed.join(last_same_weekdays(daily, as_of=as_of), "client_id", "left")
+    names = today_cases(daily, as_of=as_of).select("client_id", "client_name")
+    return names.join(summed, "client_id").join(
+        last_same_weekdays(daily, as_of=as_of), "client_id", "left"
+    )
 
 
 def trend_report(

@@ -11,7 +11,7 @@ from casepulse.functions.dates import (
     distinct_bits,
     interval_label,
     same_weekday_dates,
-    weekday_name,
+    weekday_label,
 )
 from casepulse.functions.numbers import pct_diff, round_pct, total
 
@@ -110,11 +110,23 @@ def same_weekday_hourly(
 
 
 def weekday_interval_baseline(cases: DataFrame, *, hours: int = 4) -> DataFrame:
-    """Mean cases per client, weekday and time interval, over the days that have any."""
+    """Mean cases per client, weekday and time interval, over the days that have any.
+
+    Rows group by numbers; the labels are made once per result row.
+    """
     day = F.to_date(TS)
-    per_day = cases.dropna(subset=["client_id", TS]).groupBy(
-        "client_id", day.alias("day"), interval_label(F.col(TS), hours).alias("time_interval")
-    ).agg(total("total_case").alias("cases"))
-    return per_day.groupBy(
-        "client_id", weekday_name(F.col("day")).alias("Day of Week"), "time_interval"
-    ).agg(F.avg("cases").alias("average_cases"))
+    bucket = F.floor(F.hour(TS) / F.lit(hours)).cast("int")
+    per_day = (
+        cases.dropna(subset=["client_id", TS])
+        .groupBy("client_id", day.alias("day"), bucket.alias("bucket"))
+        .agg(total("total_case").alias("cases"))
+    )
+    means = per_day.groupBy("client_id", F.weekday("day").alias("weekday"), "bucket").agg(
+        F.avg("cases").alias("average_cases")
+    )
+    return means.select(
+        "client_id",
+        weekday_label(F.col("weekday")).alias("Day of Week"),
+        interval_label(F.col("bucket"), hours).alias("time_interval"),
+        "average_cases",
+    )
