@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import json
+from urllib.parse import parse_qs
+
+import pytest
+from pyspark.sql import functions as F
+
+from casepulse.operators import contacts, outbox
+from tests.conftest import rows_of
+
+COUNTS = contacts.RECENT_COUNTS
+SCHEMA = (
+    "created_id long, client_fk long, contact_fk long, trigger boolean, Client_Name string, phone_number string, email string,"
+    + ",".join(f"{name} long" for name in COUNTS)
+)
+FILLED = (3, 2, 1, 8, 8, 0, 0, 0, 0, 1, 0, 4)
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return spark.createDataFrame(
+        [
+            (7, 1, 10, True, "one", "+91-9876543210", "a@example.org", *FILLED),
+            (8, 1, 11, False, "one", "12345", "", *FILLED),
+            (9, 2, 12, True, "two", None, "b@example.org", *(0,) * 12),
+            (10, 3, 13, True, "three", "", None, *(None,) * 12),
+        ],
+        SCHEMA,
+    )
+
+
+def build(rows, **options):
+    return outbox.message_outbox(rows, template_id="t-1", source="910000000000", sender="app", **options)
+
+
+def test_messages(rows):
+    got = {row.created_id: row for row in build(rows, link_base="https://example.org/?id=").collect()}
+    assert set(got) == {7, 8, 10}
+    assert (got[7].destination, got[7].phone_valid) == ("919876543210", True)
+    assert (got[8].destination, got[8].phone_valid) == ("12345", False)
+    assert got[7].feedback_link == "https://example.org/?id=7"
+    assert got[7].params == [
+        "60", "3", "2", "66.67%", "1", "33.33%",
+        "120", "8", "8", "100.00%", "0", "0.00%",
+        "180", "0", "0", "0.00%", "0", "0.00%",
+        "2400", "1", "0", "0.00%", "4", "400.00%",
+        "7",
+    ]
+    assert got[10].params[1:6] == ["0", "0", "0.00%", "0", "0.00%"]
+    form = parse_qs(got[7].body)
+    assert form["destination"] == ["919876543210"] and form["src.name"] == ["app"]
+    assert json.loads(form["template"][0]) == {"id": "t-1", "params": got[7].params}
+
+
+def test_only_triggered(rows):
+    assert rows_of(build(rows, only_triggered=True), "created_id") == [(7,), (10,)]
+
+
+def test_absent_columns_count_as_zero(rows):
+    got = build(rows.drop("Last_30_NM_Rework", "Last_30_NM_Count")).filter("created_id = 7").first()
+    assert got.params[18:24] == ["2400", "0", "0", "0.00%", "0", "0.00%"]
+
+
+def test_mail_rows_hold_used_modalities(rows):
+    got = outbox.modality_payload(rows).collect()
+    assert [row.created_id for row in got] == [7]
+    assert [tuple(entry) for entry in got[0].modality_data] == [
+        ("XRAY", 3, "60 Mins", 2, pytest.approx(200 / 3), 1),
+        ("CT", 8, "120 Mins", 8, 100.0, 0),
+        ("NM", 1, "240 Mins", 0, 0.0, 4),
+    ]
+    mails = outbox.mail_recipients(outbox.modality_payload(rows), F.array(F.lit("cc@example.org")))
+    assert [tuple(entry) for entry in mails.first().recipients] == [("a@example.org", "to"), ("cc@example.org", "cc")]
+
+
+def test_delivery_log(spark):
+    log = spark.createDataFrame([(1, '{"status":"sent"}'), (2, "oops")], "message_id long, response string")
+    assert rows_of(outbox.delivery_status(log), "message_id", "status_code") == [(1, 202), (2, 500)]

@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from casepulse.operators import contacts, survey
+from tests.conftest import rows_of
+
+NOW = dt.datetime(2024, 11, 13, 9, 30)
+RECENT = contacts.RECENT_COUNTS
+REACHABLE = (
+    "client_fk long, churn_type string, active_days long, avg_case_load double, client_active_type string,"
+    "contact_fk long, unique_id string, Client_Name string, phone_number string, email string,"
+    + ",".join(f"{name} long" for name in RECENT)
+)
+
+
+def reachable_row(client, contact, tier="t1", phone="9876543210", email="a@example.org"):
+    return (client, tier, 30, 6.5, "DAU", contact, f"U{client}", f"c{client}", phone, email, *range(len(RECENT)))
+
+
+@pytest.fixture(scope="module")
+def make(spark, table):
+    def run(rows, log=(), **options):
+        return survey.survey_entries(
+            spark.createDataFrame(rows, REACHABLE), table("client_survey", log), as_of_ts=NOW,
+            tier_order=["t1", "t2", "t3"], **options,
+        )
+
+    return run
+
+
+def entry(number, contact, age, trigger=True):
+    ts = NOW - age
+    return (number, contact, 1, "DAU", "t1", None, trigger, ts, ts)
+
+
+def test_directory(table):
+    clients = table("clients", [(1, "one", None, None, 0, "U1", "one@example.org"), (2, "two", None, None, 0, "U2", None),
+                                (3, "gone", None, None, 0, "U3", None)])
+    people = table("client_contacts", [(10, 1, "NA", "x@example.org", '["Head","Owner"]', "a"), (11, 1, None, None, None, None),
+                                       (12, 1, "5", None, None, None), (30, 3, "6", None, None, None), (90, 9, "7", None, None, None)])
+    got = contacts.contact_directory(clients, people, exclude=[3])
+    assert rows_of(got, "client_fk", "contact_fk", "phone_number", "email", "designation") == sorted([
+        (1, 10, None, "x@example.org", "Head,Owner"),
+        (1, 11, None, None, None),
+        (1, 12, "5", None, None),
+        (1, 0, None, "one@example.org", None),
+        (2, 0, "", "", ""),
+        (2, 0, None, None, None),
+    ], key=lambda row: tuple((v is not None, str(type(v)), v) for v in row))
+
+
+def test_churn_contacts(spark, table):
+    churn = spark.createDataFrame(
+        [(1, 30, 6.5, "DAU", "t1"), (2, 28, 7.0, "DAU", "t2")],
+        "client_fk long, active_days long, avg_case_load double, client_active_type string, churn_category string",
+    )
+    directory = spark.createDataFrame(
+        [(1, 10, "U1", "one", "1", None, "d", "p"), (1, 11, "U1", "one", "", "", "d", "p"), (1, 12, "U1", "one", "NA", None, "d", "p"),
+         (1, 13, "U1", "one", None, "e", "d", "p"), (5, 50, "U5", "five", "1", None, "d", "p")],
+        "client_fk long, contact_fk long, unique_id string, client_name string, phone_number string, email string, designation string, persona_type string",
+    )
+    modality = spark.createDataFrame([(1, *range(12), 99)], "client_fk long," + ",".join(f"{c} long" for c in RECENT) + ", CT_Count long")
+    got = contacts.churn_contacts(churn, directory, modality)
+    assert got.columns == [
+        "client_fk", "churn_type", "active_days", "avg_case_load", "client_active_type", "contact_fk", "unique_id",
+        "Client_Name", "phone_number", "email", *RECENT,
+    ]
+    assert rows_of(got, "client_fk", "contact_fk", "Last_30_XRAY_Rework") == [
+        (1, 10, 2), (1, 11, 2), (1, 12, 2), (1, 13, 2), (2, None, None),
+    ]
+    got = contacts.reachable_contacts(churn, directory, modality)
+    assert rows_of(got, "client_fk", "contact_fk") == [(1, 10), (1, 13)]
+
+
+@pytest.mark.parametrize(
+    "ages, trigger",
+    [
+        ([], True),
+        ([dt.timedelta(days=6, hours=23)], False),
+        ([dt.timedelta(days=7)], False),
+        ([dt.timedelta(days=7, seconds=1)], True),
+        ([dt.timedelta(days=30), dt.timedelta(days=2)], False),
+        ([dt.timedelta(0)], True),
+    ],
+)
+def test_cool_down(make, ages, trigger):
+    got = make([reachable_row(1, 10)], [entry(i, 10, age) for i, age in enumerate(ages)])
+    assert rows_of(got, "contact_fk", "trigger", "created_at") == [(10, trigger, NOW)]
+
+
+def test_cool_down_may_count_triggered_entries_only(make):
+    log = [entry(1, 10, dt.timedelta(days=9)), entry(2, 10, dt.timedelta(days=2), trigger=False)]
+    assert rows_of(make([reachable_row(1, 10)], log), "trigger") == [(False,)]
+    assert rows_of(make([reachable_row(1, 10)], log, cooldown_on="triggered"), "trigger") == [(True,)]
+
+
+def test_one_entry_per_contact_in_tier_and_client_order(make):
+    rows = [reachable_row(5, 0, "t2"), reachable_row(4, 0, "t2"), reachable_row(9, 0, "t1"), reachable_row(9, 7, "t3"),
+            reachable_row(1, 8, "unlisted"), reachable_row(2, 8, "t3"), reachable_row(3, None, "t1")]
+    assert rows_of(make(rows), "contact_fk", "client_fk") == [(None, 3), (0, 9), (7, 9), (8, 2)]
+    got = make(rows, dedup_keys=("client_fk", "contact_fk"))
+    assert len(rows_of(got)) == len(rows)
+
+
+def test_missing_contact_finds_no_earlier_entry(make):
+    got = make([reachable_row(1, None)], [entry(1, None, dt.timedelta(days=1))])
+    assert rows_of(got, "contact_fk", "trigger") == [(None, True)]
+
+
+def test_ids_are_consecutive_whatever_the_key_distribution(spark, make, table):
+    rng = random.Random(2)
+    rows = [reachable_row(1 if rng.random() < 0.5 else i, i) for i in range(1000)] + [reachable_row(3, None)]
+    log = table("client_survey", [entry(41, 5, dt.timedelta(days=1)), entry(900, 6, dt.timedelta(0))])
+    created = survey.with_created_id(make(rows), log, as_of_ts=NOW)
+    ids = [row.created_id for row in created.select("created_id").collect()]
+    # Entry 900 stems from an earlier attempt of the same run.
+    assert sorted(ids) == list(range(42, 42 + 1001))
+    again = survey.with_created_id(make(rows).repartition(7), log, as_of_ts=NOW)
+    assert rows_of(created) == rows_of(again)
+
+
+def test_new_entries_skip_those_held(make, table):
+    entries = make([reachable_row(1, 10), reachable_row(1, 11), reachable_row(2, None)])
+    log = table("client_survey", [entry(1, 10, dt.timedelta(0)), entry(2, 11, dt.timedelta(days=1))])
+    created = survey.with_created_id(entries, log, as_of_ts=NOW)
+    assert rows_of(survey.new_entries(created, log), "contact_fk") == [(None,), (11,)]
+    again = survey.new_entries(created, survey.new_entries(created, log).unionByName(log))
+    assert rows_of(again) == []
+
+
+def test_merge_and_notify(spark, make, table):
+    rows = [reachable_row(1, 10), reachable_row(2, 11), reachable_row(3, None)]
+    log = table("client_survey", [entry(1, 11, dt.timedelta(days=1))])
+    created = survey.with_created_id(make(rows, [entry(1, 11, dt.timedelta(days=1))]), log, as_of_ts=NOW)
+    merged = survey.survey_merged(created, spark.createDataFrame(rows, REACHABLE))
+    assert rows_of(merged, "client_fk", "contact_fk", "trigger", "Client_Name") == [
+        (1, 10, True, "c1"), (2, 11, False, "c2"), (3, None, True, "c3"),
+    ]
+    assert rows_of(survey.survey_to_notify(merged), "client_fk") == [(1,), (3,)]
+    directory = spark.createDataFrame(
+        [(1, 10, "U", "n", "p", "e", "d", "t"), (1, 12, "U", "n", "p", "e", "d", "t")],
+        "client_fk long, contact_fk long, unique_id string, client_name string, phone_number string, email string, designation string, persona_type string",
+    )
+    fanned = survey.survey_merged_by_client(created, directory)
+    assert rows_of(fanned, "client_fk", "contact_fk_x", "contact_fk_y") == [(1, 10, 10), (1, 10, 12), (2, 11, None), (3, None, None)]
+
+
+def test_history(table):
+    got = survey.survey_history(table("client_survey", [entry(3, 10, dt.timedelta(days=1))]))
+    assert rows_of(got) == [(dt.date(2024, 11, 12), 3, 1, 10, "DAU", "t1", None, True)]

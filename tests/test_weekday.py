@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+
+from casepulse.operators import weekday
+from tests.conftest import rows_of
+
+AS_OF = dt.date(2024, 9, 23)
+SCHEMA = "client_id long, client_name string, case_receiving_date {}, total_case long"
+
+
+def back(n):
+    return AS_OF - dt.timedelta(days=n)
+
+
+@pytest.fixture(scope="module")
+def daily(spark):
+    return lambda rows: spark.createDataFrame(rows, SCHEMA.format("date"))
+
+
+@pytest.fixture(scope="module")
+def timed(spark):
+    return lambda rows: spark.createDataFrame(rows, SCHEMA.format("timestamp_ntz"))
+
+
+def test_drop_against_days_present(daily):
+    rows = [
+        (1, "a", back(7), 10), (1, "a", back(7), 2), (1, "a", back(28), 4), (1, "a", AS_OF, 6),
+        (1, "a", back(35), 1000), (1, "a", back(6), 1000),
+        (2, "b", back(7), 5), (2, "b", AS_OF, 5),
+        (3, "c", back(14), 5),
+        (4, "d", AS_OF, 5),
+        (None, "e", back(7), 5), (5, None, back(7), 5),
+        (6, "f", back(7), 3), (6, "f", AS_OF, None),
+    ]
+    got = weekday.same_weekday_drop(daily(rows), as_of=AS_OF)
+    assert rows_of(got) == [(1, "a", 6, 8.0, -25.0), (6, "f", 0, 3.0, -100.0)]
+    got = weekday.same_weekday_drop(daily(rows), as_of=AS_OF, include_silent=True)
+    assert rows_of(got) == [(1, "a", 6, 8.0, -25.0), (3, "c", 0, 5.0, -100.0), (6, "f", 0, 3.0, -100.0)]
+
+
+def test_today_counts_under_the_smallest_past_name(daily):
+    rows = [(1, "b", back(7), 8), (1, "c", back(7), 4), (1, "a", AS_OF, 1), (1, "b", AS_OF, 2), (1, "c", AS_OF, 3)]
+    assert rows_of(weekday.same_weekday_drop(daily(rows), as_of=AS_OF)) == [(1, "b", 2, 6.0, -66.67)]
+    renamed = [(1, "b", back(7), 8), (1, "a", AS_OF, 1)]
+    assert rows_of(weekday.same_weekday_drop(daily(renamed), as_of=AS_OF)) == []
+
+
+def test_zero_history_is_no_drop(daily):
+    assert rows_of(weekday.same_weekday_drop(daily([(1, "a", back(7), 0), (1, "a", AS_OF, 0)]), as_of=AS_OF)) == []
+
+
+def at(n, hour):
+    return dt.datetime.combine(back(n), dt.time(hour, 30))
+
+
+def test_hours(timed):
+    rows = [
+        (1, "a", at(7, 9), 3), (1, "a", at(14, 9), 3), (1, "a", at(0, 9), 1),
+        (1, "a", at(0, 10), 2),
+        (1, "a", at(21, 11), 1),
+        (1, "a", at(7, 12), 0), (1, "a", at(0, 12), 0),
+        (1, "a", at(35, 9), 50), (1, "a", at(1, 9), 50), (1, "a", None, 50),
+    ]
+    df = timed(rows)
+    got = weekday.same_weekday_hourly(df, as_of=AS_OF)
+    assert rows_of(got, "hour", "case_count", "avg_case_count", "case_diff_pct") == [
+        (9, 1, 1.5, -33.33), (10, 2, 0.0, 0.0), (11, 0, 0.25, -100.0), (12, 0, 0.0, None),
+    ]
+    got = weekday.same_weekday_hourly(df, as_of=AS_OF, divisor="present", zero_baseline=None)
+    assert rows_of(got, "hour", "avg_case_count", "case_diff_pct") == [
+        (9, 3.0, -66.67), (10, 0.0, None), (11, 1.0, -100.0), (12, 0.0, None),
+    ]
+
+
+def test_interval_baseline(timed):
+    rng = random.Random(5)
+    rows = [
+        (rng.choice([1, 1, 2]), "x", dt.datetime(2024, 9, rng.randint(1, 30), rng.randint(0, 23), 59), rng.randint(1, 3))
+        for _ in range(200)
+    ] + [(None, "x", at(0, 1), 1), (1, "x", None, 1)]
+    per_day = {}
+    for client, _, ts, cases in rows:
+        if client and ts:
+            key = (client, ts.date(), ts.hour // 4 * 4)
+            per_day[key] = per_day.get(key, 0) + cases
+    groups = {}
+    for (client, day, start), cases in per_day.items():
+        label = f"{start:02d}:00 - {start + 4:02d}:00"
+        groups.setdefault((client, day.strftime("%A"), label), []).append(cases)
+    want = sorted((*key, sum(v) / len(v)) for key, v in groups.items())
+    got = weekday.weekday_interval_baseline(timed(rows))
+    assert got.columns == ["client_id", "Day of Week", "time_interval", "average_cases"]
+    assert rows_of(got) == want
