@@ -97,7 +97,11 @@ def churn(
         ),
         "modality",
     )
-    directory = _directory(spark, inputs)
+    directory = stage(
+        spark,
+        _directory(spark, inputs).join(churned.select("client_fk"), "client_fk", "left_semi"),
+        "directory",
+    )
     write_report(contacts.churn_contacts(churned, directory, modality), f"{out}/churn_contacts")
     reachable = stage(spark, contacts.reachable_contacts(churned, directory, modality), "reachable")
     write_report(reachable, f"{out}/reachable_contacts")

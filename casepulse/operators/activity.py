@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casepulse.functions import text
 from casepulse.functions.dates import day_mask, days, days_in_mask, distinct_days
 from casepulse.functions.numbers import total
-from casepulse.operators.keyed import distinct_keys, left_join_hot
+from casepulse.operators.keyed import distinct_keys, join_hot, left_join_hot
 from casepulse.schemas import CHURN_TIERS, Tier
 
 DATE = "case_receiving_date"
@@ -104,7 +104,7 @@ def silent_clients(daily: DataFrame, *, as_of: dt.date, window_days: int = 30) -
 def silent_directory(silent: DataFrame, contacts: DataFrame) -> DataFrame:
     """Silent clients with their contacts, phones as stored; clients without contacts stay."""
     people = contacts.select("client_fk", "contact_fk", "unique_id", "phone_number")
-    listed = left_join_hot(silent, people, ["client_fk"])
+    listed = left_join_hot(silent, people, ["client_fk"], ["contact_fk"])
     return _silent_columns(listed)
 
 
@@ -116,7 +116,7 @@ def silent_contacts(silent: DataFrame, contacts: DataFrame) -> DataFrame:
     people = contacts.select("client_fk", "contact_fk", "unique_id", "phone_number").filter(
         F.col("phone_number").isNotNull()
     )
-    listed = silent.join(people, "client_fk")
+    listed = join_hot(silent, people, ["client_fk"], ["contact_fk"])
     return _silent_columns(
         listed.withColumn("phone_number", text.clean_phone(F.col("phone_number")))
     )

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.functions import text
-from casepulse.operators.keyed import left_join_hot, without_ids
+from casepulse.operators.keyed import (
+    distinct_keys,
+    join_hot,
+    left_join_hot,
+    without_ids,
+)
 from casepulse.schemas import DIRECTORY_EXCLUDED, MODALITY_SLA
 
 DIRECTORY_COLUMNS = (
@@ -26,12 +31,14 @@ def contact_directory(
     """Contacts of each client, plus the account itself as contact 0.
 
     A client without contacts is listed with contact 0 and empty, not missing, fields besides
-    the account row. Contacts join by an inner join and clients without any are added apart:
-    an outer join could not split a client that owns a large share of the contacts.
+    the account row. Duplicate rows are removed on each side before the join, which gives the
+    same rows as removing them afterwards and leaves a client that owns a large share of the
+    contacts spread over many tasks.
     """
     kept = without_ids(clients, "id", exclude).select(
-        F.col("id").alias("client_fk"), "unique_id", "client_name", F.col("email").alias("account_email")
+        F.col("id").alias("client_fk"), "unique_id", "client_name", "email"
     )
+    named = kept.select("client_fk", "unique_id", "client_name").distinct()
     people = contacts.select(
         F.col("id").alias("contact_fk"),
         "client_fk",
@@ -39,26 +46,19 @@ def contact_directory(
         "email",
         text.strip_list_marks(F.col("designation")).alias("designation"),
         "persona_type",
-    )
+    ).distinct()
+    listed = join_hot(named, people, ["client_fk"], ["contact_fk"])
+    no_contact = F.lit(0).cast("long")
     empty = {name: F.lit("") for name in ("phone_number", "email", "designation", "persona_type")}
-    lonely = kept.join(
-        people.select("client_fk").distinct(), "client_fk", "left_anti"
-    ).withColumns({"contact_fk": F.lit(0).cast("long"), **empty})
-    listed = (
-        kept.join(people, "client_fk").select(*DIRECTORY_COLUMNS)
-        .unionByName(lonely.select(*DIRECTORY_COLUMNS))
-        .distinct()
-    )
+    lonely = named.join(
+        distinct_keys(contacts, "client_fk"), "client_fk", "left_anti"
+    ).withColumns({"contact_fk": no_contact, **empty})
     missing = {
         name: F.lit(None).cast("string") for name in ("phone_number", "designation", "persona_type")
     }
-    accounts = (
-        kept.withColumns({"contact_fk": F.lit(0).cast("long"), **missing})
-        .withColumnRenamed("account_email", "email")
-        .select(*DIRECTORY_COLUMNS)
-        .distinct()
-    )
-    return listed.unionByName(accounts)
+    accounts = kept.distinct().withColumns({"contact_fk": no_contact, **missing})
+    parts = [part.select(*DIRECTORY_COLUMNS) for part in (listed, lonely, accounts)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 RECENT_COUNTS = tuple(
@@ -96,7 +96,7 @@ def churn_contacts(churn: DataFrame, contacts: DataFrame, modality: DataFrame) -
     """
     people = contacts.drop("designation", "persona_type")
     return _report_columns(
-        left_join_hot(_with_modality(churn, modality), people, ["client_fk"])
+        left_join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"])
     )
 
 
@@ -109,4 +109,6 @@ def reachable_contacts(churn: DataFrame, contacts: DataFrame, modality: DataFram
     people = contacts.drop("designation", "persona_type").filter(
         text.has_text(text.null_na(F.col("phone_number"))) | text.has_text(F.col("email"))
     )
-    return _report_columns(_with_modality(churn, modality).join(people, "client_fk"))
+    return _report_columns(
+        join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"])
+    )

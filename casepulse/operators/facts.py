@@ -69,11 +69,12 @@ def _eligible_clients(
         "oms_partner",
     )
     sourced = left_join_defaults(
-        named, client_details.select("client_fk", "client_source"), ["client_fk"],
+        named, client_details.select("client_fk", "client_source").distinct(), ["client_fk"],
         {"client_source": ""},
     )
+    settings = client_settings.select("client_fk", "enable_demo", "billing_type").distinct()
     settled = left_join_defaults(
-        sourced, client_settings.select("client_fk", "enable_demo", "billing_type"), ["client_fk"],
+        sourced, settings, ["client_fk"],
         {"enable_demo": False, "billing_type": ""},
     )
     return (

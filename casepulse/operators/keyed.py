@@ -9,7 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MATCHED = "__matched"
+MATCHED, SALT = "__matched", "__salt"
+
+# Parts a key is spread over in joins whose other side is hot.
+SALTS = 16
 
 
 def left_join_defaults(
@@ -27,15 +30,30 @@ def left_join_defaults(
     return joined.withColumns(filled).drop(MATCHED)
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def join_hot(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str]
+) -> DataFrame:
+    """Inner join for a right side in which one key may hold a large share of the rows.
+
+    Right rows are spread over SALTS parts of their key by other columns, left rows repeated
+    for each part. Meant for a left side with few rows per key.
+    """
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = left.withColumn(SALT, F.explode(salts))
+    spread = right.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    return repeated.join(spread, [*on, SALT]).drop(SALT)
+
+
+def left_join_hot(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str]
+) -> DataFrame:
     """Left join for a right side in which one key may hold a large share of the rows.
 
-    An outer join cannot split a skewed partition of its right side, an inner join can. So the
-    matches come from an inner join and the left rows without a match from an anti join against
-    the distinct keys.
+    The matches come from a spread inner join, the left rows without a match from an anti join
+    against the distinct keys; an outer join could not split its right side.
     """
     keys = list(on)
-    matched = left.join(right, keys, "inner")
+    matched = join_hot(left, right, keys, spread_by)
     unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 

@@ -154,7 +154,7 @@ def survey_merged_by_client(created: DataFrame, contacts: DataFrame) -> DataFram
     """Created entries with every contact of their client."""
     entries = created.select(*CREATED_COLUMNS).withColumnRenamed("contact_fk", "contact_fk_x")
     people = contacts.withColumnRenamed("contact_fk", "contact_fk_y")
-    return left_join_hot(entries, people, ["client_fk"]).select(
+    return left_join_hot(entries, people, ["client_fk"], ["contact_fk_y"]).select(
         "created_id", "contact_fk_x", "client_fk", "trigger", "created_at", "contact_fk_y",
         "unique_id", "client_name", "phone_number", "email", "designation", "persona_type",
     )
