@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 RULES_SCHEMA = "array<struct<list:array<string>>>"
 
+# Text up to the first "list" that is an array, then that array's first entry.
+FIRST_LIST_ENTRY = r'(?s)^.*?"list"\s*:\s*\[\s*("[^"]*"|[^",\]\s]*)'
+
 
 def null_na(value: Column) -> Column:
     """'NA' means missing."""
@@ -49,10 +52,13 @@ def unescape(rules: Column, mode: str) -> Column:
 
 
 def modality(rules: Column, mode: str = "single") -> Column:
-    """First entry of the first ``list`` in the rules; '' where there is none."""
-    lists = F.filter(_rules(unescape(rules, mode)), lambda rule: rule["list"].isNotNull())
-    first = F.get(F.get(lists, F.lit(0))["list"], F.lit(0))
-    return F.coalesce(F.replace(first, F.lit('"'), F.lit("")), F.lit(""))
+    """First entry of the first ``list`` in the rules; '' where there is none.
+
+    A pattern finds it in one pass over the text; parsing every study's JSON would dominate the
+    scan.
+    """
+    entry = F.regexp_extract(unescape(rules, mode), FIRST_LIST_ENTRY, 1)
+    return F.coalesce(F.replace(entry, F.lit('"'), F.lit("")), F.lit(""))
 
 
 def study_name(rules: Column) -> Column:

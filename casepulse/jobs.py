@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casepulse.functions.dates import days
 from casepulse.operators import (
     activity,
     comparison,
@@ -106,14 +107,18 @@ def churn(
     reachable = stage(spark, contacts.reachable_contacts(churned, directory, modality), "reachable")
     write_report(reachable, f"{out}/reachable_contacts")
 
-    log = read_survey_log(spark, f"{out}/client_survey")
+    log_path = f"{out}/client_survey"
+    recent = read_survey_log(spark, log_path, since=as_of - days(survey.COOLDOWN_DAYS))
     order = [tier.churn_category for tier in tiers]
     entries = stage(
-        spark, survey.survey_entries(reachable, log, as_of_ts=as_of_ts, tier_order=order), "entries"
+        spark,
+        survey.survey_entries(reachable, recent, as_of_ts=as_of_ts, tier_order=order),
+        "entries",
     )
-    created = append_survey(
-        spark, survey.with_created_id(entries, log, as_of_ts=as_of_ts), f"{out}/client_survey"
+    numbered = survey.with_created_id(
+        entries, read_survey_log(spark, log_path), as_of_ts=as_of_ts
     )
+    created = append_survey(spark, numbered, log_path, as_of_ts=as_of_ts)
     write_report(created.select(*survey.CREATED_COLUMNS), f"{out}/created_entries")
 
     merged = survey.survey_merged(created, reachable)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casepulse.operators.keyed import (
+    distinct_keys,
     first_per_key,
     latest_per_key,
     left_join_hot,
@@ -22,6 +23,9 @@ ENTRY_COLUMNS = (
 )
 CREATED_COLUMNS = ("created_id", "contact_fk", "client_fk", "trigger", "created_at")
 
+# Days a contact is left alone after an entry.
+COOLDOWN_DAYS = 7
+
 # Hex digits of the key hash that number an id block: 16**3 blocks, whatever the data size.
 BLOCK_DIGITS = 3
 
@@ -48,7 +52,7 @@ def survey_entries(
     survey_log: DataFrame,
     *,
     as_of_ts: dt.datetime,
-    cooldown_days: int = 7,
+    cooldown_days: int = COOLDOWN_DAYS,
     dedup_keys: Sequence[str] = ("contact_fk",),
     cooldown_on: str = "any",
     tier_order: Sequence[str] = tuple(tier.churn_category for tier in CHURN_TIERS),
@@ -67,25 +71,28 @@ def survey_entries(
         [known_last, F.col("client_fk"), F.col("contact_fk")],
     )
     now = timestamp(as_of_ts)
-    earlier = survey_log.filter(F.col("created_at") < now)
-    if cooldown_on == "triggered":
-        earlier = earlier.filter("trigger")
-    last = latest_per_key(earlier, ["contact_fk"], "created_at", "last_created_at")
     limit = timestamp(as_of_ts - dt.timedelta(days=cooldown_days))
+    # The last entry is older than the limit exactly when there is none since, so only the
+    # entries of the cool-down are read, not the whole log.
+    recent = survey_log.filter((F.col("created_at") >= limit) & (F.col("created_at") < now))
+    if cooldown_on == "triggered":
+        recent = recent.filter("trigger")
+    held_back = distinct_keys(recent, "contact_fk").withColumn("__recent", F.lit(True))
     # A missing contact finds no earlier entry, as '=' never matches it.
     return (
-        kept.join(last, "contact_fk", "left")
+        kept.join(held_back, "contact_fk", "left")
         .withColumns(
-            {
-                "trigger": F.col("last_created_at").isNull() | (F.col("last_created_at") < limit),
-                "created_at": now,
-                "updated_at": now,
-            }
+            {"trigger": F.col("__recent").isNull(), "created_at": now, "updated_at": now}
         )
         .select(*ENTRY_COLUMNS)
     )
 
 
+def last_entries(survey_log: DataFrame) -> DataFrame:
+    """Time of each contact's last entry."""
+    return latest_per_key(survey_log, ["contact_fk"], "created_at", "last_created_at")
+
+
 def id_block(client_fk: Column, contact_fk: Column) -> Column:
     """A fixed number of even blocks, so that neither a hot client nor contact fills one."""
     missing = F.lit("")
@@ -122,10 +129,14 @@ def with_created_id(
     )
 
 
-def new_entries(created: DataFrame, survey_log: DataFrame) -> DataFrame:
+def new_entries(
+    created: DataFrame, survey_log: DataFrame, *, as_of_ts: dt.datetime
+) -> DataFrame:
     """Entries the log does not hold yet, in the log's layout; a repeated run adds nothing."""
-    held = survey_log.select("contact_fk", "created_at").distinct().withColumnsRenamed(
-        {"contact_fk": "__contact", "created_at": "__created"}
+    held = (
+        survey_log.filter(F.col("created_at") == timestamp(as_of_ts))
+        .select(F.col("contact_fk").alias("__contact"), F.col("created_at").alias("__created"))
+        .distinct()
     )
     same = F.col("contact_fk").eqNullSafe(F.col("__contact")) & (
         F.col("created_at") == F.col("__created")

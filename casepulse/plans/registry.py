@@ -262,7 +262,13 @@ def _created(t: Tables, reachable: DataFrame) -> DataFrame:
 
 @query
 def survey_append(t: Tables) -> DataFrame:
-    return survey.new_entries(_created(t, reachable_contacts(t)), b.customer_survey_log(t))
+    created = _created(t, reachable_contacts(t))
+    return survey.new_entries(created, b.customer_survey_log(t), as_of_ts=b.CHURN_AS_OF_TS)
+
+
+@query
+def last_survey_entries(t: Tables) -> DataFrame:
+    return survey.last_entries(b.customer_survey_log(t))
 
 
 def _merged(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Sequence
 
@@ -51,25 +52,31 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_survey_log(spark: SparkSession, path: str) -> DataFrame:
-    """The survey log; empty before its first entry."""
+def read_survey_log(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
+    """The survey log, or its entries from a day on; empty before its first entry."""
     schema = SCHEMAS["client_survey"]
     try:
-        return conform(spark.read.parquet(path), schema)
+        log = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    if since is not None:
+        log = log.filter(F.col("created_date") >= F.lit(since))
+    return conform(log, schema)
 
 
-def append_survey(spark: SparkSession, created: DataFrame, log_path: str) -> DataFrame:
+def append_survey(
+    spark: SparkSession, created: DataFrame, log_path: str, *, as_of_ts: dt.datetime
+) -> DataFrame:
     """Append created entries to the log and return them.
 
     The entries depend on the log, so they are staged first: read again after the append they
     would see themselves. A repeated run with the same as-of time appends nothing twice.
     """
     staged = stage(spark, created, "survey")
-    fresh = new_entries(staged, read_survey_log(spark, log_path)).withColumn(
+    today = read_survey_log(spark, log_path, since=as_of_ts.date())
+    fresh = new_entries(staged, today, as_of_ts=as_of_ts).withColumn(
         "created_date", F.to_date("created_at")
     )
     fresh.write.mode("append").partitionBy("created_date").parquet(log_path)

@@ -64,10 +64,12 @@ def created(spark, contacts):
 def test_survey_log_grows_once_per_entry(spark, tmp_path):
     path = f"{tmp_path}/client_survey"
     assert writers.read_survey_log(spark, path).count() == 0
-    staged = writers.append_survey(spark, created(spark, [1, 2]), path)
+    staged = writers.append_survey(spark, created(spark, [1, 2]), path, as_of_ts=NOW)
     assert rows_of(staged, "created_id") == [(101,), (102,)]
-    writers.append_survey(spark, created(spark, [1, 2, 3]), path)
+    writers.append_survey(spark, created(spark, [1, 2, 3]), path, as_of_ts=NOW)
     assert rows_of(writers.read_survey_log(spark, path), "id", "contact_fk") == [(101, 1), (102, 2), (103, 3)]
+    assert writers.read_survey_log(spark, path, since=NOW.date()).count() == 3
+    assert writers.read_survey_log(spark, path, since=NOW.date() + dt.timedelta(days=1)).count() == 0
     assert sorted(name for name in os.listdir(path) if "=" in name) == ["created_date=2024-11-13"]
 
 

@@ -127,8 +127,8 @@ def test_new_entries_skip_those_held(make, table):
     entries = make([reachable_row(1, 10), reachable_row(1, 11), reachable_row(2, None)])
     log = table("client_survey", [entry(1, 10, dt.timedelta(0)), entry(2, 11, dt.timedelta(days=1))])
     created = survey.with_created_id(entries, log, as_of_ts=NOW)
-    assert rows_of(survey.new_entries(created, log), "contact_fk") == [(None,), (11,)]
-    again = survey.new_entries(created, survey.new_entries(created, log).unionByName(log))
+    assert rows_of(survey.new_entries(created, log, as_of_ts=NOW), "contact_fk") == [(None,), (11,)]
+    again = survey.new_entries(created, survey.new_entries(created, log, as_of_ts=NOW).unionByName(log), as_of_ts=NOW)
     assert rows_of(again) == []
 
 
