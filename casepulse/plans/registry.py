@@ -62,6 +62,15 @@ def modality_sla_month(t: Tables) -> DataFrame:
     )
 
 
+@query
+def modality_sla_distinct(t: Tables) -> DataFrame:
+    """Each study counts once, the recent block takes completed studies, missing times are left out."""
+    return sla.modality_sla_summary(
+        b.order_studies(t), b.line_reworks(t), b.order_phase_tat(t), b.nation_clients(t),
+        as_of=b.SLA_AS_OF, distinct_studies=True, completed_only_recent=True, missing_tat="exclude",
+    )
+
+
 @query
 def json_modality(t: Tables) -> DataFrame:
     return b.event_studies(t).select("id", text.modality(F.col("rules")).alias("modality"))
@@ -127,6 +136,13 @@ def low_activity_today(t: Tables) -> DataFrame:
     return activity.low_activity_today(b.dense_daily(t), as_of=b.CHURN_AS_OF)
 
 
+@query
+def low_activity_or_silent(t: Tables) -> DataFrame:
+    return activity.low_activity_today(
+        b.dense_daily(t), as_of=b.CHURN_AS_OF, include_silent=True
+    )
+
+
 # --- drops against earlier days ----------------------------------------------------------
 
 
@@ -135,11 +151,26 @@ def same_weekday_drop(t: Tables) -> DataFrame:
     return weekday.same_weekday_drop(b.dense_daily(t, "client_id"), as_of=b.CHURN_AS_OF)
 
 
+@query
+def same_weekday_drop_with_silent(t: Tables) -> DataFrame:
+    return weekday.same_weekday_drop(
+        b.dense_daily(t, "client_id"), as_of=b.CHURN_AS_OF, include_silent=True
+    )
+
+
 @query
 def same_weekday_hourly(t: Tables) -> DataFrame:
     return weekday.same_weekday_hourly(b.timed_cases(t), as_of=b.CHURN_AS_OF)
 
 
+@query
+def same_weekday_hourly_present(t: Tables) -> DataFrame:
+    """Past hours over the days that have them; no percentage for a new hour."""
+    return weekday.same_weekday_hourly(
+        b.timed_cases(t), as_of=b.CHURN_AS_OF, divisor="present", zero_baseline=None
+    )
+
+
 @query
 def weekday_interval_baseline(t: Tables) -> DataFrame:
     return weekday.weekday_interval_baseline(b.timed_cases(t))
@@ -157,11 +188,26 @@ def steady_client_comparison(t: Tables) -> DataFrame:
     )
 
 
+@query
+def steady_client_comparison_by_id(t: Tables) -> DataFrame:
+    return comparison.steady_client_comparison(
+        b.dense_daily(t, "client_id"), as_of=b.EVENTS_LAST_DAY, min_cases=0, cohort_key="client_id"
+    )
+
+
 @query
 def trend_report(t: Tables) -> DataFrame:
     return trend.trend_report(b.long_daily(t), as_of=b.TREND_AS_OF)
 
 
+@query
+def trend_report_calendar(t: Tables) -> DataFrame:
+    """Months of this year and whole weeks only."""
+    return trend.trend_report(
+        b.long_daily(t), as_of=b.TREND_AS_OF, year_aware=True, whole_weeks=True
+    )
+
+
 @query
 def last_same_weekdays(t: Tables) -> DataFrame:
     return trend.last_same_weekdays(b.long_daily(t), as_of=b.TREND_AS_OF)
@@ -254,6 +300,16 @@ def survey_entries(t: Tables) -> DataFrame:
     return _entries(t, reachable_contacts(t))
 
 
+@query
+def survey_entries_per_client(t: Tables) -> DataFrame:
+    """One entry per client and contact; only triggered entries hold the next one back."""
+    return survey.survey_entries(
+        reachable_contacts(t), b.customer_survey_log(t), as_of_ts=b.CHURN_AS_OF_TS,
+        dedup_keys=("client_fk", "contact_fk"), cooldown_on="triggered",
+        tier_order=[tier.churn_category for tier in b.SAMPLE_TIERS],
+    )
+
+
 def _created(t: Tables, reachable: DataFrame) -> DataFrame:
     """Entries with ids, staged: the numbering reads them twice and the log grows by them."""
     entries = stage(t.spark, _entries(t, reachable), "entries")
