@@ -13,6 +13,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casepulse.functions.dates import days
 from casepulse.operators import (
@@ -39,6 +40,9 @@ from casepulse.sources.writers import (
 
 DAILY = "daily_client_cases"
 
+# The activity window of the churn report, and how long before the run it ends.
+LAG_DAYS, WINDOW_DAYS = 3, 30
+
 
 def refresh_daily(spark: SparkSession, inputs: str, out: str, since: dt.date = DAILY_SINCE) -> None:
     """Daily fact of the cases from ``since`` on; earlier days stay as they are."""
@@ -80,15 +84,22 @@ def churn(
 
     churned = stage(
         spark,
-        activity.churn_tiers(daily, as_of=as_of, tiers=tiers, min_avg_load=min_avg_load),
+        activity.churn_tiers(
+            daily, as_of=as_of, tiers=tiers, min_avg_load=min_avg_load, lag_days=LAG_DAYS,
+            window_days=WINDOW_DAYS,
+        ),
         "churn",
     )
     write_report(churned, f"{out}/churn_clients")
 
     clients = read_table(spark, inputs, "clients")
-    # Only counts of churned clients are used below.
-    studies = read_table(spark, inputs, "studies").join(
-        churned.select("client_fk"), "client_fk", "left_semi"
+    # Only the recent counts of churned clients are used below. Each of these clients has a
+    # completed study within the activity window, so older studies need not be read.
+    window_start = as_of - days(LAG_DAYS + WINDOW_DAYS - 1)
+    studies = (
+        read_table(spark, inputs, "studies")
+        .filter(F.to_date("created_at") >= F.lit(window_start))
+        .join(churned.select("client_fk"), "client_fk", "left_semi")
     )
     modality = stage(
         spark,

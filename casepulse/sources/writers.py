@@ -28,7 +28,8 @@ def write_report(
 def write_daily_fact(daily: DataFrame, path: str) -> None:
     """The daily fact, one folder per case day; days not in the input stay as they are.
 
-    The rebalance gives each day few files and splits a day that is too large for one.
+    The rebalance gives each day few files and splits a day that is too large for one. A day that
+    lost its last case is not in the input either and keeps its old rows.
     """
     day = "case_receiving_date"
     daily.hint("rebalance", day).write.mode("overwrite").option(
