@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casepulse.functions.dates import days
+from casepulse.functions.dates import days, same_weekday_dates
 from casepulse.operators import (
     activity,
     comparison,
@@ -158,13 +158,16 @@ def silent(spark: SparkSession, inputs: str, out: str, as_of: dt.date) -> None:
 def weekdays(spark: SparkSession, inputs: str, out: str, as_of: dt.date) -> None:
     """Today against the same weekday before, by day, hour and interval."""
     daily = facts.by_client_id(daily_fact(spark, out))
-    cases = facts.timed_cases(read_table(spark, inputs, "studies"), read_table(spark, inputs, "clients"))
+    studies, clients = (read_table(spark, inputs, name) for name in ("studies", "clients"))
+    oldest = same_weekday_dates(as_of, weeks=4)[-1]
+    recent = facts.timed_cases(studies, clients, first=oldest, last=as_of)
     write_report(weekday.same_weekday_drop(daily, as_of=as_of), f"{out}/same_weekday_drop")
     write_report(
-        weekday.same_weekday_hourly(cases, as_of=as_of), f"{out}/same_weekday_hourly",
+        weekday.same_weekday_hourly(recent, as_of=as_of), f"{out}/same_weekday_hourly",
         sort_by=["client_id", "hour"],
     )
-    write_report(weekday.weekday_interval_baseline(cases), f"{out}/weekday_interval_baseline")
+    everything = facts.timed_cases(studies, clients)
+    write_report(weekday.weekday_interval_baseline(everything), f"{out}/weekday_interval_baseline")
 
 
 def trends(spark: SparkSession, out: str, as_of: dt.date) -> None:

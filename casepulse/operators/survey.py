@@ -12,7 +12,6 @@ from casepulse.operators.keyed import (
     distinct_keys,
     first_per_key,
     latest_per_key,
-    left_join_hot,
     null_safe_left_join,
 )
 from casepulse.schemas import CHURN_TIERS
@@ -161,15 +160,5 @@ def survey_merged(created: DataFrame, reachable: DataFrame) -> DataFrame:
     )
 
 
-def survey_merged_by_client(created: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Created entries with every contact of their client."""
-    entries = created.select(*CREATED_COLUMNS).withColumnRenamed("contact_fk", "contact_fk_x")
-    people = contacts.withColumnRenamed("contact_fk", "contact_fk_y")
-    return left_join_hot(entries, people, ["client_fk"], ["contact_fk_y"]).select(
-        "created_id", "contact_fk_x", "client_fk", "trigger", "created_at", "contact_fk_y",
-        "unique_id", "client_name", "phone_number", "email", "designation", "persona_type",
-    )
-
-
 def survey_to_notify(merged: DataFrame) -> DataFrame:
     return merged.filter("trigger")

@@ -337,11 +337,6 @@ def survey_merged(t: Tables) -> DataFrame:
     return _merged(t)
 
 
-@query
-def survey_merged_by_client(t: Tables) -> DataFrame:
-    return survey.survey_merged_by_client(_created(t, reachable_contacts(t)), _directory(t))
-
-
 @query
 def survey_to_notify(t: Tables) -> DataFrame:
     return survey.survey_to_notify(_merged(t))

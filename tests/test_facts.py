@@ -4,8 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from casepulse.operators import facts
 from tests.conftest import rows_of
 
@@ -147,8 +145,21 @@ def test_client_day_counts_rows(spark):
     assert rows_of(facts.client_day(cases, ["client_fk"]), "client_fk", "total_case") == [(1, 1), (1, 2), (2, 1)]
 
 
-def test_timed_cases_keep_the_hour(table):
-    studies = table("studies", [(1, 1, at(1, 7), "COMPLETED", None), (2, 1, at(1, 9), "OPEN", None)])
-    got = facts.timed_cases(studies, table("clients", [(1, "one")]))
-    assert rows_of(got.withColumn("h", F.hour("case_receiving_date")), "client_id", "client_name", "h", "total_case") == [(1, "one", 7, 1)]
-    assert facts.by_client_id(got.withColumnRenamed("client_id", "client_fk")).columns == got.columns
+def test_timed_cases_count_per_hour(table):
+    studies = table("studies", [
+        (1, 1, at(1, 7), "COMPLETED", None), (2, 1, at(1, 9), "OPEN", None),
+        (3, 1, at(1, 7) + dt.timedelta(minutes=59), "COMPLETED", None), (4, 1, at(3, 0), "COMPLETED", None),
+        (5, 9, at(1, 7), "COMPLETED", None),
+    ])
+    clients = table("clients", [(1, "one")])
+    got = facts.timed_cases(studies, clients)
+    columns = ("client_id", "client_name", "case_receiving_date", "total_case")
+    assert got.schema["case_receiving_date"].dataType.simpleString() == "timestamp_ntz"
+    assert rows_of(got, *columns) == [(1, "one", at(1, 7), 2), (1, "one", at(3, 0), 1)]
+    bounded = facts.timed_cases(studies, clients, first=dt.date(2024, 5, 2), last=dt.date(2024, 5, 3))
+    assert rows_of(bounded, *columns) == [(1, "one", at(3, 0), 1)]
+    assert rows_of(facts.timed_cases(studies, clients, last=dt.date(2024, 5, 2)), "total_case") == [(2,)]
+
+
+def test_client_key_rename(spark):
+    assert facts.by_client_id(spark.range(1).withColumnRenamed("id", "client_fk")).columns == ["client_id"]

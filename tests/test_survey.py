@@ -141,12 +141,6 @@ def test_merge_and_notify(spark, make, table):
         (1, 10, True, "c1"), (2, 11, False, "c2"), (3, None, True, "c3"),
     ]
     assert rows_of(survey.survey_to_notify(merged), "client_fk") == [(1,), (3,)]
-    directory = spark.createDataFrame(
-        [(1, 10, "U", "n", "p", "e", "d", "t"), (1, 12, "U", "n", "p", "e", "d", "t")],
-        "client_fk long, contact_fk long, unique_id string, client_name string, phone_number string, email string, designation string, persona_type string",
-    )
-    fanned = survey.survey_merged_by_client(created, directory)
-    assert rows_of(fanned, "client_fk", "contact_fk_x", "contact_fk_y") == [(1, 10, 10), (1, 10, 12), (2, 11, None), (3, None, None)]
 
 
 def test_history(table):
