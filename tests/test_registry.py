@@ -7,12 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from casepulse.plans import checks, registry
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, CHECKS = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, CHECKS = registry.queries(), checks.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,7 @@ def normal(columns, rows):
 
 def test_every_query_has_a_check():
     assert QUERIES.keys() == CHECKS.keys()
+    assert QUERIES.keys() <= entry_point.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
