@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A BIGINT mask has one bit per day, so a window up to this long is counted without a distinct.
-MASK_BITS = 63
+# Positions that one BIGINT holds as bits; any number of words makes any number of positions.
+WORD = 63
 
 
 def days(n: int) -> dt.timedelta:
@@ -34,36 +34,49 @@ def same_weekday_dates(as_of: dt.date, weeks: int) -> list[dt.date]:
     return [as_of - days(7 * k) for k in range(weeks + 1)]
 
 
-def bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
+def words(position: Column, size: int) -> Column:
+    """Aggregate: an array of BIGINTs with a bit for each position in 0..size-1 that occurs.
 
+    A few BIGINTs per group combine on the map side, so unlike a distinct count they need no
+    second exchange and a hot key shuffles one row per map task. Other positions do not count.
+    """
+    return F.array(*(
+        F.bit_or(F.when(
+            position.between(first, min(first + WORD, size) - 1),
+            F.call_function("shiftleft", F.lit(1).cast("long"), (position - first).cast("int")),
+        ))
+        for first in range(0, size, WORD)
+    ))
 
-def days_in_mask(mask: Column) -> Column:
-    return F.coalesce(F.bit_count(mask), F.lit(0)).cast("long")
 
+def merged_words(array: str, size: int) -> Column:
+    """Aggregate: the words of several groups as one."""
+    return F.array(*(F.bit_or(F.get(array, F.lit(k))) for k in range(-(-size // WORD))))
 
-def distinct_bits(position: Column) -> Column:
-    """Aggregate: how many different positions (0..62) occur; NULL positions do not count.
 
-    One BIGINT per group combines on the map side, so unlike a distinct count it needs no
-    second exchange and a hot key shuffles one row per map task.
-    """
-    return days_in_mask(F.bit_or(bit(position)))
+def positions_in(array: Column) -> Column:
+    """How many positions occur in words."""
+    ones = F.transform(array, lambda word: F.coalesce(F.bit_count(word), F.lit(0)))
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def distinct_positions(position: Column, size: int) -> Column:
+    """Aggregate: how many different positions in 0..size-1 occur."""
+    return positions_in(words(position, size))
+
+
+def window_length(start: dt.date, end: dt.date) -> int:
+    return (end - start).days + 1
 
 
-def day_mask(date: Column, start: dt.date, end: dt.date) -> Column:
-    """Aggregate: one bit per day of [start, end] that occurs; NULL when none does."""
-    if (end - start).days >= MASK_BITS:
-        raise ValueError(f"a window holds at most {MASK_BITS} days")
-    inside = date.between(F.lit(start), F.lit(end))
-    return F.bit_or(bit(F.when(inside, F.datediff(date, F.lit(start)))))
+def day_words(date: Column, start: dt.date, end: dt.date) -> Column:
+    """Aggregate: words with a bit for each day of [start, end] that occurs."""
+    return words(F.datediff(date, F.lit(start)), window_length(start, end))
 
 
 def distinct_days(date: Column, start: dt.date, end: dt.date) -> Column:
     """Aggregate: number of different days within [start, end]; other days do not count."""
-    if (end - start).days < MASK_BITS:
-        return days_in_mask(day_mask(date, start, end))
-    return F.count_distinct(F.when(date.between(F.lit(start), F.lit(end)), date))
+    return positions_in(day_words(date, start, end))
 
 
 def weekday_name(date: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 RULES_SCHEMA = "array<struct<list:array<string>>>"
 
-# Text up to the first "list" that is an array, then that array's first entry.
-FIRST_LIST_ENTRY = r'(?s)^.*?"list"\s*:\s*\[\s*("[^"]*"|[^",\]\s]*)'
+# Text up to the first "list", then, if that is an array, its first entry: a text, an object or a word.
+FIRST_LIST_ENTRY = r'(?s)^.*?"list"\s*:\s*(?:\[\s*("[^"]*"|\{[^}]*\}|[^",\]\s]*))?'
 
 
 def null_na(value: Column) -> Column:
@@ -52,9 +52,9 @@ def unescape(rules: Column, mode: str) -> Column:
 
 
 def modality(rules: Column, mode: str = "single") -> Column:
-    """First entry of the first ``list`` in the rules; '' where there is none.
+    """First entry of the first ``list`` in the rules, '' where that is empty, no list or missing.
 
-    A pattern finds it in one pass over the text; parsing every study's JSON would dominate the
+    Later lists do not stand in for it. A pattern finds it in one pass over the text; parsing every study's JSON would dominate the
     scan.
     """
     entry = F.regexp_extract(unescape(rules, mode), FIRST_LIST_ENTRY, 1)

@@ -3,14 +3,16 @@
     python -m casepulse.jobs daily --inputs IN --out OUT
     python -m casepulse.jobs churn --inputs IN --out OUT --as-of 2024-11-13
 
-``daily`` refreshes the daily fact, which the other jobs read.
+``daily`` refreshes the hourly and the daily fact, which the other jobs read. Tables that a job stages
+are gone when it ends.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,36 +36,61 @@ from casepulse.sources.writers import (
     append_survey,
     read_survey_log,
     stage,
-    write_daily_fact,
+    staging,
+    write_by_day,
     write_report,
 )
 
-DAILY = "daily_client_cases"
+DAILY, HOURLY = "daily_client_cases", "hourly_client_cases"
 
 # The activity window of the churn report, and how long before the run it ends.
 LAG_DAYS, WINDOW_DAYS = 3, 30
 
 
+def job(run: Callable[..., None]) -> Callable[..., None]:
+    """A job whose staged tables go when it ends."""
+
+    @wraps(run)
+    def inside(spark: SparkSession, *arguments, **options) -> None:
+        with staging(spark):
+            run(spark, *arguments, **options)
+
+    return inside
+
+
+@job
 def refresh_daily(spark: SparkSession, inputs: str, out: str, since: dt.date = DAILY_SINCE) -> None:
-    """Daily fact of the cases from ``since`` on; earlier days stay as they are."""
+    """Hourly and daily fact of the cases from ``since`` on; earlier days stay as they are.
+
+    The raw tables are read once, for the hours; the days are summed from what was stored.
+    """
     names = (
         "studies", "study_details", "clients", "client_details", "client_settings",
         "client_tat_metrics",
     )
     tables = [read_table(spark, inputs, name) for name in names]
-    write_daily_fact(facts.daily_client_cases(*tables, since=since), f"{out}/{DAILY}")
+    write_by_day(facts.hourly_client_cases(*tables, since=since), f"{out}/{HOURLY}", since=since)
+    hours = hourly_fact(spark, out).filter(F.col("case_receiving_date") >= F.lit(since))
+    write_by_day(facts.daily_from_hours(hours), f"{out}/{DAILY}", since=since)
+
+
+def hourly_fact(spark: SparkSession, out: str) -> DataFrame:
+    schema = SCHEMAS[HOURLY]
+    return conform(spark.read.schema(schema).parquet(f"{out}/{HOURLY}"), schema)
 
 
 def daily_fact(spark: SparkSession, out: str) -> DataFrame:
-    return conform(spark.read.parquet(f"{out}/{DAILY}"), SCHEMAS[DAILY])
+    schema = SCHEMAS[DAILY]
+    return conform(spark.read.schema(schema).parquet(f"{out}/{DAILY}"), schema)
 
 
-def _directory(spark: SparkSession, inputs: str) -> DataFrame:
+def _directory(spark: SparkSession, inputs: str, only: DataFrame) -> DataFrame:
     return contacts.contact_directory(
-        read_table(spark, inputs, "clients"), read_table(spark, inputs, "client_contacts")
+        read_table(spark, inputs, "clients"), read_table(spark, inputs, "client_contacts"), only=only
     )
 
 
+@job
 def churn(
     spark: SparkSession,
     inputs: str,
@@ -76,8 +103,14 @@ def churn(
     link_base: str | None = None,
     tiers: Sequence[Tier] = CHURN_TIERS,
     min_avg_load: float = 5,
+    dedup_keys: Sequence[str] = ("contact_fk",),
+    cooldown_on: str = "any",
+    only_triggered: bool = False,
 ) -> None:
-    """Churned clients, their contacts, new survey entries and the messages to send."""
+    """Churned clients, their contacts, new survey entries and the messages and mails to send.
+
+    Mails go to triggered contacts only, messages to all unless ``only_triggered``.
+    """
     as_of = as_of_ts.date()
     daily = daily_fact(spark, out)
     write_report(activity.client_activity(daily, as_of=as_of), f"{out}/client_activity")
@@ -93,8 +126,7 @@ def churn(
     write_report(churned, f"{out}/churn_clients")
 
     clients = read_table(spark, inputs, "clients")
-    # Only the recent counts of churned clients are used below. Each of these clients has a
-    # completed study within the activity window, so older studies need not be read.
+    # Only the recent counts of churned clients are used below, so older studies need not be read.
     window_start = as_of - days(LAG_DAYS + WINDOW_DAYS - 1)
     studies = (
         read_table(spark, inputs, "studies")
@@ -105,15 +137,11 @@ def churn(
         spark,
         sla.modality_sla_summary(
             studies, read_table(spark, inputs, "reworks"),
-            read_table(spark, inputs, "phase_level_tat"), clients, as_of=as_of,
+            read_table(spark, inputs, "phase_level_tat"), clients, as_of=as_of, any_status=True,
         ),
         "modality",
     )
-    directory = stage(
-        spark,
-        _directory(spark, inputs).join(churned.select("client_fk"), "client_fk", "left_semi"),
-        "directory",
-    )
+    directory = stage(spark, _directory(spark, inputs, churned), "directory")
     write_report(contacts.churn_contacts(churned, directory, modality), f"{out}/churn_contacts")
     reachable = stage(spark, contacts.reachable_contacts(churned, directory, modality), "reachable")
     write_report(reachable, f"{out}/reachable_contacts")
@@ -123,7 +151,10 @@ def churn(
     order = [tier.churn_category for tier in tiers]
     entries = stage(
         spark,
-        survey.survey_entries(reachable, recent, as_of_ts=as_of_ts, tier_order=order),
+        survey.survey_entries(
+            reachable, recent, as_of_ts=as_of_ts, tier_order=order, dedup_keys=dedup_keys,
+            cooldown_on=cooldown_on,
+        ),
         "entries",
     )
     numbered = survey.with_created_id(
@@ -134,54 +165,75 @@ def churn(
 
     merged = survey.survey_merged(created, reachable)
     write_report(merged, f"{out}/survey_contacts")
-    write_report(survey.survey_to_notify(merged), f"{out}/to_notify")
+    to_notify = survey.survey_to_notify(merged)
+    write_report(to_notify, f"{out}/to_notify")
     messages = outbox.message_outbox(
-        merged, template_id=template_id, source=source, sender=sender, link_base=link_base
+        merged, template_id=template_id, source=source, sender=sender, link_base=link_base,
+        only_triggered=only_triggered,
     )
     write_report(messages, f"{out}/message_outbox")
-    write_report(outbox.modality_payload(merged), f"{out}/mail_outbox")
+    write_report(outbox.modality_payload(to_notify), f"{out}/mail_outbox")
 
 
-def silent(spark: SparkSession, inputs: str, out: str, as_of: dt.date) -> None:
+@job
+def silent(
+    spark: SparkSession, inputs: str, out: str, as_of: dt.date, *, include_silent: bool = False
+) -> None:
     """Clients without a case today, their contacts, and low or missing volume."""
     daily = daily_fact(spark, out)
     quiet = stage(spark, activity.silent_clients(daily, as_of=as_of), "silent")
-    directory = _directory(spark, inputs)
+    directory = stage(spark, _directory(spark, inputs, quiet), "directory")
     write_report(quiet, f"{out}/silent_clients")
     write_report(activity.silent_directory(quiet, directory), f"{out}/silent_directory")
     write_report(activity.silent_contacts(quiet, directory), f"{out}/silent_contacts")
     write_report(activity.zero_cases_today(daily, as_of=as_of), f"{out}/zero_cases_today")
     write_report(activity.full_activity_no_cases(daily, as_of=as_of), f"{out}/full_activity_no_cases")
-    write_report(activity.low_activity_today(daily, as_of=as_of), f"{out}/low_activity_today")
+    low = activity.low_activity_today(daily, as_of=as_of, include_silent=include_silent)
+    write_report(low, f"{out}/low_activity_today")
 
 
-def weekdays(spark: SparkSession, inputs: str, out: str, as_of: dt.date) -> None:
+@job
+def weekdays(
+    spark: SparkSession, out: str, as_of: dt.date, *, include_silent: bool = False
+) -> None:
     """Today against the same weekday before, by day, hour and interval."""
     daily = facts.by_client_id(daily_fact(spark, out))
-    studies, clients = (read_table(spark, inputs, name) for name in ("studies", "clients"))
+    hours = hourly_fact(spark, out)
     oldest = same_weekday_dates(as_of, weeks=4)[-1]
-    recent = facts.timed_cases(studies, clients, first=oldest, last=as_of)
-    write_report(weekday.same_weekday_drop(daily, as_of=as_of), f"{out}/same_weekday_drop")
+    recent = facts.timed_cases(hours, first=oldest, last=as_of)
+    write_report(
+        weekday.same_weekday_drop(daily, as_of=as_of, include_silent=include_silent),
+        f"{out}/same_weekday_drop",
+    )
     write_report(
         weekday.same_weekday_hourly(recent, as_of=as_of), f"{out}/same_weekday_hourly",
         sort_by=["client_id", "hour"],
     )
-    everything = facts.timed_cases(studies, clients)
-    write_report(weekday.weekday_interval_baseline(everything), f"{out}/weekday_interval_baseline")
+    write_report(
+        weekday.weekday_interval_baseline(facts.timed_cases(hours)), f"{out}/weekday_interval_baseline"
+    )
 
 
-def trends(spark: SparkSession, out: str, as_of: dt.date) -> None:
+@job
+def trends(
+    spark: SparkSession, out: str, as_of: dt.date, *, year_aware: bool = False, whole_weeks: bool = False
+) -> None:
     """Today against yesterday, the weekday, the week and the month."""
     daily = facts.by_client_id(daily_fact(spark, out))
-    write_report(trend.trend_report(daily, as_of=as_of), f"{out}/trend_report")
+    report = trend.trend_report(daily, as_of=as_of, year_aware=year_aware, whole_weeks=whole_weeks)
+    write_report(report, f"{out}/trend_report")
 
 
-def comparisons(spark: SparkSession, out: str, as_of: dt.date) -> None:
+@job
+def comparisons(
+    spark: SparkSession, out: str, as_of: dt.date, *, cohort_key: str = "client_name"
+) -> None:
     """Steady clients over the last three days."""
     daily = facts.by_client_id(daily_fact(spark, out))
     write_report(comparison.daily_cases(daily, as_of=as_of), f"{out}/daily_cases")
     write_report(
-        comparison.steady_client_comparison(daily, as_of=as_of), f"{out}/steady_client_comparison"
+        comparison.steady_client_comparison(daily, as_of=as_of, cohort_key=cohort_key),
+        f"{out}/steady_client_comparison",
     )
 
 
@@ -201,10 +253,17 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--source", default="")
     parser.add_argument("--sender", default="")
     parser.add_argument("--link-base")
+    parser.add_argument("--only-triggered", action="store_true", help="no message in the cool-down")
+    parser.add_argument("--per-client", action="store_true", help="entries and cool-down by client and contact")
+    parser.add_argument("--cooldown-on", choices=("any", "triggered"), default="any")
+    parser.add_argument("--include-silent", action="store_true", help="clients without a case today as a drop")
+    parser.add_argument("--year-aware", action="store_true", help="months of this year only")
+    parser.add_argument("--whole-weeks", action="store_true")
+    parser.add_argument("--cohort-key", choices=("client_name", "client_id"), default="client_name")
     given = parser.parse_args(arguments)
     if given.job != "daily" and given.as_of is None:
         parser.error("--as-of is required")
-    if given.job in ("daily", "churn", "silent", "weekdays") and given.inputs is None:
+    if given.job in ("daily", "churn", "silent") and given.inputs is None:
         parser.error("--inputs is required")
 
     spark = get_spark()
@@ -214,15 +273,20 @@ def main(arguments: Sequence[str] | None = None) -> None:
         churn(
             spark, given.inputs, given.out, given.as_of, template_id=given.template_id,
             source=given.source, sender=given.sender, link_base=given.link_base,
+            dedup_keys=("client_fk", "contact_fk") if given.per_client else ("contact_fk",),
+            cooldown_on=given.cooldown_on, only_triggered=given.only_triggered,
         )
     elif given.job == "silent":
-        silent(spark, given.inputs, given.out, given.as_of.date())
+        silent(spark, given.inputs, given.out, given.as_of.date(), include_silent=given.include_silent)
     elif given.job == "weekdays":
-        weekdays(spark, given.inputs, given.out, given.as_of.date())
+        weekdays(spark, given.out, given.as_of.date(), include_silent=given.include_silent)
     elif given.job == "trends":
-        trends(spark, given.out, given.as_of.date())
+        trends(
+            spark, given.out, given.as_of.date(), year_aware=given.year_aware,
+            whole_weeks=given.whole_weeks,
+        )
     else:
-        comparisons(spark, given.out, given.as_of.date())
+        comparisons(spark, given.out, given.as_of.date(), cohort_key=given.cohort_key)
 
 
 if __name__ == "__main__":

@@ -9,9 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.functions import text
-from casepulse.functions.dates import day_mask, days, days_in_mask, distinct_days
+from casepulse.functions.dates import (
+    day_words,
+    days,
+    distinct_days,
+    merged_words,
+    positions_in,
+    window_length,
+)
 from casepulse.functions.numbers import total
-from casepulse.operators.keyed import distinct_keys, join_hot, left_join_hot
+from casepulse.operators.keyed import join_hot, left_join_hot, only_keys
 from casepulse.schemas import CHURN_TIERS, Tier
 
 DATE = "case_receiving_date"
@@ -95,15 +102,28 @@ def churn_tiers(
 
 def silent_clients(daily: DataFrame, *, as_of: dt.date, window_days: int = 30) -> DataFrame:
     """Clients with a case in the window that ended yesterday and none on as_of."""
-    in_window = F.col(DATE).between(F.lit(as_of - days(window_days)), F.lit(as_of - days(1)))
-    seen = daily.filter(in_window).select("client_fk", "client_name").distinct()
-    today = distinct_keys(daily.filter(F.col(DATE) == F.lit(as_of)), "client_fk")
-    return seen.join(today, "client_fk", "left_anti")
+    past = F.col(DATE) < F.lit(as_of)
+    per_name = (
+        daily.dropna(subset=["client_fk"])
+        .filter(F.col(DATE).between(F.lit(as_of - days(window_days)), F.lit(as_of)))
+        .groupBy("client_fk", "client_name")
+        .agg(F.count_if(past).alias("past_rows"), F.count_if(~past).alias("rows_today"))
+    )
+    # A client may have had several names; today's may differ from all of them.
+    names = F.collect_set(F.when(F.col("past_rows") > 0, F.struct("client_name")))
+    return (
+        per_name.groupBy("client_fk")
+        .agg(names.alias("names"), F.sum("rows_today").alias("rows_today"))
+        .filter("rows_today = 0")
+        .select("client_fk", F.inline("names"))
+    )
 
 
 def silent_directory(silent: DataFrame, contacts: DataFrame) -> DataFrame:
     """Silent clients with their contacts, phones as stored; clients without contacts stay."""
-    people = contacts.select("client_fk", "contact_fk", "unique_id", "phone_number")
+    people = only_keys(
+        contacts.select("client_fk", "contact_fk", "unique_id", "phone_number"), silent, "client_fk"
+    )
     listed = left_join_hot(silent, people, ["client_fk"], ["contact_fk"])
     return _silent_columns(listed)
 
@@ -150,7 +170,8 @@ def daily_volume(
         .filter(F.col(DATE).between(F.lit(start), F.lit(as_of)))
         .groupBy("client_fk", "client_name")
         .agg(
-            day_mask(F.col(DATE), start, end).alias("seen"),
+            day_words(F.col(DATE), start, end).alias("seen"),
+            F.count_if(inside).alias("past_rows"),
             F.sum(F.when(inside, cases)).alias("cases"),
             F.count(F.when(inside, cases)).alias("rows"),
             F.when(F.count_if(today) > 0, total(F.when(today, cases))).alias("cases_today"),
@@ -159,9 +180,9 @@ def daily_volume(
     return (
         per_name.groupBy("client_fk")
         .agg(
-            days_in_mask(F.bit_or("seen")).alias("active_days"),
+            positions_in(merged_words("seen", window_length(start, end))).alias("active_days"),
             F.try_divide(F.sum("cases"), F.sum("rows")).alias("avg_case_load"),
-            F.min(F.when(F.col("seen").isNotNull(), F.col("client_name"))).alias("client_name"),
+            F.min(F.when(F.col("past_rows") > 0, F.col("client_name"))).alias("client_name"),
             F.sum("cases_today").alias("cases_today"),
         )
         .filter(F.col("avg_case_load") > min_avg_load)

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.functions.dates import days, distinct_days
+from casepulse.functions.dates import (
+    day_words,
+    days,
+    distinct_days,
+    merged_words,
+    positions_in,
+    window_length,
+)
 from casepulse.functions.numbers import pct_diff, total
 
 DATE = "case_receiving_date"
@@ -57,35 +64,68 @@ def steady_client_comparison(
 ) -> DataFrame:
     """Steady clients with cases on both earlier days, and the changes between the three days.
 
-    The three days join on the client id, so a client that changed its name in between is
-    still compared.
+    The three days meet by client id, so a client that changed its name in between is still
+    compared. One aggregate per client and name has the cohort's numbers and the three days; the
+    cohort by name is one semi-join of its short result, that by id needs no join.
     """
-    cases = daily_cases(daily, as_of=as_of, window_days=window_days)
-    cohort = steady_clients(
-        cases, as_of=as_of, window_days=window_days, min_days=min_days, min_cases=min_cases,
-        cohort_key=cohort_key,
+    start, size = as_of - days(window_days - 1), window_length(as_of - days(window_days - 1), as_of)
+
+    def on_day(back: int) -> Column:
+        return F.max(F.when(F.col(DATE) == F.lit(as_of - days(back)), F.col("total_cases")))
+
+    per_name = (
+        daily_cases(daily, as_of=as_of, window_days=window_days)
+        .groupBy("client_id", "client_name")
+        .agg(
+            day_words(F.col(DATE), start, as_of).alias("seen"),
+            F.min("total_cases").alias("least"),
+            *(on_day(back).alias(label) for back, label in enumerate(("today", "yesterday", "before"))),
+        )
     )
 
-    def on_day(back: int, label: str) -> DataFrame:
-        # The day is a grouping key, so this filter reaches the scan.
-        one_day = cases.filter(F.col(DATE) == F.lit(as_of - days(back)))
-        steady = one_day.join(cohort, cohort_key, "left_semi")
-        return steady.select(
-            "client_id",
-            F.col("client_name").alias(f"client_name_{label}"),
-            F.col("total_cases").alias(f"total_cases_{label}"),
+    def steady(active: Column, least: Column) -> Column:
+        return (positions_in(active) > min_days) & (least > min_cases)
+
+    if cohort_key == "client_name":
+        cohort = (
+            per_name.groupBy("client_name")
+            .agg(merged_words("seen", size).alias("seen"), F.min("least").alias("least"))
+            .filter(steady(F.col("seen"), F.col("least")))
         )
+        per_name = per_name.join(cohort.select("client_name"), "client_name", "left_semi")
+        wanted = F.lit(True)
+    else:
+        wanted = steady(F.col("seen"), F.col("least"))
+
+    def cases_on(label: str, *names: Column) -> Column:
+        found = F.struct(*names, F.col(label).alias(f"total_cases_{label}"))
+        return F.collect_list(F.when(F.col(label).isNotNull(), found)).alias(label)
 
-    both = on_day(1, "yesterday").join(on_day(2, "day_before"), "client_id")
-    return both.join(on_day(0, "today"), "client_id", "left").select(
-        "client_id",
-        "client_name_yesterday",
-        "total_cases_today",
-        "total_cases_yesterday",
-        "total_cases_day_before",
-        pct_diff("total_cases_today", "total_cases_yesterday").alias("drop_today_vs_yesterday"),
-        pct_diff("total_cases_yesterday", "total_cases_day_before").alias(
-            "drop_yesterday_vs_day_before"
-        ),
-        pct_diff("total_cases_today", "total_cases_day_before").alias("drop_today_vs_day_before"),
+    per_client = (
+        per_name.groupBy("client_id")
+        .agg(
+            merged_words("seen", size).alias("seen"), F.min("least").alias("least"),
+            cases_on("today"), cases_on("yesterday", F.col("client_name").alias("client_name_yesterday")),
+            cases_on("before"),
+        )
+        .filter(wanted)
+    )
+    # Each client has few names, so its lists are short; a client without a day's cases has none.
+    return (
+        per_client.select("client_id", "today", "before", F.inline("yesterday"))
+        .select("*", F.inline("before"))
+        .select("*", F.inline_outer("today"))
+        .withColumnRenamed("total_cases_before", "total_cases_day_before")
+        .select(
+            "client_id",
+            "client_name_yesterday",
+            "total_cases_today",
+            "total_cases_yesterday",
+            "total_cases_day_before",
+            pct_diff("total_cases_today", "total_cases_yesterday").alias("drop_today_vs_yesterday"),
+            pct_diff("total_cases_yesterday", "total_cases_day_before").alias(
+                "drop_yesterday_vs_day_before"
+            ),
+            pct_diff("total_cases_today", "total_cases_day_before").alias("drop_today_vs_day_before"),
+        )
     )

@@ -12,6 +12,7 @@ from casepulse.operators.keyed import (
     distinct_keys,
     join_hot,
     left_join_hot,
+    only_keys,
     without_ids,
 )
 from casepulse.schemas import DIRECTORY_EXCLUDED, MODALITY_SLA
@@ -27,14 +28,19 @@ def contact_directory(
     contacts: DataFrame,
     *,
     exclude: Sequence[int] | DataFrame | None = DIRECTORY_EXCLUDED,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Contacts of each client, plus the account itself as contact 0.
 
     A client without contacts is listed with contact 0 and empty, not missing, fields besides
     the account row. Duplicate rows are removed on each side before the join, which gives the
     same rows as removing them afterwards and leaves a client that owns a large share of the
-    contacts spread over many tasks.
+    contacts spread over many tasks. ``only`` (column client_fk) cuts both tables to those clients
+    first.
     """
+    if only is not None:
+        clients = only_keys(clients, only, "id", "client_fk")
+        contacts = only_keys(contacts, only, "client_fk")
     kept = without_ids(clients, "id", exclude).select(
         F.col("id").alias("client_fk"), "unique_id", "client_name", "email"
     )

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.functions import text
-from casepulse.operators.keyed import left_join_defaults, without_ids
+from casepulse.operators.keyed import left_join_defaults, only_keys, without_ids
 from casepulse.schemas import DAILY_EXCLUDED, DAILY_SINCE, DAILY_SLA
 
 NO_DATE = dt.date(1970, 1, 1)
+DAY_KEYS = ("client_fk", "client_name", "onboarded_date", "case_receiving_date", "client_source")
+MEASURES = ("total_case", "Within_TAT", "tat_breach")
 
 
 def client_day(cases: DataFrame, keys: Sequence[str], ts: str = "created_at") -> DataFrame:
@@ -28,30 +30,24 @@ def by_client_id(daily: DataFrame) -> DataFrame:
     return daily.withColumnRenamed("client_fk", "client_id")
 
 
+def daily_from_hours(hourly: DataFrame) -> DataFrame:
+    """The daily fact, from the hourly one: the same cases, summed over the hours of a day."""
+    sums = [F.sum(name).alias(name) for name in MEASURES]
+    return hourly.groupBy(*DAY_KEYS).agg(*sums).select(*DAY_KEYS, *MEASURES)
+
+
 def timed_cases(
-    studies: DataFrame,
-    clients: DataFrame,
-    *,
-    first: dt.date | None = None,
-    last: dt.date | None = None,
+    hourly: DataFrame, *, first: dt.date | None = None, last: dt.date | None = None
 ) -> DataFrame:
-    """Completed cases per client and hour, for the hourly reports; days as bounds are included.
-
-    Cases are counted before the client names join, so a hot client brings few rows to the join.
-    """
-    done = studies.filter(F.col("status") == "COMPLETED")
-    day = F.to_date("created_at")
+    """Cases per client and hour as the hourly reports read them; days as bounds are included."""
+    day = F.col("case_receiving_date")
     if first is not None:
-        done = done.filter(day >= F.lit(first))
+        hourly = hourly.filter(day >= F.lit(first))
     if last is not None:
-        done = done.filter(day <= F.lit(last))
-    counted = done.groupBy(
-        F.col("client_fk").alias("client_id"), day.alias("day"), F.hour("created_at").alias("hour")
-    ).agg(F.count(F.lit(1)).alias("total_case"))
-    start = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour"))
-    names = clients.select(F.col("id").alias("client_id"), "client_name")
-    return counted.join(names, "client_id").select(
-        "client_id", "client_name", start.alias("case_receiving_date"), "total_case"
+        hourly = hourly.filter(day <= F.lit(last))
+    start = day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour"))
+    return hourly.select(
+        F.col("client_fk").alias("client_id"), "client_name", start.alias("case_receiving_date"), "total_case"
     )
 
 
@@ -101,7 +97,7 @@ def _eligible_clients(
     )
 
 
-def daily_client_cases(
+def _client_cases(
     studies: DataFrame,
     study_details: DataFrame,
     clients: DataFrame,
@@ -114,16 +110,10 @@ def daily_client_cases(
     sla: Mapping[str, float] = DAILY_SLA,
     missing_tat: str = "zero",
     unescape: str = "double",
+    by_hour: bool = False,
 ) -> DataFrame:
-    """Completed, non-demo cases per client, onboarding day, case day and client source.
-
-    ``studies.id`` and ``clients.id`` are primary keys. Different (modality, minutes) rows of
-    one study each count as a case, equal ones count once.
-
-    The large tables meet on the study id only; client attributes join after the cases are
-    summed per client and day, so a client with a third of all cases never becomes one join
-    partition, and tables bucketed by study id need no shuffle before that sum.
-    """
+    """The cases of both facts, summed per client, day and, ``by_hour``, hour."""
+    times = ["case_receiving_date", "hour"] if by_hour else ["case_receiving_date"]
     cases = (
         studies.filter(F.col("status") == "COMPLETED")
         .filter(F.to_date("created_at") >= F.lit(since))
@@ -132,19 +122,22 @@ def daily_client_cases(
             F.col("id").alias("study_id"),
             "client_fk",
             F.to_date("created_at").alias("case_receiving_date"),
+            F.hour("created_at").alias("hour"),
             text.modality(F.col("rules"), unescape).alias("modality"),
         )
     )
-    # A study stays when it has no detail row or any that is not a demo.
+    # Both side tables are cut to the wanted studies before they are summed, which leaves them
+    # shuffled by study for all that follows. A study stays when it has no detail row or any that is not a demo.
     demo = (
-        study_details.groupBy(F.col("study_fk").alias("study_id"))
+        only_keys(study_details, cases, "study_fk", "study_id")
+        .groupBy(F.col("study_fk").alias("study_id"))
         .agg(F.bool_and(F.coalesce(F.col("is_demo"), F.lit(False))).alias("only_demo"))
         .filter("only_demo")
         .select("study_id")
     )
     limits = sorted(set(sla.values()))
     per_study = (
-        tat.select("study_id", "modality", "tat_min").distinct()
+        only_keys(tat.select("study_id", "modality", "tat_min"), cases, "study_id").distinct()
         .groupBy("study_id")
         .agg(
             F.count(F.lit(1)).alias("tat_rows"),
@@ -173,7 +166,7 @@ def daily_client_cases(
         F.coalesce(F.sum(F.when(real, value)), F.lit(0)).alias(f"real_{name}")
         for name, value in measures.items()
     ]
-    client_days = timed.groupBy("client_fk", "case_receiving_date").agg(*sums, *real_sums)
+    client_days = timed.groupBy("client_fk", *times).agg(*sums, *real_sums)
 
     dims = _eligible_clients(clients, client_details, client_settings, exclude)
     partner = F.col("oms_partner") == 1
@@ -184,7 +177,7 @@ def daily_client_cases(
             "client_fk",
             "client_name",
             "onboarded_date",
-            "case_receiving_date",
+            *times,
             "client_source",
             *[
                 F.when(partner, F.col(f"real_{name}")).otherwise(F.col(name)).alias(name)
@@ -192,3 +185,23 @@ def daily_client_cases(
             ],
         )
     )
+
+
+def daily_client_cases(*tables: DataFrame, **options) -> DataFrame:
+    """Completed, non-demo cases per client, onboarding day, case day and client source.
+
+    Tables: studies, study_details, clients, client_details, client_settings, client_tat_metrics.
+    Options: ``since`` (first day), ``exclude`` (clients), ``sla`` (minutes by modality),
+    ``missing_tat``, ``unescape``. ``studies.id`` and ``clients.id`` are primary keys. Different
+    (modality, minutes) rows of one study each count as a case, equal ones count once.
+
+    The large tables meet on the study id only; client attributes join after the cases are
+    summed per client and day, so a client with a third of all cases never becomes one join
+    partition.
+    """
+    return _client_cases(*tables, **options)
+
+
+def hourly_client_cases(*tables: DataFrame, **options) -> DataFrame:
+    """The daily fact with the hour of the day as one more key: the same cases by the same rules."""
+    return _client_cases(*tables, **options, by_hour=True)

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 MATCHED, SALT = "__matched", "__salt"
 
-# Parts a key is spread over in joins whose other side is hot.
-SALTS = 16
-
 
 def left_join_defaults(
     df: DataFrame, dim: DataFrame, on: Sequence[str], defaults: Mapping[str, Any]
@@ -31,21 +28,24 @@ def left_join_defaults(
 
 
 def join_hot(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str]
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+    parts: int | None = None,
 ) -> DataFrame:
     """Inner join for a right side in which one key may hold a large share of the rows.
 
-    Right rows are spread over SALTS parts of their key by other columns, left rows repeated
-    for each part. Meant for a left side with few rows per key.
+    Right rows are spread over ``parts`` parts of their key by other columns, left rows repeated
+    for each part. Meant for a left side with few rows per key. Without a number of parts there
+    are as many as shuffle partitions, so that a hot key fills all tasks of a cluster.
     """
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = left.withColumn(SALT, F.explode(salts))
-    spread = right.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = left.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread = right.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int"))
     return repeated.join(spread, [*on, SALT]).drop(SALT)
 
 
 def left_join_hot(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str]
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+    parts: int | None = None,
 ) -> DataFrame:
     """Left join for a right side in which one key may hold a large share of the rows.
 
@@ -53,7 +53,7 @@ def left_join_hot(
     against the distinct keys; an outer join could not split its right side.
     """
     keys = list(on)
-    matched = join_hot(left, right, keys, spread_by)
+    matched = join_hot(left, right, keys, spread_by, parts)
     unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
@@ -110,5 +110,10 @@ def column_or_default(df: DataFrame, name: str, default: Any = 0) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
+def only_keys(df: DataFrame, wanted: DataFrame, key: str, of: str | None = None) -> DataFrame:
+    """Rows whose ``key`` is one of those in ``wanted`` (its column ``of``): cuts a table before it is summed."""
+    return df.join(wanted.select(F.col(of or key).alias(key)), key, "left_semi")
+
+
 def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).dropna(subset=list(keys)).distinct()

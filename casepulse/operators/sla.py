@@ -12,7 +12,7 @@ from casepulse.functions import text
 from casepulse.functions.dates import days
 from casepulse.functions.numbers import total
 from casepulse.operators.facts import missing_tat_value, pick_by_modality
-from casepulse.operators.keyed import left_join_defaults, without_ids
+from casepulse.operators.keyed import left_join_defaults, only_keys, without_ids
 from casepulse.schemas import MODALITY_EXCLUDED, MODALITY_SLA
 
 # Who may ask for a rework that counts.
@@ -26,7 +26,6 @@ def counted_reworks(reworks: DataFrame) -> DataFrame:
         & F.col("by_user_type").isin(*REWORK_USERS)
         & F.col("complete_reason_fk").isNull()
     ).select(
-        F.to_date("created_at").alias("rework_date"),
         F.col("id").alias("rework_id"),
         F.col("study_fk").alias("study_id"),
     )
@@ -51,7 +50,8 @@ def _studies_with_weights(
     """One row per study with the number of joined rows it stands for.
 
     Joining reworks and turn-around rows to a study multiplies them; the counts only need the
-    products, so both sides are summed per study first and no pair is ever built.
+    products, so both sides are summed per study first and no pair is ever built. They are cut to
+    the wanted studies before that.
     """
     cases = studies.filter(wanted).select(
         F.col("id").alias("study_id"),
@@ -61,7 +61,7 @@ def _studies_with_weights(
         text.modality(F.col("rules"), unescape).alias("modality"),
     )
     limits = sorted(set(sla.values()))
-    per_study = tat.groupBy("study_id").agg(
+    per_study = only_keys(tat, cases, "study_id").groupBy("study_id").agg(
         F.count(F.lit(1)).alias("tat_rows"),
         *[F.count_if(F.col("overall_tat") <= limit).alias(f"within_{i}") for i, limit in enumerate(limits)],
     )
@@ -73,7 +73,7 @@ def _studies_with_weights(
     if reworks is None:
         weighted = timed.withColumns({"rework_rows": F.lit(1), "rework_ids": F.lit(0)})
     else:
-        redone = counted_reworks(reworks).groupBy("study_id").agg(
+        redone = only_keys(counted_reworks(reworks), cases, "study_id").groupBy("study_id").agg(
             F.count(F.lit(1)).alias("rework_rows"),
             F.count_if(F.col("rework_id") != 0).alias("rework_ids"),
         )
@@ -131,13 +131,15 @@ def modality_sla_summary(
     missing_tat: str = "zero",
     distinct_studies: bool = False,
     completed_only_recent: bool = False,
+    any_status: bool = False,
     unescape: str = "single",
 ) -> DataFrame:
     """Case, within-target and rework counts per client and modality, overall and recent.
 
     The overall block takes completed studies of any day; the recent block studies of any
     status from ``as_of - recent_days`` on, or of the calendar month with ``recent='month'``
-    (then without rework counts). Only clients with a completed study appear.
+    (then without rework counts). Only clients with a completed study appear, unless
+    ``any_status``: for studies that were cut to part of a client's history.
 
     One scan of the studies serves both blocks. ``clients.id`` is a primary key and joins after
     the aggregate.
@@ -182,7 +184,7 @@ def modality_sla_summary(
             *_block_columns(sla, "total", "", with_rework),
             *_block_columns(sla, "recent", prefix, with_rework),
         )
-        .filter("completed_studies > 0")
+        .filter(F.lit(any_status) | (F.col("completed_studies") > 0))
         .drop("completed_studies")
     )
     names = clients.select(F.col("id").alias("client_fk"), "client_name")

@@ -59,7 +59,9 @@ def survey_entries(
     """One entry per contact, triggered unless its last entry lies within the cool-down.
 
     A contact listed twice keeps the row of the first tier, then of the smallest client.
-    ``cooldown_on='triggered'`` counts only earlier entries that were triggered themselves.
+    The cool-down is one of ``dedup_keys`` too: with client and contact, an entry for a contact of
+    one client does not hold back another client's. ``cooldown_on='triggered'`` counts only
+    earlier entries that were triggered themselves.
     Only entries before ``as_of_ts`` count, so a repeated run decides as the first one did.
     """
     tier_rank = F.array_position(F.array(*[F.lit(name) for name in tier_order]), F.col("churn_type"))
@@ -76,10 +78,10 @@ def survey_entries(
     recent = survey_log.filter((F.col("created_at") >= limit) & (F.col("created_at") < now))
     if cooldown_on == "triggered":
         recent = recent.filter("trigger")
-    held_back = distinct_keys(recent, "contact_fk").withColumn("__recent", F.lit(True))
+    held_back = distinct_keys(recent, *dedup_keys).withColumn("__recent", F.lit(True))
     # A missing contact finds no earlier entry, as '=' never matches it.
     return (
-        kept.join(held_back, "contact_fk", "left")
+        kept.join(held_back, list(dedup_keys), "left")
         .withColumns(
             {"trigger": F.col("__recent").isNull(), "created_at": now, "updated_at": now}
         )
@@ -103,16 +105,28 @@ def id_block(client_fk: Column, contact_fk: Column) -> Column:
     return F.substring(F.md5(key), 1, BLOCK_DIGITS)
 
 
+def _held(survey_log: DataFrame, as_of_ts: dt.datetime) -> DataFrame:
+    """The entries of ``as_of_ts`` that the log already has: client_fk, contact_fk, held_id."""
+    own = survey_log.filter(F.col("created_at") == timestamp(as_of_ts))
+    return own.groupBy("client_fk", "contact_fk").agg(F.min("id").alias("held_id"))
+
+
 def with_created_id(
     entries: DataFrame, survey_log: DataFrame, *, as_of_ts: dt.datetime
 ) -> DataFrame:
-    """Entries with consecutive ids that continue those of the log.
+    """Entries with their ids: that of the log if it holds the entry, else the next ones after it.
 
-    Log rows of ``as_of_ts`` itself stem from an earlier attempt of the same run and are ignored.
-    Rows are numbered inside hash blocks and every block starts where the ones before it end.
-    Only the block sizes, at most 16**BLOCK_DIGITS rows, meet in one task.
+    An entry is held if the log has its client and contact at ``as_of_ts``, from an earlier attempt
+    of the same run; its id is in use and stays, whatever else has changed since. The others go on
+    from the largest id of the whole log. They are numbered inside hash blocks and every block
+    starts where the ones before it end; only the block sizes, at most 16**BLOCK_DIGITS rows, meet
+    in one task.
     """
-    blocks = entries.withColumn("__block", id_block(F.col("client_fk"), F.col("contact_fk")))
+    known = null_safe_left_join(entries, _held(survey_log, as_of_ts), ["client_fk", "contact_fk"])
+    held = known.filter("held_id is not null").select(F.col("held_id").alias("created_id"), *entries.columns)
+    blocks = known.filter("held_id is null").withColumn(
+        "__block", id_block(F.col("client_fk"), F.col("contact_fk"))
+    )
     in_block = Window.partitionBy("__block").orderBy("client_fk", "contact_fk")
     numbered = blocks.withColumn("__row", F.row_number().over(in_block))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,26 +135,19 @@ def with_created_id(
         .agg(F.count(F.lit(1)).alias("__size"))
         .select("__block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     )
-    others = survey_log.filter(F.col("created_at") != timestamp(as_of_ts))
-    last_id = F.coalesce(others.agg(F.max("id")).scalar(), F.lit(0))
-    return numbered.join(F.broadcast(starts), "__block").select(
+    last_id = F.coalesce(survey_log.agg(F.max("id")).scalar(), F.lit(0))
+    new = numbered.join(F.broadcast(starts), "__block").select(
         (last_id + F.col("__start") + F.col("__row")).alias("created_id"), *entries.columns
     )
+    return held.unionByName(new)
 
 
 def new_entries(
     created: DataFrame, survey_log: DataFrame, *, as_of_ts: dt.datetime
 ) -> DataFrame:
     """Entries the log does not hold yet, in the log's layout; a repeated run adds nothing."""
-    held = (
-        survey_log.filter(F.col("created_at") == timestamp(as_of_ts))
-        .select(F.col("contact_fk").alias("__contact"), F.col("created_at").alias("__created"))
-        .distinct()
-    )
-    same = F.col("contact_fk").eqNullSafe(F.col("__contact")) & (
-        F.col("created_at") == F.col("__created")
-    )
-    return created.join(held, same, "left_anti").select(
+    known = null_safe_left_join(created, _held(survey_log, as_of_ts), ["client_fk", "contact_fk"])
+    return known.filter("held_id is null").select(
         F.col("created_id").alias("id"),
         "contact_fk",
         "client_fk",

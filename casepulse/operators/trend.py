@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.functions.dates import days, distinct_bits, monday_of
+from casepulse.functions.dates import days, distinct_positions, monday_of
 from casepulse.functions.numbers import pct_diff, total
 from casepulse.operators.keyed import last_n_per_key
 
@@ -21,10 +21,11 @@ CASES = "total_case"
 
 
 class Period(NamedTuple):
-    """Days a comparison takes, and the number of the week or month each of them falls into."""
+    """Days a comparison takes, the number of the week or month each falls into, and a bound of it."""
 
     rows: Column
     position: Column
+    size: int
 
 
 def _day() -> Column:
@@ -44,11 +45,11 @@ def _month_rows(as_of: dt.date, year_aware: bool) -> Column:
 def _months_period(as_of: dt.date, year_aware: bool) -> Period:
     if not year_aware:
         rows = (_day() < F.lit(as_of)) & (F.month(_day()) >= as_of.month - 3)
-        return Period(rows, F.month(_day()))
+        return Period(rows, F.month(_day()), 13)
     first = F.lit(as_of.replace(day=1))
     start = F.add_months(first, -3)
     rows = (_day() >= start) & (_day() < first)
-    return Period(rows, F.floor(F.months_between(F.trunc(_day(), "month"), start)))
+    return Period(rows, F.floor(F.months_between(F.trunc(_day(), "month"), start)), 3)
 
 
 def _weeks_period(as_of: dt.date, whole_weeks: bool) -> Period:
@@ -57,13 +58,13 @@ def _weeks_period(as_of: dt.date, whole_weeks: bool) -> Period:
         rows = _day().between(F.lit(monday - days(21)), F.lit(monday - days(1)))
     else:
         rows = _day().between(F.lit(as_of - days(28)), F.lit(as_of - days(1)))
-    return Period(rows, F.weekofyear(_day()))
+    return Period(rows, F.weekofyear(_day()), 54)
 
 
 def _mean_per_period(period: Period) -> Column:
     """Aggregate: mean over the periods present of the cases per period."""
     cases = total(F.when(period.rows, F.col(CASES)))
-    return F.try_divide(cases, distinct_bits(F.when(period.rows, period.position)))
+    return F.try_divide(cases, distinct_positions(F.when(period.rows, period.position), period.size))
 
 
 def _days(daily: DataFrame, grain: str) -> DataFrame:
@@ -150,30 +151,16 @@ def drop_percentages(report: DataFrame) -> DataFrame:
     )
 
 
-def _joined_baselines(
-    daily: DataFrame, as_of: dt.date, grain: str, year_aware: bool, whole_weeks: bool
-) -> DataFrame:
-    report = today_cases(daily, as_of=as_of, grain=grain)
-    for part in (
-        yesterday_cases(daily, as_of=as_of, grain=grain),
-        last_same_weekdays(daily, as_of=as_of, grain=grain),
-        week_to_date(daily, as_of=as_of),
-        month_cases(daily, as_of=as_of, year_aware=year_aware),
-        last_3_weeks(daily, as_of=as_of, whole_weeks=whole_weeks),
-        last_3_months(daily, as_of=as_of, year_aware=year_aware),
-    ):
-        report = report.join(part, "client_id", "left")
-    return report
-
-
 def _single_pass_baselines(
-    daily: DataFrame, as_of: dt.date, year_aware: bool, whole_weeks: bool
+    daily: DataFrame, as_of: dt.date, grain: str, year_aware: bool, whole_weeks: bool
 ) -> DataFrame:
-    """All sums and period means from one hash aggregate per client.
+    """All sums and period means from one aggregate per client.
 
     The names join from today's rows alone: a minimum over text would make Spark sort the whole
-    history for this aggregate.
+    history for this aggregate. At row grain yesterday's rows come as a list, and each of today's
+    rows is listed once for each of them.
     """
+    by_row = grain == "row"
     today = _day() == F.lit(as_of)
     yesterday = _day() == F.lit(as_of - days(1))
     week = _week_rows(as_of)
@@ -187,19 +174,25 @@ def _single_pass_baselines(
         .groupBy("client_id")
         .agg(
             total(F.when(today, cases)).alias("today_case"),
-            F.when(F.count_if(yesterday) > 0, total(F.when(yesterday, cases))).alias(
-                "yesterday_case_count"
-            ),
+            (
+                F.collect_list(F.when(yesterday, F.struct(cases.alias("yesterday_case_count"))))
+                if by_row
+                else F.when(F.count_if(yesterday) > 0, total(F.when(yesterday, cases)))
+            ).alias("yesterday_case_count"),
             total(F.when(week, cases)).alias("week_case_count"),
             total(F.when(month, cases)).alias("month_case_count"),
             _mean_per_period(weeks).alias("avg_case_count_last_3_weeks"),
             _mean_per_period(months).alias("avg_case_count_last_3_months"),
         )
     )
-    names = today_cases(daily, as_of=as_of).select("client_id", "client_name")
-    return names.join(summed, "client_id").join(
-        last_same_weekdays(daily, as_of=as_of), "client_id", "left"
-    )
+    last = last_same_weekdays(daily, as_of=as_of, grain=grain)
+    if not by_row:
+        names = today_cases(daily, as_of=as_of).select("client_id", "client_name")
+        return names.join(summed, "client_id").join(last, "client_id", "left")
+    rows = today_cases(daily, as_of=as_of, grain=grain)
+    known = rows.join(summed.drop("today_case"), "client_id", "left").join(last, "client_id", "left")
+    others = [c for c in known.columns if c != "yesterday_case_count"]
+    return known.select(*others, F.inline_outer("yesterday_case_count"))
 
 
 def trend_report(
@@ -211,10 +204,7 @@ def trend_report(
     whole_weeks: bool = False,
 ) -> DataFrame:
     """One row per client with cases today: counts, baselines and the changes against them."""
-    if grain == "row":
-        report = _joined_baselines(daily, as_of, grain, year_aware, whole_weeks)
-    else:
-        report = _single_pass_baselines(daily, as_of, year_aware, whole_weeks)
+    report = _single_pass_baselines(daily, as_of, grain, year_aware, whole_weeks)
     return drop_percentages(report).select(
         "client_id",
         "client_name",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.functions.dates import (
-    distinct_bits,
+    distinct_positions,
     interval_label,
     same_weekday_dates,
     weekday_label,
@@ -49,7 +49,7 @@ def same_weekday_drop(
         .groupBy("client_id", "client_name")
         .agg(
             total(F.when(past, cases)).alias("past_cases"),
-            distinct_bits(F.when(past, F.col("weeks_back"))).alias("past_days"),
+            distinct_positions(F.col("weeks_back") - 1, weeks).alias("past_days"),
             F.when(F.count_if(today) > 0, total(F.when(today, cases))).alias("today_cases"),
         )
     )
@@ -90,7 +90,7 @@ def same_weekday_hourly(
     past_sum = total(F.when(past, F.col("total_case")))
     if divisor == "present":
         average = F.coalesce(
-            F.try_divide(past_sum, distinct_bits(F.when(past, F.col("weeks_back")))), F.lit(0.0)
+            F.try_divide(past_sum, distinct_positions(F.col("weeks_back") - 1, weeks)), F.lit(0.0)
         )
     else:
         average = past_sum / F.lit(weeks)

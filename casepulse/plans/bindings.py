@@ -20,6 +20,8 @@ EVENTS_LAST_DAY = dt.date(2024, 1, 30)
 TREND_AS_OF = dt.date(2001, 7, 31)
 SLA_AS_OF = dt.date(2001, 8, 1)
 DAILY_FROM = dt.date(2024, 1, 5)
+LONG_WINDOW, QUARTER, MANY_WEEKS, FEW_DAYS = 400, 90, 80, 10
+OTHER_SLA = {"XRAY": 30, "MRI": 90}
 SAMPLE_TIERS = (
     Tier(12, 30, 1, "Tier 1"),
     Tier(10, 11, 3, "Tier 2"),
@@ -106,6 +108,42 @@ def timed_cases(t: Tables) -> DataFrame:
     )
 
 
+def odd_rules(t: Tables) -> DataFrame:
+    """Rules of all shapes: a null, scalar or empty first list, objects, escaped marks, none at all."""
+    shape = F.col("event_id") % 10
+    kind = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    rules = (
+        F.when(shape == 0, F.concat(F.lit('[{"list":null},{"list":['), kind, F.lit("]}]")))
+        .when(shape == 1, F.concat(F.lit('[{"list":"MRI"},{"list":['), kind, F.lit("]}]")))
+        .when(shape == 2, F.concat(F.lit('[{"list":[]},{"list":['), kind, F.lit("]}]")))
+        .when(shape == 3, F.concat(F.lit('[{"list":[{"name":'), kind, F.lit('},"CT"]}]')))
+        .when(shape == 4, F.replace(rules_json(F.col("event_type"), F.lit("US")), F.lit('"'), F.lit('\\"')))
+        .when(shape == 5, F.concat(F.lit('[{"other":1},{"list":['), kind, F.lit("]}]")))
+        .when(shape == 6, F.lit("[{}]"))
+        .when(shape == 7, F.lit(""))
+        .when(shape == 8, rules_json(event_modality(), F.col("event_type")))
+    )
+    return t.read("events").select(F.col("event_id").alias("id"), rules.alias("rules"))
+
+
+def event_times(t: Tables) -> DataFrame:
+    """The events' times as text, some of them malformed."""
+    given = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return t.read("events").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("at "), given)).otherwise(given).alias("at"),
+    )
+
+
+def shared_account_log(t: Tables) -> DataFrame:
+    """The survey log, with entries of a third of the clients for their account, contact 0."""
+    log = customer_survey_log(t)
+    own = log.filter(F.col("client_fk") % 3 == 0).withColumns(
+        {"id": F.col("id") + 10_000_000, "contact_fk": F.lit(0).cast("long"), "trigger": F.lit(True)}
+    )
+    return log.unionByName(own)
+
+
 def event_studies(t: Tables) -> DataFrame:
     share = F.get_json_object("props", "$.k").cast("int")
     return t.read("events").select(

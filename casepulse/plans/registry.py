@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casepulse.functions import dates, numbers, text
@@ -13,6 +13,7 @@ from casepulse.operators import (
     comparison,
     contacts,
     facts,
+    keyed,
     outbox,
     sla,
     survey,
@@ -47,6 +48,40 @@ def daily_client_cases(t: Tables) -> DataFrame:
     )
 
 
+def _case_tables(t: Tables) -> list[DataFrame]:
+    return [
+        b.event_studies(t), b.event_details(t), b.customer_clients(t), b.customer_details(t),
+        b.customer_settings(t), b.event_client_tat(t),
+    ]
+
+
+@query
+def hourly_client_cases(t: Tables) -> DataFrame:
+    return facts.hourly_client_cases(*_case_tables(t), since=b.DAILY_FROM)
+
+
+@query
+def timed_cases(t: Tables) -> DataFrame:
+    """The hourly fact as the hourly reports read it, over two weeks."""
+    last = b.DAILY_FROM + dates.days(13)
+    return facts.timed_cases(hourly_client_cases(t), first=b.DAILY_FROM, last=last)
+
+
+@query
+def daily_from_hours(t: Tables) -> DataFrame:
+    """The daily fact summed from the hourly one, under the id's other name."""
+    return facts.by_client_id(facts.daily_from_hours(hourly_client_cases(t)))
+
+
+@query
+def daily_client_cases_excluding(t: Tables) -> DataFrame:
+    """Excluded clients come from a table, and studies without a time are left out of the target counts."""
+    excluded = t.read("customer").filter("c_mktsegment = 'FURNITURE'").select("c_custkey")
+    return facts.daily_client_cases(
+        *_case_tables(t), since=b.DAILY_FROM, exclude=excluded, missing_tat="exclude", unescape="single"
+    )
+
+
 @query
 def modality_sla_summary(t: Tables) -> DataFrame:
     return sla.modality_sla_summary(
@@ -71,6 +106,28 @@ def modality_sla_distinct(t: Tables) -> DataFrame:
     )
 
 
+@query
+def modality_sla_other_targets(t: Tables) -> DataFrame:
+    """Other targets, ten recent days."""
+    return sla.modality_sla_summary(
+        b.order_studies(t), b.line_reworks(t), b.order_phase_tat(t), b.nation_clients(t),
+        as_of=b.SLA_AS_OF, recent_days=b.FEW_DAYS, sla=b.OTHER_SLA,
+    )
+
+
+@query
+def json_modality_odd(t: Tables) -> DataFrame:
+    return b.odd_rules(t).select("id", text.modality(F.col("rules")).alias("modality"))
+
+
+@query
+def parsed_times(t: Tables) -> DataFrame:
+    """Lenient parse of text; strict parse of its day where that worked."""
+    at = dates.parse_timestamp_or_null(F.col("at"))
+    day = F.when(at.isNotNull(), dates.parse_date(F.substring("at", 1, 10)))
+    return b.event_times(t).select("id", at.cast("timestamp_ntz").alias("parsed"), day.alias("day"))
+
+
 @query
 def json_modality(t: Tables) -> DataFrame:
     return b.event_studies(t).select("id", text.modality(F.col("rules")).alias("modality"))
@@ -100,23 +157,39 @@ def churn_tiers(t: Tables) -> DataFrame:
     return _churn(t)
 
 
+@query
+def client_activity_long(t: Tables) -> DataFrame:
+    """Active days in a window of 400 days."""
+    daily = b.long_daily(t).withColumnRenamed("client_id", "client_fk")
+    return activity.client_activity(daily, as_of=b.TREND_AS_OF, window_days=b.LONG_WINDOW)
+
+
+@query
+def daily_volume_long(t: Tables) -> DataFrame:
+    """The volume watch over a window of 90 days."""
+    daily = b.long_daily(t).withColumnRenamed("client_id", "client_fk")
+    return activity.daily_volume(daily, as_of=b.TREND_AS_OF, min_avg_load=0, window_days=b.QUARTER)
+
+
 @query
 def silent_clients(t: Tables) -> DataFrame:
     return activity.silent_clients(b.dense_daily(t), as_of=b.EVENTS_LAST_DAY)
 
 
-def _directory(t: Tables) -> DataFrame:
-    return contacts.contact_directory(b.customer_clients(t), b.customer_contacts(t))
+def _directory(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    return contacts.contact_directory(b.customer_clients(t), b.customer_contacts(t), only=only)
 
 
 @query
 def silent_directory(t: Tables) -> DataFrame:
-    return activity.silent_directory(silent_clients(t), _directory(t))
+    silent = silent_clients(t)
+    return activity.silent_directory(silent, _directory(t, silent))
 
 
 @query
 def silent_contacts(t: Tables) -> DataFrame:
-    return activity.silent_contacts(silent_clients(t), _directory(t))
+    silent = silent_clients(t)
+    return activity.silent_contacts(silent, _directory(t, silent))
 
 
 @query
@@ -158,6 +231,12 @@ def same_weekday_drop_with_silent(t: Tables) -> DataFrame:
     )
 
 
+@query
+def same_weekday_drop_long(t: Tables) -> DataFrame:
+    """Against 80 earlier weeks."""
+    return weekday.same_weekday_drop(b.long_daily(t), as_of=b.TREND_AS_OF, weeks=b.MANY_WEEKS)
+
+
 @query
 def same_weekday_hourly(t: Tables) -> DataFrame:
     return weekday.same_weekday_hourly(b.timed_cases(t), as_of=b.CHURN_AS_OF)
@@ -245,7 +324,7 @@ def last_3_months(t: Tables) -> DataFrame:
 
 @query
 def drop_percentages(t: Tables) -> DataFrame:
-    """The changes alone, from the joined row-grain form of the report."""
+    """The changes alone, at row grain."""
     report = trend.trend_report(b.long_daily(t), as_of=b.TREND_AS_OF, grain="row")
     return report.select("client_id", *[c for c in report.columns if c.startswith("drop_")])
 
@@ -279,13 +358,19 @@ def _recent_modality(t: Tables, churn: DataFrame) -> DataFrame:
 @query
 def churn_contacts(t: Tables) -> DataFrame:
     churn = _staged_churn(t)
-    return contacts.churn_contacts(churn, _directory(t), _recent_modality(t, churn))
+    return contacts.churn_contacts(churn, _directory(t, churn), _recent_modality(t, churn))
+
+
+@query
+def churn_contacts_plain(t: Tables) -> DataFrame:
+    """The same without the recent counts."""
+    return keyed.drop_matching(churn_contacts(t), "Last_30_")
 
 
 @query
 def reachable_contacts(t: Tables) -> DataFrame:
     churn = _staged_churn(t)
-    return contacts.reachable_contacts(churn, _directory(t), _recent_modality(t, churn))
+    return contacts.reachable_contacts(churn, _directory(t, churn), _recent_modality(t, churn))
 
 
 def _entries(t: Tables, reachable: DataFrame) -> DataFrame:
@@ -302,9 +387,9 @@ def survey_entries(t: Tables) -> DataFrame:
 
 @query
 def survey_entries_per_client(t: Tables) -> DataFrame:
-    """One entry per client and contact; only triggered entries hold the next one back."""
+    """One entry and one cool-down per client and contact, of triggered entries; accounts share contact 0."""
     return survey.survey_entries(
-        reachable_contacts(t), b.customer_survey_log(t), as_of_ts=b.CHURN_AS_OF_TS,
+        reachable_contacts(t), b.shared_account_log(t), as_of_ts=b.CHURN_AS_OF_TS,
         dedup_keys=("client_fk", "contact_fk"), cooldown_on="triggered",
         tier_order=[tier.churn_category for tier in b.SAMPLE_TIERS],
     )
@@ -322,6 +407,25 @@ def survey_append(t: Tables) -> DataFrame:
     return survey.new_entries(created, b.customer_survey_log(t), as_of_ts=b.CHURN_AS_OF_TS)
 
 
+@query
+def survey_rerun(t: Tables) -> DataFrame:
+    """Ids of a run that is repeated after half of its entries were appended."""
+    entries = stage(t.spark, _entries(t, reachable_contacts(t)), "entries")
+    log = b.customer_survey_log(t)
+    first = survey.with_created_id(entries.filter("contact_fk % 2 = 0"), log, as_of_ts=b.CHURN_AS_OF_TS)
+    held = stage(t.spark, survey.new_entries(first, log, as_of_ts=b.CHURN_AS_OF_TS), "held")
+    grown = log.unionByName(held)
+    again = survey.with_created_id(entries, grown, as_of_ts=b.CHURN_AS_OF_TS)
+    ids = held.select("client_fk", "contact_fk", F.col("id").alias("log_id"))
+    known = keyed.null_safe_left_join(again, ids, ["client_fk", "contact_fk"])
+    return known.select(
+        "client_fk", "contact_fk", F.col("log_id").isNotNull().alias("held"),
+        F.coalesce(F.col("created_id") == F.col("log_id"), F.lit(False)).alias("same_id"),
+        F.count(F.lit(1)).over(Window.partitionBy("created_id")).alias("uses_of_id"),
+        (F.col("created_id") > log.agg(F.max("id")).scalar()).alias("after_log"),
+    )
+
+
 @query
 def last_survey_entries(t: Tables) -> DataFrame:
     return survey.last_entries(b.customer_survey_log(t))
@@ -342,28 +446,34 @@ def survey_to_notify(t: Tables) -> DataFrame:
     return survey.survey_to_notify(_merged(t))
 
 
-def _outbox(t: Tables) -> DataFrame:
-    return outbox.message_outbox(
+def _outbox(t: Tables, only_triggered: bool = False) -> DataFrame:
+    messages = outbox.message_outbox(
         _merged(t), template_id=b.TEMPLATE_ID, source=b.SOURCE_NUMBER, sender=b.SENDER,
-        link_base=b.LINK_BASE,
+        link_base=b.LINK_BASE, only_triggered=only_triggered,
     )
+    return messages.withColumn("params", F.array_join("params", "|"))
 
 
 @query
 def message_outbox(t: Tables) -> DataFrame:
-    return _outbox(t).withColumn("params", F.array_join("params", "|"))
+    return _outbox(t)
+
+
+@query
+def message_outbox_triggered(t: Tables) -> DataFrame:
+    return _outbox(t, only_triggered=True)
 
 
 @query
 def modality_payload(t: Tables) -> DataFrame:
-    rows = outbox.modality_payload(_merged(t))
+    rows = outbox.modality_payload(survey.survey_to_notify(_merged(t)))
     return rows.select("created_id", "client_fk", "contact_fk", "Client_Name", F.inline("modality_data"))
 
 
 @query
 def mail_recipients(t: Tables) -> DataFrame:
     mails = outbox.mail_recipients(
-        outbox.modality_payload(_merged(t)), F.array(*[F.lit(address) for address in b.CC])
+        outbox.modality_payload(survey.survey_to_notify(_merged(t))), F.array(*[F.lit(address) for address in b.CC])
     )
     entries = mails.select("created_id", "contact_fk", F.inline("recipients"))
     return entries.withColumnsRenamed({"email": "address", "type": "kind"})

@@ -39,6 +39,10 @@ SCHEMAS: dict[str, T.StructType] = {
         id=_LONG, contact_fk=_LONG, client_fk=_LONG, client_active_type=_STR, churn_type=_STR,
         response=_STR, trigger=_BOOL, created_at=_TS, updated_at=_TS,
     ),
+    "hourly_client_cases": _struct(
+        client_fk=_LONG, client_name=_STR, onboarded_date=_DATE, case_receiving_date=_DATE,
+        hour=T.IntegerType(), client_source=_STR, total_case=_LONG, Within_TAT=_LONG, tat_breach=_LONG,
+    ),
     "daily_client_cases": _struct(
         client_fk=_LONG, client_name=_STR, onboarded_date=_DATE, case_receiving_date=_DATE,
         client_source=_STR, total_case=_LONG, Within_TAT=_LONG, tat_breach=_LONG,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,30 +27,54 @@ def write_report(
     df.write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
 
-def write_daily_fact(daily: DataFrame, path: str) -> None:
-    """The daily fact, one folder per case day; days not in the input stay as they are.
+def write_by_day(fact: DataFrame, path: str, *, since: dt.date | None = None) -> None:
+    """A fact, one folder per case day; days of the input replace what is stored of them.
 
-    The rebalance gives each day few files and splits a day that is too large for one. A day that
-    lost its last case is not in the input either and keeps its old rows.
+    With ``since`` the input is all there is from then on: a stored day from ``since`` that is not
+    in it lost its last case, and its folder goes. The rebalance gives each day few files and
+    splits a day that is too large for one. The input is staged, as its days are read as well.
     """
-    day = "case_receiving_date"
-    daily.hint("rebalance", day).write.mode("overwrite").option(
+    day, spark = "case_receiving_date", fact.sparkSession
+    staged = stage(spark, fact, "fact")
+    staged.hint("rebalance", day).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(day).parquet(path)
+    if since is not None:
+        stored = spark.read.schema(fact.schema).parquet(path).filter(F.col(day) >= F.lit(since))
+        gone = stored.select(day).distinct().join(staged.select(day).distinct(), day, "left_anti")
+        for row in gone.collect():  # days, not rows of the fact
+            remove_folder(spark, f"{path}/{day}={row[0].isoformat()}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever the path points, as Spark's writers do when they overwrite."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """A table bucketed and sorted by its key: tables with equal buckets join without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside go to one folder, which is removed at the end."""
+    path = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+        remove_folder(spark, path)
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write to a new folder on shared storage and read back.
 
     Cuts the lineage: what is read twice is computed once, stays the same whatever happens to
-    its sources, and survives the loss of executors.
+    its sources, and survives the loss of executors. Outside ``staging`` the folder stays, as the
+    frame may be read at any time.
     """
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

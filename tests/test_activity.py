@@ -123,3 +123,15 @@ def test_volume_watch(daily):
     assert rows_of(low, "client_fk", "client_name", "cases_today") == [(3, "c3", 1), (6, "a", 3), (7, "c7", 0)]
     low = activity.low_activity_today(df, as_of=AS_OF, include_silent=True)
     assert rows_of(low, "client_fk") == [(1,), (2,), (3,), (6,), (7,)]
+
+
+@pytest.mark.parametrize("window", [30, 63, 64, 90, 400])
+def test_volume_watch_over_any_window(daily, window):
+    rows = [(1, "c1", back(n), 4) for n in range(1, window + 30)]
+    rows += [(2, "c2", back(n), 6) for n in range(1, window + 1, 3)] + [(2, "c2", back(0), 1)]
+    got = activity.daily_volume(daily(rows), as_of=AS_OF, window_days=window)
+    assert rows_of(got, "client_fk", "active_days", "avg_case_load", "cases_today") == [
+        (1, window, 4.0, None), (2, len(range(1, window + 1, 3)), 6.0, 1),
+    ]
+    full = activity.full_activity_no_cases(daily(rows), as_of=AS_OF, window_days=window)
+    assert rows_of(full, "client_fk") == [(1,)]

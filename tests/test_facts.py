@@ -145,20 +145,37 @@ def test_client_day_counts_rows(spark):
     assert rows_of(facts.client_day(cases, ["client_fk"]), "client_fk", "total_case") == [(1, 1), (1, 2), (2, 1)]
 
 
-def test_timed_cases_count_per_hour(table):
+def test_hours_follow_the_rules_of_the_days(table):
+    """Demo, excluded, software-only and partner clients: both facts keep the same cases."""
+    rules = '[{"list":["CT"]}]'
     studies = table("studies", [
-        (1, 1, at(1, 7), "COMPLETED", None), (2, 1, at(1, 9), "OPEN", None),
-        (3, 1, at(1, 7) + dt.timedelta(minutes=59), "COMPLETED", None), (4, 1, at(3, 0), "COMPLETED", None),
-        (5, 9, at(1, 7), "COMPLETED", None),
+        (1, 1, at(1, 7), "COMPLETED", rules), (2, 1, at(1, 9), "OPEN", rules),
+        (3, 1, at(1, 7) + dt.timedelta(minutes=59), "COMPLETED", rules), (4, 1, at(3, 0), "COMPLETED", rules),
+        (5, 2, at(1, 7), "COMPLETED", rules), (6, 3, at(1, 7), "COMPLETED", rules),
+        (7, 4, at(1, 7), "COMPLETED", rules), (0, 5, at(1, 7), "COMPLETED", rules), (8, 5, at(1, 8), "COMPLETED", rules),
+        (9, 9, at(1, 7), "COMPLETED", rules),
     ])
-    clients = table("clients", [(1, "one")])
-    got = facts.timed_cases(studies, clients)
+    clients = table("clients", [
+        (1, "one", at(1), False, 0), (2, "demo", at(1), False, 0), (3, "excluded", at(1), False, 0),
+        (4, "software", at(1), True, 0), (5, "partner", at(1), False, 1),
+    ])
+    tables = (
+        studies, table("study_details", []), clients, table("client_details", []),
+        table("client_settings", [(2, True, "postpaid")]), table("client_tat_metrics", [(3, "CT", 500.0), (3, "CT", 1.0)]),
+    )
+    options = {"since": dt.date(2024, 1, 1), "exclude": [3]}
+    hourly = facts.hourly_client_cases(*tables, **options)
+    daily = facts.daily_client_cases(*tables, **options)
+    assert rows_of(facts.daily_from_hours(hourly), *daily.columns) == rows_of(daily)
+    timed = facts.timed_cases(hourly)
     columns = ("client_id", "client_name", "case_receiving_date", "total_case")
-    assert got.schema["case_receiving_date"].dataType.simpleString() == "timestamp_ntz"
-    assert rows_of(got, *columns) == [(1, "one", at(1, 7), 2), (1, "one", at(3, 0), 1)]
-    bounded = facts.timed_cases(studies, clients, first=dt.date(2024, 5, 2), last=dt.date(2024, 5, 3))
+    assert timed.schema["case_receiving_date"].dataType.simpleString() == "timestamp_ntz"
+    assert rows_of(timed, *columns) == [
+        (1, "one", at(1, 7), 3), (1, "one", at(3, 0), 1), (5, "partner", at(1, 8), 1),
+    ]
+    bounded = facts.timed_cases(hourly, first=dt.date(2024, 5, 2), last=dt.date(2024, 5, 3))
     assert rows_of(bounded, *columns) == [(1, "one", at(3, 0), 1)]
-    assert rows_of(facts.timed_cases(studies, clients, last=dt.date(2024, 5, 2)), "total_case") == [(2,)]
+    assert rows_of(facts.timed_cases(hourly, last=dt.date(2024, 5, 2)), "total_case") == [(1,), (3,)]
 
 
 def test_client_key_rename(spark):

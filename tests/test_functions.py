@@ -80,6 +80,18 @@ def test_fields_of_the_rules(spark, rules, first, name):
     assert values(spark, text.study_name(F.col("v")), [rules]) == [name]
 
 
+@pytest.mark.parametrize("rules, first", [
+    ('[{"list":null},{"list":["CT"]}]', ""),
+    ('[{"list":"MRI"},{"list":["CT"]}]', ""),
+    ('[{"list":[]},{"list":["CT"]}]', ""),
+    ('[{"list" : [ {"name":"MR"}, "CT"]}]', "{name:MR}"),
+    ('[{"list":[null,"CT"]}]', "null"),
+    ('[{"list":[7]}]', "7"),
+])
+def test_the_first_list_counts_as_it_stands(spark, rules, first):
+    assert values(spark, text.modality(F.col("v")), [rules]) == [first]
+
+
 def test_backslashes(spark):
     once, twice = r'[{\"list\":[\"CT\"]}]', r'[{\\"list\\":[\\"CT\\"]}]'
     assert values(spark, text.modality(F.col("v"), "single"), [once, twice]) == ["CT", "CT"]
@@ -110,7 +122,7 @@ def test_weekdays_and_intervals(spark):
     assert dates.monday_of(dt.date(2024, 1, 7)) == dt.date(2024, 1, 1) == dates.monday_of(dt.date(2024, 1, 1))
 
 
-@pytest.mark.parametrize("span", [1, 30, 63, 64, 200])
+@pytest.mark.parametrize("span", [1, 30, 63, 64, 90, 200, 400])
 def test_distinct_days_for_short_and_long_windows(spark, span):
     start = dt.date(2024, 1, 1)
     end = start + dt.timedelta(days=span - 1)

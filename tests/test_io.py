@@ -42,15 +42,29 @@ def test_jdbc_options():
         readers.jdbc_options("jdbc:x", table="t", partition_column="id")
 
 
-def test_daily_fact_replaces_only_the_days_written(spark, tmp_path):
+def test_fact_replaces_only_the_days_written(spark, tmp_path):
     schema = "client_fk long, case_receiving_date date, total_case long"
-    one, two = dt.date(2024, 5, 1), dt.date(2024, 5, 2)
+    one, two, three = (dt.date(2024, 5, n) for n in (1, 2, 3))
     path = f"{tmp_path}/daily"
-    writers.write_daily_fact(spark.createDataFrame([(1, one, 1), (1, two, 1)], schema), path)
-    writers.write_daily_fact(spark.createDataFrame([(1, two, 5), (2, two, 6)], schema), path)
-    assert rows_of(spark.read.parquet(path), "client_fk", "case_receiving_date", "total_case") == [
-        (1, one, 1), (1, two, 5), (2, two, 6),
-    ]
+
+    def stored():
+        return rows_of(spark.read.parquet(path), "client_fk", "case_receiving_date", "total_case")
+
+    writers.write_by_day(spark.createDataFrame([(1, one, 1), (1, two, 1), (1, three, 1)], schema), path, since=one)
+    writers.write_by_day(spark.createDataFrame([(1, two, 5), (2, two, 6)], schema), path)
+    assert stored() == [(1, one, 1), (1, two, 5), (1, three, 1), (2, two, 6)]
+    # A day in the refreshed range that has lost all its cases leaves nothing behind.
+    writers.write_by_day(spark.createDataFrame([(3, three, 9)], schema), path, since=two)
+    assert stored() == [(1, one, 1), (3, three, 9)]
+    writers.write_by_day(spark.createDataFrame([], schema), path, since=two)
+    assert stored() == [(1, one, 1)]
+
+
+def test_staged_tables_go_with_their_job(spark):
+    with writers.staging(spark) as folder:
+        assert writers.stage(spark, spark.range(3), "ids").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
 
 
 def created(spark, contacts):
@@ -82,10 +96,5 @@ def test_staged_rows_do_not_follow_their_source(spark, tmp_path):
     assert staged.inputFiles()[0].startswith("file://" + session.shared_folder(spark))
 
 
-def test_bucketed_table(spark):
-    writers.write_bucketed(spark.range(10), "bucketed_ids", "id", 4)
-    assert spark.table("bucketed_ids").count() == 10
-
-
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

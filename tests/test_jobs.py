@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 
 from casepulse import jobs
+from casepulse.session import shared_folder
 from tests.conftest import rows_of
 
 AS_OF = dt.date(2024, 6, 15)
@@ -78,7 +80,30 @@ def test_churn_run_and_its_repetition(spark, folders):
     read = run_churn(spark, folders, NOW + dt.timedelta(hours=1))
     later = rows_of(read("created_entries"), "created_id", "trigger")
     assert later == [(3, False), (4, False)]
-    assert read("to_notify").count() == 0
+    assert read("to_notify").count() == 0 and read("mail_outbox").count() == 0
+    assert not [name for name in os.listdir(shared_folder(spark)) if name.startswith("job-")]
+
+
+def test_hours_and_days_agree(spark, folders):
+    daily, hourly = jobs.daily_fact(spark, folders[1]), jobs.hourly_fact(spark, folders[1])
+    columns = ("client_fk", "case_receiving_date", "total_case")
+    assert rows_of(hourly, *columns) == rows_of(daily, *columns)
+
+
+def test_a_day_that_loses_its_cases_leaves_the_facts(spark, table, tmp_path):
+    inputs, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    names = ("study_details", "client_details", "client_settings", "client_tat_metrics")
+    for name in names:
+        table(name, []).write.parquet(f"{inputs}/{name}.parquet")
+    table("clients", [(1, "c1", back(400), False, 0)]).write.parquet(f"{inputs}/clients.parquet")
+    rules = '[{"list":["CT"]}]'
+    for status in ("COMPLETED", "OPEN"):
+        rows = [(1, 1, back(2), status, rules), (2, 1, back(1), "COMPLETED", rules), (3, 1, back(9), "COMPLETED", rules)]
+        table("studies", rows).write.mode("overwrite").parquet(f"{inputs}/studies.parquet")
+        jobs.refresh_daily(spark, inputs, out, since=AS_OF - dt.timedelta(days=5 if status == "OPEN" else 9))
+    left = [(back(9).date(),), (back(1).date(),)]
+    assert rows_of(jobs.daily_fact(spark, out), "case_receiving_date") == left
+    assert rows_of(jobs.hourly_fact(spark, out), "case_receiving_date") == left
 
 
 def test_other_reports(spark, folders):
@@ -92,7 +117,7 @@ def test_other_reports(spark, folders):
     assert rows_of(read("trend_report"), "client_id", "today_case", "yesterday_case_count", "drop_percentage_today") == [(2, 7, 7, 0.0)]
     jobs.comparisons(spark, out, AS_OF)
     assert rows_of(read("steady_client_comparison"), "client_id", "total_cases_today") == [(2, 7)]
-    jobs.weekdays(spark, inputs, out, AS_OF - dt.timedelta(days=1))
+    jobs.weekdays(spark, out, AS_OF - dt.timedelta(days=1))
     assert read("same_weekday_drop").count() == 0
     hourly = rows_of(read("same_weekday_hourly"), "client_id", "hour", "case_count", "avg_case_count")
     assert hourly == [(1, 8, 0, 6.0), (2, 8, 7, 7.0), (3, 8, 0, 1.0)]
@@ -103,6 +128,15 @@ def test_command_line(spark, folders, tmp_path, monkeypatch):
     inputs, out = folders
     monkeypatch.setattr(jobs, "get_spark", lambda: spark)
     jobs.main(["trends", "--out", out, "--as-of", "2024-06-15"])
+    jobs.main(["trends", "--out", out, "--as-of", "2024-06-15", "--year-aware", "--whole-weeks"])
+    jobs.main(["weekdays", "--out", out, "--as-of", "2024-06-15", "--include-silent"])
+    assert rows_of(spark.read.parquet(f"{out}/same_weekday_drop"), "client_id", "total_case") == [(1, 0), (3, 0)]
+    jobs.main(["comparisons", "--out", out, "--as-of", "2024-06-15", "--cohort-key", "client_id"])
+    jobs.main([
+        "churn", "--inputs", inputs, "--out", out, "--as-of", "2024-06-15T12:00", "--per-client",
+        "--cooldown-on", "triggered", "--only-triggered",
+    ])
+    assert spark.read.parquet(f"{out}/message_outbox").count() == 0
     with pytest.raises(SystemExit):
         jobs.main(["churn", "--out", out, "--as-of", "2024-06-15"])
     with pytest.raises(SystemExit):

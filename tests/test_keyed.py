@@ -28,13 +28,17 @@ def test_hot_left_join_equals_a_left_join(spark):
     right = spark.createDataFrame(
         [(1, i) for i in range(300)] + [(rng.choice([2, 3, 9, None]), i) for i in range(100)], "k long, b long"
     )
-    got = keyed.left_join_hot(left, right, ["k"], ["b"])
-    assert rows_of(got, "k", "a", "b") == rows_of(left.join(right, "k", "left"), "k", "a", "b")
-    got = keyed.join_hot(left, right, ["k"], ["b"])
-    assert rows_of(got, "k", "a", "b") == rows_of(left.join(right, "k"), "k", "a", "b")
-    # One key spreads over many parts.
-    parts = right.filter("k = 1").select(F.pmod(F.xxhash64("b"), F.lit(keyed.SALTS)).alias("p"))
-    assert parts.distinct().count() == keyed.SALTS
+    for parts in (None, 1, 50):
+        got = keyed.left_join_hot(left, right, ["k"], ["b"], parts)
+        assert rows_of(got, "k", "a", "b") == rows_of(left.join(right, "k", "left"), "k", "a", "b")
+        got = keyed.join_hot(left, right, ["k"], ["b"], parts)
+        assert rows_of(got, "k", "a", "b") == rows_of(left.join(right, "k"), "k", "a", "b")
+
+
+def test_only_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k long, v string")
+    wanted = spark.createDataFrame([(2,), (2,), (3,), (None,)], "id long")
+    assert rows_of(keyed.only_keys(df, wanted, "k", "id")) == [(2, "b"), (2, "c")]
 
 
 def test_null_keys_match_in_the_null_safe_join(spark):

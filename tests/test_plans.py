@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from casepulse.operators import activity, facts, keyed, sla, survey, trend
+from casepulse.operators import activity, comparison, facts, keyed, sla, survey, trend
 from casepulse.plans import bindings, registry
 from casepulse.schemas import SCHEMAS
 
@@ -93,29 +93,49 @@ def test_only_block_sizes_meet_in_one_task(spark):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
-def bucketed(spark, name, key, rows):
+def stored(spark, folder, name, rows):
     schema = SCHEMAS[name]
     full = [tuple(row) + (None,) * (len(schema) - len(row)) for row in rows]
-    df = spark.createDataFrame(full, schema)
-    df.write.mode("overwrite").bucketBy(4, key).sortBy(key).saveAsTable(f"bucketed_{name}")
-    return spark.table(f"bucketed_{name}")
-
-
-def test_tables_bucketed_by_study_join_without_a_shuffle(spark):
-    ts = dt.datetime(2024, 5, 1)
-    rules = '[{"list":["CT"]}]'
-    studies = bucketed(spark, "studies", "id", [(i, i % 3, ts, "COMPLETED", rules) for i in range(40)])
-    details = bucketed(spark, "study_details", "study_fk", [(i, False) for i in range(40)])
-    tat = bucketed(spark, "client_tat_metrics", "study_id", [(i, "CT", 50.0) for i in range(40)])
-    phase = bucketed(spark, "phase_level_tat", "study_id", [(i, 50.0) for i in range(40)])
-    reworks = bucketed(spark, "reworks", "study_fk", [(i, i, ts, "COMPLETED", "CLIENT") for i in range(40)])
-    small = {
-        name: spark.createDataFrame([], SCHEMAS[name]) for name in ("clients", "client_details", "client_settings")
-    }
-    text = plan(facts.daily_client_cases(studies, details, small["clients"], small["client_details"], small["client_settings"], tat))
-    assert not re.search(r"Exchange hashpartitioning\(study_", text)
-    text = plan(sla.modality_sla_summary(studies, reworks, phase, small["clients"], as_of=dt.date(2024, 5, 2)))
-    assert not re.search(r"Exchange hashpartitioning\(study_", text)
+    spark.createDataFrame(full, schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+def test_side_tables_are_cut_to_the_wanted_studies_and_shuffled_once(spark, tmp_path):
+    ts, rules = dt.datetime(2024, 5, 1), '[{"list":["CT"]}]'
+    studies = stored(spark, tmp_path, "studies", [(i, i % 3, ts, "COMPLETED", rules) for i in range(40)])
+    details = stored(spark, tmp_path, "study_details", [(i, False) for i in range(40)])
+    tat = stored(spark, tmp_path, "client_tat_metrics", [(i, "CT", 50.0) for i in range(40)])
+    phase = stored(spark, tmp_path, "phase_level_tat", [(i, 50.0) for i in range(40)])
+    reworks = stored(spark, tmp_path, "reworks", [(i, i, ts, "COMPLETED", "CLIENT") for i in range(40)])
+    small = [stored(spark, tmp_path, name, []) for name in ("clients", "client_details", "client_settings")]
+    reports = (
+        facts.daily_client_cases(studies, details, *small, tat),
+        sla.modality_sla_summary(studies, reworks, phase, small[0], as_of=dt.date(2024, 5, 2)),
+    )
+    for report in reports:
+        text = plan(report)
+        assert count(text, "LeftSemi") == 2
+        # Between the scan of a side table and its aggregate there is one shuffle, by study.
+        for name in ("tat_min", "is_demo", "overall_tat", "by_user_type"):
+            for scan in re.finditer(rf"FileScan parquet \[[^]]*{name}", text):
+                above = text[:scan.start()]
+                assert "LeftSemi" in above
+        assert count(text, r"hashpartitioning\(study_(?:id|fk)#\d+L, [a-z_]+#") == 0
+
+
+def test_steady_clients_take_one_pass(daily_table):
+    daily = facts.by_client_id(daily_table)
+    by_id = plan(comparison.steady_client_comparison(daily, as_of=AS_OF, cohort_key="client_id"))
+    assert count(by_id, "FileScan") == 1 and "Join" not in by_id
+    by_name = plan(comparison.steady_client_comparison(daily, as_of=AS_OF))
+    assert count(by_name, "SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin") == 1
+
+
+def test_silent_clients_and_row_grain_trend_take_few_passes(daily_table):
+    text = plan(activity.silent_clients(daily_table, as_of=AS_OF))
+    assert count(text, "FileScan") == 1 and "Join" not in text
+    text = plan(trend.trend_report(facts.by_client_id(daily_table), as_of=AS_OF, grain="row"))
+    assert count(text, "FileScan") == 3 and count(text, "SortMergeJoin") == 2
 
 
 def test_no_query_uses_python_workers_cross_joins_or_whole_sorts(spark, testdata):

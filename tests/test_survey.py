@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from casepulse.operators import contacts, survey
+from casepulse.operators import contacts, outbox, survey
 from tests.conftest import rows_of
 
 NOW = dt.datetime(2024, 11, 13, 9, 30)
@@ -23,9 +23,9 @@ def reachable_row(client, contact, tier="t1", phone="9876543210", email="a@examp
 
 @pytest.fixture(scope="module")
 def make(spark, table):
-    def run(rows, log=(), **options):
+    def run(rows, log=(), now=NOW, **options):
         return survey.survey_entries(
-            spark.createDataFrame(rows, REACHABLE), table("client_survey", log), as_of_ts=NOW,
+            spark.createDataFrame(rows, REACHABLE), table("client_survey", log), as_of_ts=now,
             tier_order=["t1", "t2", "t3"], **options,
         )
 
@@ -114,15 +114,60 @@ def test_missing_contact_finds_no_earlier_entry(make):
 def test_ids_are_consecutive_whatever_the_key_distribution(spark, make, table):
     rng = random.Random(2)
     rows = [reachable_row(1 if rng.random() < 0.5 else i, i) for i in range(1000)] + [reachable_row(3, None)]
-    log = table("client_survey", [entry(41, 5, dt.timedelta(days=1)), entry(900, 6, dt.timedelta(0))])
+    log = table("client_survey", [entry(41, 5, dt.timedelta(days=1)), entry(900, 6, dt.timedelta(days=2))])
     created = survey.with_created_id(make(rows), log, as_of_ts=NOW)
     ids = [row.created_id for row in created.select("created_id").collect()]
-    # Entry 900 stems from an earlier attempt of the same run.
-    assert sorted(ids) == list(range(42, 42 + 1001))
+    assert sorted(ids) == list(range(901, 901 + 1001))
     again = survey.with_created_id(make(rows).repartition(7), log, as_of_ts=NOW)
     assert rows_of(created) == rows_of(again)
 
 
+def appended(log, entries, now):
+    created = survey.with_created_id(entries, log, as_of_ts=now)
+    return created, log.unionByName(survey.new_entries(created, log, as_of_ts=now))
+
+
+def assert_ids_are_the_logs(created, log):
+    ids = [row.id for row in log.select("id").collect()]
+    assert len(ids) == len(set(ids))
+    held = {(row.client_fk, row.contact_fk, row.created_at): row.id for row in log.collect()}
+    for row in created.collect():
+        assert held[row.client_fk, row.contact_fk, row.created_at] == row.created_id
+
+
+@pytest.mark.parametrize("second", [
+    [10, 20, 30], [10, 20, 30, 40, 50, 60], [20], [5, 30, 70, None],
+], ids=["same", "added", "removed", "mixed"])
+def test_a_repeated_run_keeps_the_ids_in_use(make, table, second):
+    empty = table("client_survey", [])
+    created, log = appended(empty, make([reachable_row(1, c) for c in (10, 20, 30)]), NOW)
+    assert_ids_are_the_logs(created, log)
+    created, grown = appended(log, make([reachable_row(1, c) for c in second]), NOW)
+    assert_ids_are_the_logs(created, grown)
+    assert grown.count() == len({10, 20, 30} | set(second))
+    assert rows_of(grown.filter("contact_fk IN (10, 20, 30)"), "contact_fk", "id") == rows_of(log, "contact_fk", "id")
+
+
+def test_an_older_run_repeated_after_a_newer_one(make, table):
+    later = NOW + dt.timedelta(hours=1)
+    rows = [reachable_row(1, 10), reachable_row(2, 0), reachable_row(3, 0)]
+    keys = {"dedup_keys": ("client_fk", "contact_fk")}
+    first, log = appended(table("client_survey", []), make(rows, **keys), NOW)
+    second, log = appended(log, make(rows, now=later, **keys), later)
+    assert rows_of(log, "id") == [(n,) for n in range(1, 7)]
+    again, grown = appended(log, make(rows + [reachable_row(4, 0)], **keys), NOW)
+    assert_ids_are_the_logs(again, grown)
+    assert rows_of(grown, "id") == [(n,) for n in range(1, 8)]
+
+
+def test_cool_down_is_by_client_and_contact_when_entries_are(make):
+    rows = [reachable_row(1, 0), reachable_row(2, 0)]
+    log = [entry(1, 0, dt.timedelta(days=1))]
+    got = make(rows, log, dedup_keys=("client_fk", "contact_fk"))
+    assert rows_of(got, "client_fk", "trigger") == [(1, False), (2, True)]
+    assert rows_of(make(rows, log), "client_fk", "trigger") == [(1, False)]
+
+
 def test_new_entries_skip_those_held(make, table):
     entries = make([reachable_row(1, 10), reachable_row(1, 11), reachable_row(2, None)])
     log = table("client_survey", [entry(1, 10, dt.timedelta(0)), entry(2, 11, dt.timedelta(days=1))])
@@ -140,7 +185,10 @@ def test_merge_and_notify(spark, make, table):
     assert rows_of(merged, "client_fk", "contact_fk", "trigger", "Client_Name") == [
         (1, 10, True, "c1"), (2, 11, False, "c2"), (3, None, True, "c3"),
     ]
-    assert rows_of(survey.survey_to_notify(merged), "client_fk") == [(1,), (3,)]
+    to_notify = survey.survey_to_notify(merged)
+    assert rows_of(to_notify, "client_fk") == [(1,), (3,)]
+    # The contact in its cool-down gets no mail.
+    assert rows_of(outbox.modality_payload(to_notify), "client_fk") == [(1,), (3,)]
 
 
 def test_history(table):

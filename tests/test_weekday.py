@@ -42,6 +42,17 @@ def test_drop_against_days_present(daily):
     assert rows_of(got) == [(1, "a", 6, 8.0, -25.0), (3, "c", 0, 5.0, -100.0), (6, "f", 0, 3.0, -100.0)]
 
 
+@pytest.mark.parametrize("weeks", [4, 63, 64, 65, 80])
+def test_any_number_of_weeks(daily, timed, weeks):
+    rows = [(1, "a", back(7 * k), 10) for k in range(1, weeks + 20)] + [(1, "a", AS_OF, 5)]
+    rows += [(2, "b", back(7 * k), 3) for k in range(weeks, weeks + 20)] + [(2, "b", AS_OF, 1)]
+    got = weekday.same_weekday_drop(daily(rows), as_of=AS_OF, weeks=weeks)
+    assert rows_of(got) == [(1, "a", 5, 10.0, -50.0), (2, "b", 1, 3.0, -66.67)]
+    hours = [(c, n, dt.datetime.combine(d, dt.time(9)), cases) for c, n, d, cases in rows]
+    got = weekday.same_weekday_hourly(timed(hours), as_of=AS_OF, weeks=weeks, divisor="present")
+    assert rows_of(got, "client_id", "avg_case_count") == [(1, 10.0), (2, 3.0)]
+
+
 def test_today_counts_under_the_smallest_past_name(daily):
     rows = [(1, "b", back(7), 8), (1, "c", back(7), 4), (1, "a", AS_OF, 1), (1, "b", AS_OF, 2), (1, "c", AS_OF, 3)]
     assert rows_of(weekday.same_weekday_drop(daily(rows), as_of=AS_OF)) == [(1, "b", 2, 6.0, -66.67)]
