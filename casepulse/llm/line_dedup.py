@@ -54,6 +54,14 @@ def chunk_text(lines: str, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
 
 
+def with_repeated(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with lines, chunks and, in again, the numbers of the multi-line chunks that are not in alone."""
+    rows = with_chunks(rows.withColumn("text", whole(F.col(f"row.`{text_col}`"))))
+    alone = F.coalesce("alone", F.array().cast("array<int>"))
+    again = F.array_except(F.transform(F.filter("chunks", several), lambda c: c["no"]), alone)
+    return settled(rows.withColumn("again", again).drop("alone", "text"))
+
+
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its repeated chunks, and n_lines, n_chunks, n_removed (lines) of each row.
 
@@ -68,7 +76,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first of them keeps. Rows without an id come last. A NULL text stays NULL; a text that is all
     repeated becomes empty. All columns of ``docs`` stay; those named like a result are replaced.
     """
-    key, none = ["id", "mark"], F.array().cast("array<int>")
+    key = ["id", "mark"]
     own = docs.select(
         F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
         F.xxhash64(whole(text_col)).alias("mark"),
@@ -80,21 +88,16 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     alone = places.groupBy("c.hash").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, F.col("c.no").alias("no"))).alias("at")
     ).where("n = 1").select("at.*").groupBy(*key).agg(F.collect_list("no").alias("alone"))
-    # Settled, so that both readers below ask the same of the join and its shuffle runs once.
-    rows = settled(own.join(alone, key, "left"))
-    rows = with_chunks(rows.withColumn("text", whole(F.col(f"row.`{text_col}`"))))
-    again = F.array_except(
-        F.transform(F.filter("chunks", several), lambda c: c["no"]), F.coalesce("alone", none)
-    )
-    rows = settled(rows.withColumn("again", again).drop("alone", "text"))
+    # Settled, so that both readers below ask the same of the rows and their shuffle runs once.
+    rows = with_repeated(settled(own.join(alone, key, "left")), text_col)
     texts = rows.select(*key, F.explode(F.transform("again", lambda no: F.struct(
         no.alias("no"), chunk_text("lines", F.get("chunks", no)["first"], F.get("chunks", no)["last"]).alias("text")
     ))).alias("c"))
     first = texts.groupBy("c.text").agg(
         F.min(F.struct(*key, F.col("c.no").alias("no"))).alias("at")
     ).select("at.*").groupBy(*key).agg(F.collect_list("no").alias("stay"))
-    rows = rows.join(first, key, "left")
-    rows = settled(rows.withColumn("gone", F.array_except("again", F.coalesce("stay", none))).drop("again", "stay"))
+    rows = with_repeated(settled(own.join(alone, key, "left").join(first, key, "left")), text_col)
+    rows = settled(rows.withColumn("gone", F.array_except("again", F.coalesce("stay", F.array().cast("array<int>")))).drop("again", "stay"))
     rows = settled(rows.withColumn(
         "left", F.array_except(F.transform("chunks", lambda c: c["no"]), "gone")
     ))
@@ -106,8 +109,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.lit(0), lambda total, n: total + n,
     )
     counts = {"n_lines": F.size("lines"), "n_chunks": F.size("chunks"), "n_removed": removed}
+    done = settled(rows.select(
+        "row", F.when(F.size("gone") > 0, text).otherwise(F.col(f"row.`{text_col}`")).alias("text"),
+        *(value.cast("long").alias(name) for name, value in counts.items()),
+    ))
     kept = [
-        (F.when(F.size("gone") > 0, text).otherwise(F.col(f"row.`{c}`")) if c == text_col else F.col(f"row.`{c}`")).alias(c)
-        for c in docs.columns if c not in counts
+        F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns if c not in counts
     ]
-    return rows.select(*kept, *(value.cast("long").alias(name) for name, value in counts.items()))
+    return done.select(*kept, *counts)
