@@ -17,6 +17,7 @@ from casepulse.llm.pretokens import PieceCache, id_bytes, worker_cache
 #: Open bins of one packer, and pieces that one packer gets on average.
 OPEN_BINS = 32_768
 PIECES_PER_TASK = 40_000
+#: Pre-tokens that a Python worker keeps, and as many of an older generation.
 WORKER_PIECES = 400_000
 
 

@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import regex
 from tokenizers import Tokenizer
@@ -53,18 +54,59 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-class PieceCache:
-    """What ``value`` makes of the ids of a piece, kept for at most ``limit`` pieces.
+def _alphabet() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (byte for byte in range(256) if byte not in plain)
+    return {byte: chr(byte) for byte in plain} | {byte: chr(256 + k) for k, byte in enumerate(others)}
+
+
+ALPHABET = _alphabet()
+
+
+def model_ids(tokenizer: Tokenizer) -> Callable[[str], list[int]]:
+    """The ids of a piece, straight from the library's model: nothing is left to cut or to normalise in it."""
+    tokens = tokenizer.model.tokenize
+    return lambda piece: [t.id for t in tokens(piece.encode().decode("latin-1").translate(ALPHABET))]
+
+
+class Generations:
+    """Values by key, of the keys asked for of late: at most ``limit`` of them twice over.
 
-    ``fixed`` are values that are known beforehand and never leave.
+    When ``kept`` is full it becomes the older generation, from which keys that are asked for again
+    come back without being made again.
     """
 
+    def __init__(self, limit: int, make: Callable[[set], dict], fixed: dict | None = None):
+        self.limit, self.make, self.fixed = limit, make, fixed or {}
+        self.kept, self.old = dict(self.fixed), {}
+
+    def need(self, keys: set) -> None:
+        """Sees to it that all these keys are in ``kept``."""
+        missing = keys.difference(self.kept)
+        if not missing:
+            return
+        if len(self.kept) + len(missing) > self.limit + len(self.fixed):
+            self.old, self.kept = self.kept, dict(self.fixed)
+            missing = keys.difference(self.kept)
+        again = {key for key in missing if key in self.old}
+        self.kept.update((key, self.old[key]) for key in again)
+        self.kept.update(self.make(missing.difference(again)))
+
+
+class PieceCache:
+    """What ``value`` makes of the ids of a piece. ``fixed`` are values that are known beforehand and stay."""
+
     def __init__(self, path: str, value: Callable, limit: int, fixed: dict | None = None):
-        self.tokenizer, self.value, self.limit = load(path), value, limit
+        self.tokenizer, self.value = load(path), value
         self.special = special_strings(self.tokenizer)
-        self.fixed, self.kept = fixed or {}, dict(fixed or {})
+        self.pieces = Generations(limit, self.made, fixed)
         self.cut = regex.compile(PATTERN).findall
 
+    def made(self, pieces: set[str]) -> dict:
+        ids = model_ids(self.tokenizer)
+        return {piece: self.value(ids(piece)) for piece in pieces}
+
     def direct(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -75,14 +117,8 @@ class PieceCache:
         """The values of the text's pieces in order, part by part of a plain text."""
         for part in slices(text):
             pieces = self.cut(part)
-            if missing := set(pieces).difference(self.kept):
-                if len(self.kept) + len(missing) > self.limit + len(self.fixed):
-                    self.kept = dict(self.fixed)
-                    missing = set(pieces).difference(self.kept)
-                missing = list(missing)
-                encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-                self.kept.update(zip(missing, (self.value(e.ids) for e in encoded), strict=True))
-            yield map(self.kept.__getitem__, pieces)
+            self.pieces.need(set(pieces))
+            yield map(self.pieces.kept.__getitem__, pieces)
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -90,10 +126,10 @@ def id_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_worker: dict[str, PieceCache] = {}
+_worker: dict[str, Any] = {}
 
 
-def worker_cache(name: str, make: Callable[[], PieceCache]) -> PieceCache:
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """The cache of this Python worker under ``name``; it outlives a task, but not a newer name."""
     if name not in _worker:
         _worker.clear()

@@ -17,7 +17,7 @@ from casepulse.llm.pretokens import PieceCache, load, slices, worker_cache
 #: work: counts are the same whatever is in it.
 SAMPLE_ROWS = 4000
 TABLE_SIZE = 32_768
-#: Further pre-tokens that a Python worker keeps.
+#: Further pre-tokens that a Python worker keeps, and as many of an older generation.
 WORKER_PIECES = 400_000
 
 def frequent_lengths(
