@@ -14,19 +14,31 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.llm.common import join_groups, whole
-from casepulse.llm.pretokens import id_bytes, load, worker_cache
+from casepulse.llm.pretokens import (
+    ODD,
+    Generations,
+    id_bytes,
+    load,
+    model_ids,
+    slices,
+    special_strings,
+    worker_cache,
+)
 from casepulse.sources.writers import stage
 
 #: Bytes that the rolling hash sees, chance of a cut after a byte, and the least length of a chunk.
 WINDOW, AVERAGE, LEAST = 32, 2048, 512
-#: Words that a Python worker keeps, and the longest of them.
-WORKER_WORDS, LONG = 400_000, 256
-#: Word ends that no merge and no normal form crosses.
-WORD = re.compile(r"[^ \t\r\n]+")
+#: Pieces that a Python worker keeps, and as many of an older generation.
+WORKER_PIECES = 300_000
+# Fixed value: the pattern that cuts normal text into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a join's window has to its right and left: up to white space, which nothing goes over.
 _HEAD, _TAIL = re.compile(r"[^ \t\r\n]*"), re.compile(r"[^ \t\r\n]*\Z")
 #: The base of the rolling hash to the powers 1, 2, 4 and so on, below WINDOW.
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(WINDOW.bit_length() - 1)]
@@ -67,25 +79,34 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes words through a cache that lives as long as its Python worker; ids are bytes, 4 for each."""
+    """Encodes pieces of words through a cache that lives as long as its Python worker; ids are bytes, 4 for each.
 
-    def __init__(self, path: str, limit: int = WORKER_WORDS):
-        self.tokenizer, self.limit, self.kept = load(path), limit, {}
+    The library brings a text into its normal form, the tokenizer's pattern cuts that, and the
+    library's model gives the ids of each piece. Texts where the pattern's classes may differ
+    between libraries, or with a special token's string, go to the library as a whole.
+    """
+
+    def __init__(self, path: str, limit: int = WORKER_PIECES):
+        self.tokenizer = load(path)
+        self.special = special_strings(self.tokenizer)
+        self.pieces = Generations(limit, self.made)
+        self.cut = regex.compile(PATTERN).findall
+
+    def made(self, pieces: set[str]) -> dict[str, bytes]:
+        ids = model_ids(self.tokenizer)
+        return {piece: id_bytes(ids(piece)) for piece in pieces}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text. White space ends a token whatever stands around it."""
-        words = WORD.findall(text)
-        if missing := set(words).difference(self.kept):
-            if len(self.kept) + len(missing) > self.limit:
-                self.kept = {}
-                missing = set(words)
-            missing = list(missing)
-            encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            self.kept.update(zip(missing, (id_bytes(e.ids) for e in encoded), strict=True))
-        ids = b"".join(map(self.kept.__getitem__, words))
-        if words and len(max(words, key=len)) > LONG:
-            self.kept = {word: kept for word, kept in self.kept.items() if len(word) <= LONG}
-        return ids
+        plain = self.tokenizer.normalizer.normalize_str(text)
+        if ODD.search(text) or ODD.search(plain) or any(s in text for s in self.special):
+            return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        out = []
+        for part in slices(plain):
+            pieces = self.cut(part)
+            self.pieces.need(set(pieces))
+            out.append(b"".join(map(self.pieces.kept.__getitem__, pieces)))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
@@ -139,7 +160,7 @@ def encode_decode(
     Chunk hashes are counted over the corpus; of each chunk that occurs again one place is chosen,
     and only there it is encoded. Its ids go to all its places, spread where a chunk is very
     frequent, and each document is put together from those and from its own other chunks. The
-    texts are shuffled once, by document.
+    texts are shuffled once, by document and compressed.
 
     For tokenizers in which white space separates tokens and is dropped. Ids are those of the
     library on the whole text without added special tokens, truncation or padding. A NULL text is
@@ -151,6 +172,7 @@ def encode_decode(
         "doc_id", F.xxhash64("text").alias("mark"), "text"
     )
     places = stage(spark, chunk_hashes(rows), "chunk-places")
+    small = ids_dtype(tokenizer_path)
     shared = stage(spark, places.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "no")).alias("at")
     ).where("n > 1"), "chunk-groups")
@@ -163,10 +185,10 @@ def encode_decode(
         for batch in batches:
             hashes, ids = [], []
             for text, chosen in zip(batch.column(0), batch.column(1), strict=True):
-                own = chunks(text.as_py().encode())
+                own = chunks(unpack(text.as_py()))
                 for no in chosen.as_py():
                     hashes.append(blake2b(own[no], digest_size=16).digest())
-                    ids.append(encode(own[no].decode()))
+                    ids.append(np.frombuffer(encode(own[no].decode()), "<u4").astype(small).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=["hash", "ids"]
             )
@@ -176,14 +198,15 @@ def encode_decode(
         for batch in batches:
             doc_ids, all_ids, decoded, held = [], [], [], 0
             for doc_id, text, known in zip(*batch.columns, strict=True):
-                text, known = text.as_py(), {c["no"]: c["ids"] for c in known.as_py() or ()}
+                text, known = unpack(text.as_py()), {c["no"]: c["ids"] for c in known.as_py() or ()}
                 if known:
-                    parts = [chunk.decode() for chunk in chunks(text.encode())]
-                    ids = joined(
-                        parts, [known[k] if k in known else own.encode(p) for k, p in enumerate(parts)], own.encode
-                    )
+                    parts = [chunk.decode() for chunk in chunks(text)]
+                    ids = joined(parts, [
+                        np.frombuffer(known[k], small).astype("<u4").tobytes() if k in known else own.encode(p)
+                        for k, p in enumerate(parts)
+                    ], own.encode)
                 else:  # no chunk to reuse: the whole text is one
-                    ids = own.encode(text)
+                    ids = own.encode(text.decode())
                 doc_ids.append(doc_id.as_py())
                 all_ids.append(ids)
                 decoded.append(own.decode(ids))
@@ -195,18 +218,35 @@ def encode_decode(
                 yield _batch(doc_ids, all_ids, decoded)
 
     key = ["doc_id", "mark"]
+    packed = rows.mapInArrow(compressed, "doc_id long, mark long, text binary")
     chosen = shared.select("at.*").groupBy(*key).agg(F.collect_list("no").alias("chosen"))
-    codes = _join(rows, chosen, key, "inner").select("text", "chosen").mapInArrow(
+    codes = _join(packed, chosen, key, "inner").select("text", "chosen").mapInArrow(
         encode_chosen, "hash binary, ids binary"
-    ).groupBy("hash").agg(F.first("ids").alias("ids"))
-    known = join_groups(places, codes, ["hash"], size="n", spread=["doc_id"], sizes=shared).groupBy(*key).agg(
-        F.collect_list(F.struct("no", "ids")).alias("known")
     )
-    return _join(rows, known, key, "left").select("doc_id", "text", "known").mapInArrow(
+    known = join_groups(
+        places, codes, ["hash"], size="n", spread=["doc_id"], sizes=shared, value="ids"
+    ).groupBy(*key).agg(F.collect_list(F.struct("no", "ids")).alias("known"))
+    return _join(packed, known, key, "left").select("doc_id", "text", "known").mapInArrow(
         assemble, "doc_id long, ids binary, decoded string"
     )
 
 
+def ids_dtype(tokenizer_path: str) -> str:
+    """The shortest integers that hold every id of a vocabulary."""
+    return "<u2" if load(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text as compressed UTF-8, for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield batch.set_column(2, "text", pa.array([pack(t.as_py().encode()) for t in batch.column(2)], pa.binary()))
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _batch(doc_ids: list, ids: list[bytes], decoded: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],

@@ -59,7 +59,7 @@ def parts_of(spark: SparkSession) -> int:
 
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], *, size: str, spread: Sequence[str],
-    heavy: int = HEAVY, sizes: DataFrame | None = None,
+    heavy: int = HEAVY, sizes: DataFrame | None = None, value: str | None = None,
 ) -> DataFrame:
     """``rows`` joined to ``groups``, which has one row per key and its number of rows in ``size``.
 
@@ -67,6 +67,7 @@ def join_groups(
     whatever the input; it is broadcast to give their rows a salt out of ``spread``, and only
     those groups are copied once per salt. No other key holds a share of the rows that matters.
     The sizes may come from another table, ``sizes``; it is read twice and should be a stored one.
+    ``groups`` may repeat its keys if all rows of a key agree in their one other column, ``value``.
     """
     parts, keys = parts_of(rows.sparkSession), list(keys)
     hot = (groups if sizes is None else sizes).where(F.col(size) > parts).orderBy(F.desc(size)).limit(heavy).select(
@@ -79,4 +80,6 @@ def join_groups(
         "_salt",
         F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))),
     ).drop("_hot")
+    if value:
+        copies = copies.groupBy(*keys, "_salt").agg(F.first(value).alias(value))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
