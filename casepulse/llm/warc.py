@@ -1,8 +1,10 @@
 """WARC archives as a Spark data source: ``warc``.
 
-Reading plans one partition per group of files from their sizes. Filters on record_type and on
-the header columns are taken over by the reader: it parses a record's headers first and, if a
-filter fails or the payload is not among the asked columns, moves on without reading the block.
+Reading plans one partition per group of files from their sizes. Wanted record types and values of
+other header columns go to the reader as the option ``where``: it parses a record's headers first
+and, if one has another value or the payload is not among the asked columns, moves on without
+reading the block. (Spark can also push filters of a query to a Python source, but then keeps the
+first query's for later queries over the same frame, which lose rows; so that is not used here.)
 Writing gives each task files of its own, which the driver makes visible once all tasks are done.
 
 A ``response`` record holds an HTTP answer with the payload; a ``revisit`` record holds the
@@ -13,10 +15,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,12 +31,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualNullSafe,
-    EqualTo,
-    Filter,
-    In,
     InputPartition,
-    IsNotNull,
     WriterCommitMessage,
 )
 
@@ -259,28 +257,13 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType):
+    def __init__(self, path: str, schema: T.StructType, where: Mapping[str, Sequence[str]] | None = None):
         self.path, self.columns = path, schema.fieldNames()
         self.types = [f.dataType for f in schema]
-        self.wanted: dict[str, set] = {}
-        unknown = set(self.columns) - set(SCHEMA.fieldNames())
-        if unknown:
+        self.wanted = {column: set(values) for column, values in (where or {}).items()}
+        if unknown := set(self.columns) - set(SCHEMA.fieldNames()) or set(self.wanted) - set(HEADERS):
             raise ValueError(f"no such columns: {sorted(unknown)}")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes equality and membership on header columns; the rest is left to Spark."""
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column not in HEADERS or not isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull)):
-                yield f
-            elif isinstance(f, IsNotNull):
-                yield f
-            else:
-                values = set(f.value) if isinstance(f, In) else {f.value}
-                if isinstance(f, EqualTo) or isinstance(f, In):
-                    values.discard(None)
-                self.wanted[column] = self.wanted.get(column, values) & values
-
     def partitions(self) -> list[InputPartition]:
         system, root = pafs.FileSystem.from_uri(self.path)
         found = [
@@ -393,7 +376,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema)
+        return WarcReader(self.options["path"], schema, json.loads(self.options.get("where", "{}")))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], schema, overwrite)
@@ -404,16 +387,22 @@ def _uri(path: str) -> str:
 
 
 def register(spark) -> None:
-    """Makes the format known to a session and lets filters go to it."""
+    """Makes the format known to a session."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_warc(spark, path: str, *, payload: bool = True) -> DataFrame:
-    """The records under ``path``; without ``payload`` no block's body is read."""
+def read_warc(
+    spark, path: str, *, payload: bool = True, where: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """The records under ``path``; without ``payload`` no block's body is read.
+
+    ``where`` lists the wanted values of header columns: ``{"record_type": ["revisit"]}``. A record
+    without such a header is not wanted.
+    """
     register(spark)
     fields = [f for f in SCHEMA if payload or f.name != "payload"]
-    return spark.read.format("warc").schema(T.StructType(fields)).load(_uri(path))
+    reader = spark.read.format("warc").schema(T.StructType(fields))
+    return reader.option("where", json.dumps({c: list(v) for c, v in (where or {}).items()})).load(_uri(path))
 
 
 def write_warc(
