@@ -133,8 +133,8 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 
 def _bins(rows: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
-    """Up to ``BINS`` thresholds per feature, from the quantiles of its values among bad and among all rows."""
-    share = [k / BINS for k in range(1, BINS)]
+    """Thresholds per feature: the quantiles and ends of its values, among bad and among all rows."""
+    share = [k / BINS for k in range(BINS + 1)]
     found = rows.agg(
         *(F.percentile_approx(f, share, 2000).alias(f) for f in features),
         *(F.percentile_approx(F.when(F.col("bad"), F.col(f)), share, 2000).alias(f"bad_{f}") for f in features),
@@ -150,9 +150,11 @@ def _bin(value: Column, thresholds: Sequence[float]) -> Column:
 def _grow(rows: DataFrame, bins: dict[str, list[float]], rule: Rule) -> Condition | None:
     """The condition with the highest information gain over the rows that the rule covers.
 
-    One aggregate: good and bad rows by feature and bin, at most 2 * BINS rows for each feature.
+    One aggregate: good and bad rows by feature and bin, at most 2 * BINS + 3 rows for each feature.
     """
     features = [f for f in bins if bins[f]]
+    if not features:
+        return None
     covered = rows.where(covers(rule)).where("grow")
     place = [F.struct(F.lit(f).alias("feature"), _bin(F.col(f), bins[f]).alias("bin")) for f in features]
     counts: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in features}
