@@ -1,0 +1,147 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from casepulse.llm import golay
+from casepulse.llm import simhash_dedup as sd
+from casepulse.llm.components import components
+from tests.conftest import rows_of
+from tests.llm.conftest import ODD
+
+
+def brute_fingerprint(text, shingle=3):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(c, " ")
+    words = [w for w in lowered.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[k:k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute(rows, distance=3):
+    fps = [brute_fingerprint(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= distance:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return sorted(
+        ((doc_id, fps[k] - (fps[k] >> 63 << 64), least.get(find(k))) for k, (doc_id, _) in enumerate(rows)),
+        key=lambda row: tuple((v is not None, str(type(v)), v) for v in row),
+    )
+
+
+def flipped(rng, fp, n):
+    for bit in rng.sample(range(64), n):
+        fp ^= 1 << bit
+    return fp
+
+
+def test_every_word_has_its_near_codewords():
+    rng = random.Random(3)
+    words = np.array([rng.getrandbits(23) for _ in range(500)])
+    near = golay.near_codewords(words)
+    upper, _ = golay._tables()
+    for word, codes in zip(words.tolist(), near, strict=True):
+        weights = sorted((((int(c) << 11) | int(upper[c])) ^ word).bit_count() for c in codes if c >= 0)
+        assert weights[0] <= 3 and weights[-1] <= 4 and len(weights) == (6 if weights[0] == 3 else 1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_fingerprints_up_to_three_bits_apart_share_a_key(n):
+    rng = random.Random(n)
+    first = [rng.getrandbits(64) for _ in range(4000)]
+    keys = [set() for _ in range(8000)]
+    both = np.array(first + [flipped(rng, fp, n) for fp in first], dtype=np.uint64)
+    for key, place in zip(*sd.join_keys(both), strict=True):
+        keys[place].add(int(key))
+    assert all(keys[k] & keys[4000 + k] for k in range(4000))
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    fps = [flipped(rng, centre, rng.randint(0, 4)) for _ in range(200)] + [rng.getrandbits(64) for _ in range(20)]
+    links = sd.forest(np.array(fps, dtype=np.uint64), 3)
+    distinct = sorted(set(fps))
+    assert len(links) < len(distinct)
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+
+    def classes(pairs):
+        root = {fp: fp for fp in distinct}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = {}
+        for fp in distinct:
+            groups.setdefault(find(fp), set()).add(fp)
+        return sorted(map(sorted, groups.values()))
+
+    assert classes(links) == classes((a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 3)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_links_of_a_large_group_of_near_copies(llm, monkeypatch, block):
+    """Also with groups above the size of a block, which pairs of blocks then compare."""
+    monkeypatch.setattr(sd, "BLOCK", block)
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    fps = sorted({flipped(rng, centre, rng.randint(0, 3)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [fp - (fp >> 63 << 64) for fp in fps]
+    pairs = sd.links(llm.createDataFrame([(fp,) for fp in signed], "fp long")).distinct().collect()
+    assert all((fps[signed.index(p.a)] ^ fps[signed.index(p.b)]).bit_count() <= 3 for p in pairs)
+    roots = {r.node: r.root for r in components(llm.createDataFrame([(p.a, p.b) for p in pairs], "a long, b long")).collect()}
+    want = sum((fp ^ centre).bit_count() <= 3 for fp in fps)
+    assert len(roots) == want and len(set(roots.values())) == 1
+
+
+def test_components_of_paths_stars_and_loops(llm):
+    rng = random.Random(1)
+    path = [(k, k + 1) for k in range(100)]
+    star = [(1000, 1000 + k) for k in range(1, 200)]
+    links = path + star + [(5000, 5000), (7, 7), (300, None), (None, None), (301, 302), (302, 301)]
+    rng.shuffle(links)
+    got = rows_of(components(llm.createDataFrame(links, "a long, b long")), "node", "root")
+    want = [(k, 0) for k in range(101)] + [(301, 301), (302, 301)] + [(1000 + k, 1000) for k in range(200)]
+    assert got == want
+    assert components(llm.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_odd_rows_and_no_rows(texts):
+    assert rows_of(sd.simhash_dedup(texts(ODD)), "doc_id", "fp", "component_id") == brute(ODD)
+    assert rows_of(sd.simhash_dedup(texts([]))) == []
+
+
+def test_documents(small):
+    rows, df = small
+    assert rows_of(sd.simhash_dedup(df), "doc_id", "fp", "component_id") == brute(rows)
+    stay = {doc_id for doc_id, _, component in brute(rows) if doc_id == component}
+    kept = sd.keep_first(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == stay
+
+
+def test_distances_beyond_the_keys_are_refused(llm):
+    with pytest.raises(ValueError, match="3 bits"):
+        sd.links(llm.createDataFrame([(1,)], "fp long"), distance=4)

@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import gzip
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from casepulse.llm import warc
+from tests.conftest import rows_of
+
+PAGES = [
+    (1, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (3, "http://c/\r\nWARC-Type: x", None), (4, None, ""),
+    (5, "http://d/", "x" * 3_000_000), (6, "http://e/", "WARC/1.1\r\n\r\nnot a record"), (6, "http://e/", "WARC/1.1\r\n\r\nnot a record"),
+    (None, "http://f/", "<p>one</p>"), (0, "http://é/%0A", "<p>eins ä</p>"), (None, "http://g/", "no id"), (None, "http://h/", "no id"),
+]
+COLUMNS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@pytest.fixture
+def pages(llm):
+    rows = llm.createDataFrame(PAGES, "page_id long, url string, html string")
+    return rows.withColumns({name: F.lit("x") for name in ("id", "sha", "n", "first", "payload", "record_id", "refers_to")})
+
+
+def brute(least=0):
+    groups = {}
+    for page, _, html in PAGES:
+        groups.setdefault((html or "").encode(), []).append(page)
+    out = []
+    for page, _, html in PAGES:
+        payload = (html or "").encode()
+        first = min((p for p in groups[payload] if p is not None), default=None)
+        revisit = first is not None and page != first and len(payload) >= least
+        out.append((page, len(payload), warc.sha1_base32(payload), "revisit" if revisit else "response", first if revisit else None))
+    return sorted(out, key=lambda row: tuple((v is not None, str(type(v)), v) for v in row))
+
+
+def read_back(spark, folder, **options):
+    return warc.read_warc(spark, folder, **options).withColumns({
+        "page_id": warc.page_of("record_id"), "refers_to": warc.page_of("refers_to"),
+    })
+
+
+@pytest.mark.parametrize("least", [0, 11])
+def test_round_trip(llm, pages, least):
+    folder = warc.new_folder(llm, "warc-test")
+    warc.write_warc(pages, folder, least=least)
+    got = read_back(llm, folder)
+    assert rows_of(got, *COLUMNS) == brute(least)
+    payloads = {r.page_id: bytes(r.payload) for r in got.where("record_type = 'response' and page_id is not null").collect()}
+    assert payloads == {p: (h or "").encode() for p, _, h in PAGES if p in payloads}
+    assert {r.target_uri for r in got.collect()} == {u for _, u, _ in PAGES}
+    assert got.where("record_type = 'revisit' and payload is not null").count() == 0
+    # Another write adds to the archives; overwrite replaces them.
+    warc.write_warc(pages.limit(1), folder)
+    assert read_back(llm, folder).count() == len(PAGES) + 1
+    warc.write_warc(pages.limit(1), folder, mode="overwrite")
+    assert read_back(llm, folder).count() == 1
+
+
+def test_wanted_headers_go_to_the_reader(llm, pages):
+    folder = warc.new_folder(llm, "warc-test")
+    warc.write_warc(pages, folder)
+    headers = warc.read_warc(llm, folder, payload=False)
+    assert "payload" not in headers.columns
+    where = {"record_type": ["revisit"], "target_uri": ["http://b/", "http://f/", "http://a/"]}
+    some = warc.read_warc(llm, folder, payload=False, where=where)
+    assert rows_of(some, "target_uri") == [("http://b/",), ("http://f/",)]
+    assert warc.read_warc(llm, folder, where={"record_type": []}).count() == 0
+    # One frame serves several queries, whatever they filter.
+    assert headers.where("record_type = 'revisit'").count() == 3
+    assert headers.where("payload_bytes > 1000000").count() == 1
+    assert headers.count() == len(PAGES)
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.taken += len(got)
+        return got
+
+
+def records(data, gzipped, columns=("record_id", "payload"), wanted=None):
+    file = Counted(data)
+    schema = warc.T.StructType([f for f in warc.SCHEMA if f.name in columns])
+    reader = warc.WarcReader("file:///nowhere", schema, wanted)
+    return list(reader.records(warc.Stream(file), gzipped)), file.taken
+
+
+def test_unwanted_payloads_are_not_read():
+    import random
+
+    rng = random.Random(1)
+    noise = [bytes(rng.randrange(33, 126) for _ in range(400_000)) for _ in range(5)]
+    plain = [warc.record(f"<urn:page:{k}>", "u", body, None) for k, body in enumerate(noise)]
+    for data, gzipped in ((b"".join(plain), False), (b"".join(map(warc.packed, plain)), True)):
+        rows, taken = records(data, gzipped, columns=("record_id",))
+        assert len(rows) == 5 and taken < len(data) / 3
+        rows, taken = records(data, gzipped, wanted={"record_id": {"<urn:page:3>"}})
+        assert rows == [("<urn:page:3>", noise[3])] and taken < 0.6 * len(data)
+        rows, _ = records(data, gzipped)
+        assert [r[1] for r in rows] == noise
+
+
+def test_foreign_archives():
+    """Members of other writers do not name their length."""
+    plain = [warc.record(f"<urn:page:{k}>", "u", b"body %d" % k * 5000, None) for k in range(4)]
+    for level in (0, 9):
+        data = b"".join(gzip.compress(r, level) for r in plain)
+        assert gzip.decompress(b"".join(map(warc.packed, plain))) == gzip.decompress(data)
+        for columns in (("record_id", "payload"), ("record_id",)):
+            rows, _ = records(data, True, columns)
+            assert [r[0] for r in rows] == [f"<urn:page:{k}>" for k in range(4)]
+
+
+@pytest.mark.parametrize("data", [b"HTTP/1.1 200 OK\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n", warc.record("<a>", "u", b"x" * 100, None)[:-60]])
+def test_broken_archives_are_errors(data):
+    with pytest.raises(ValueError):
+        records(data, False)
+
+
+def test_no_pages_and_wrong_columns(llm, pages):
+    folder = warc.new_folder(llm, "warc-test")
+    warc.write_warc(pages.limit(0), folder)
+    assert warc.read_warc(llm, folder).count() == 0
+    with pytest.raises(Exception, match="missing columns"):
+        llm.range(1).write.format("warc").mode("append").save(folder)
+    with pytest.raises(Exception, match="no such columns"):
+        warc.read_warc(llm, folder, where={"payload_bytes": ["1"]}).count()
+    with pytest.raises(Exception, match="no such columns"):
+        llm.read.format("warc").schema("nothing string").load(folder).count()
