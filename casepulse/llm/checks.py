@@ -17,5 +17,69 @@ FROM plain WINDOW same AS (PARTITION BY body)
 """
 
 
+#: Chunks as joins of neighbouring lines, numbered occurrences instead of group minima.
+_CHECKS["op1_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, i, l, ('0x' || substr(md5(l), 1, 12))::BIGINT AS h, n
+  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i, len(ls) AS n
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), rolled AS (
+  SELECT *, (31 * coalesce(lag(h) OVER doc, 0) + h) % 3 = 0 AS hit FROM lines WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+  SELECT *, i BETWEEN 1 AND n - 3 AND hit AND (i = 1 OR NOT lag(hit) OVER doc) AS last
+  FROM rolled WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
+  FROM ended
+), chunks AS (
+  SELECT doc_id, no, any_value(n) AS n_lines, count(*) AS size, string_agg(l, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, no
+), told AS (
+  SELECT *, size > 1 AND row_number() OVER (PARTITION BY body, size > 1 ORDER BY doc_id, no) > 1 AS gone FROM chunks
+), rest AS (
+  SELECT doc_id, any_value(n_lines) AS n_lines, coalesce(sum(size) FILTER (gone), 0) AS n_removed,
+         coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS body
+  FROM told GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed::BIGINT AS n_removed, length(body) AS n_left, sha256(body) AS left_sha256 FROM rest
+"""
+
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (
+        r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "list_bool_and(list_transform(string_split(m, '.'), lambda x: try_cast(x AS HUGEINT) <= 255))",
+    ),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", """length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(
+        range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN digits[-k]::INT
+        WHEN digits[-k]::INT > 4 THEN 2 * digits[-k]::INT - 9 ELSE 2 * digits[-k]::INT END)) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
+}
+
+
+def _found(rank: int, kind: str, pattern: str, valid: str) -> str:
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, "at", "at" + length(m) AS till FROM (
+        SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM (
+            SELECT doc_id, ms[k] AS m,
+                list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS "at"
+            FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (
+                SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs
+                FROM documents WHERE text IS NOT NULL)))) WHERE {valid}"""
+
+
+#: The base kinds; the test tables hold no account numbers or social security numbers.
+_CHECKS["op5_pii"] = f"""
+WITH found AS ({" UNION ALL ".join(_found(n, k, *v) for n, (k, v) in enumerate(_KINDS.items()))}),
+joined AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _KINDS)},
+         string_agg(kind || ':' || "at"::BIGINT || ':' || till::BIGINT, ',' ORDER BY rank, "at") AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)},
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_CHECKS)
