@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,8 @@ from casepulse.operators import (
 )
 from casepulse.plans import bindings as b
 from casepulse.plans.bindings import Tables
-from casepulse.sources.writers import stage
+from casepulse.session import shared_folder
+from casepulse.sources.writers import stage, write_report
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -55,6 +57,14 @@ def _case_tables(t: Tables) -> list[DataFrame]:
     ]
 
 
+@query
+def csv_report(t: Tables) -> DataFrame:
+    """Client days through a sorted CSV report and back."""
+    daily, path = b.dense_daily(t), f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
+    write_report(daily, path, "csv", sort_by=["client_fk", "case_receiving_date"])
+    return t.spark.read.schema(daily.schema).option("header", "true").csv(path)
+
+
 @query
 def hourly_client_cases(t: Tables) -> DataFrame:
     return facts.hourly_client_cases(*_case_tables(t), since=b.DAILY_FROM)
