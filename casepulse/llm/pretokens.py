@@ -2,8 +2,8 @@
 
 A pre-token is what the tokenizer's pattern cuts a text into before any merge, so its ids do not
 depend on its neighbours and can be kept. Only the pieces that are not kept go to the library.
-Texts with characters outside the ranges in ``PLAIN``, where the pattern's classes may differ
-between libraries' versions of Unicode, or with a special token's string go to it as a whole.
+Texts with characters in ``ODD``, where the pattern's classes differ between libraries or versions of
+Unicode, or with a special token's string go to it as a whole.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import Any
 
-import regex
 from tokenizers import Tokenizer
 
-# Fixed value: the pattern of the byte-level pre-tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-ODD = re.compile("[^\t\n\r -~¡-ͷЀ-ӿ]")
+# Fixed value: the pattern of the byte-level pre-tokenizer, for the characters below.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Not among the characters of which the pattern's classes hold: Latin, Greek accents and Cyrillic,
+#: without digits raised or in fractions, and without rare white space.
+ODD = re.compile("[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u0377\u0400-\u04ff]")
 #: A place where every cut of the pattern falls: between a non-space and one space before another.
 SEAM = re.compile(r"\S(?= \S)")
 #: Characters of text that are cut into pre-tokens at once.
@@ -101,7 +101,7 @@ class PieceCache:
         self.tokenizer, self.value = load(path), value
         self.special = special_strings(self.tokenizer)
         self.pieces = Generations(limit, self.made, fixed)
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = re.compile(PATTERN).findall
 
     def made(self, pieces: set[str]) -> dict:
         ids = model_ids(self.tokenizer)
