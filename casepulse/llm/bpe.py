@@ -11,15 +11,15 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.llm.common import join_groups, whole
+from casepulse.llm.common import join_groups, map_arrow, whole
 from casepulse.llm.pretokens import (
     ODD,
     Generations,
@@ -35,9 +35,9 @@ from casepulse.sources.writers import stage
 #: Bytes that the rolling hash sees, chance of a cut after a byte, and the least length of a chunk.
 WINDOW, AVERAGE, LEAST = 32, 2048, 512
 #: Pieces that a Python worker keeps, and as many of an older generation.
-WORKER_PIECES = 300_000
-# Fixed value: the pattern that cuts normal text into pieces.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORKER_PIECES = 200_000
+# Fixed value: the pattern that cuts normal text into pieces, for the characters that are not in ODD.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: What a join's window has to its right and left: up to white space, which nothing goes over.
 _HEAD, _TAIL = re.compile(r"[^ \t\r\n]*"), re.compile(r"[^ \t\r\n]*\Z")
 #: The base of the rolling hash to the powers 1, 2, 4 and so on, below WINDOW.
@@ -81,16 +81,16 @@ def chunks(data: bytes) -> list[bytes]:
 class Encoder:
     """Encodes pieces of words through a cache that lives as long as its Python worker; ids are bytes, 4 for each.
 
-    The library brings a text into its normal form, the tokenizer's pattern cuts that, and the
-    library's model gives the ids of each piece. Texts where the pattern's classes may differ
-    between libraries, or with a special token's string, go to the library as a whole.
+    The text's normal form (NFC, lower case) is cut by the tokenizer's pattern, and the library's
+    model gives the ids of each piece. Texts with characters for which libraries may differ in any
+    of this, or with a special token's string, go to the library as a whole.
     """
 
     def __init__(self, path: str, limit: int = WORKER_PIECES):
         self.tokenizer = load(path)
         self.special = special_strings(self.tokenizer)
         self.pieces = Generations(limit, self.made)
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = re.compile(PATTERN).findall
 
     def made(self, pieces: set[str]) -> dict[str, bytes]:
         ids = model_ids(self.tokenizer)
@@ -98,8 +98,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text. White space ends a token whatever stands around it."""
-        plain = self.tokenizer.normalizer.normalize_str(text)
-        if ODD.search(text) or ODD.search(plain) or any(s in text for s in self.special):
+        plain = "" if ODD.search(text) else normalize("NFC", text).lower()
+        if ODD.search(plain or text) or any(s in text for s in self.special):
             return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = []
         for part in slices(plain):
@@ -149,7 +149,7 @@ def chunk_hashes(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "mark", "no", "hash"],
             )
 
-    return rows.mapInArrow(hashed, "doc_id long, mark long, no int, hash binary")
+    return map_arrow(rows, hashed, "doc_id long, mark long, no int, hash binary")
 
 
 def encode_decode(
@@ -218,16 +218,17 @@ def encode_decode(
                 yield _batch(doc_ids, all_ids, decoded)
 
     key = ["doc_id", "mark"]
-    packed = rows.mapInArrow(compressed, "doc_id long, mark long, text binary")
+    packed = map_arrow(rows, compressed, "doc_id long, mark long, text binary")
     chosen = shared.select("at.*").groupBy(*key).agg(F.collect_list("no").alias("chosen"))
-    codes = _join(packed, chosen, key, "inner").select("text", "chosen").mapInArrow(
-        encode_chosen, "hash binary, ids binary"
+    codes = map_arrow(
+        _join(packed, chosen, key, "inner").select("text", "chosen"), encode_chosen, "hash binary, ids binary"
     )
     known = join_groups(
         places, codes, ["hash"], size="n", spread=["doc_id"], sizes=shared, value="ids"
     ).groupBy(*key).agg(F.collect_list(F.struct("no", "ids")).alias("known"))
-    return _join(packed, known, key, "left").select("doc_id", "text", "known").mapInArrow(
-        assemble, "doc_id long, ids binary, decoded string"
+    return map_arrow(
+        _join(packed, known, key, "left").select("doc_id", "text", "known"), assemble,
+        "doc_id long, ids binary, decoded string",
     )
 
 

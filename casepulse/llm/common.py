@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A run of white space, and a word, as Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that ``join_groups`` spreads at most. Any further key has less than one row in so many.
 HEAVY = 1024
+#: Bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def importable(spark: SparkSession) -> None:
@@ -26,6 +29,21 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([*filter(None, paths), root])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers, where the session allows more."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = "".join(filter(str.isdigit, spark.conf.get(setting))) or "0"
+    if not 0 < int(given) <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with workers that can import this package and get small batches."""
+    importable(df.sparkSession)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

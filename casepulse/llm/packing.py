@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casepulse.llm.common import spare, whole
+from casepulse.llm.common import map_arrow, spare, whole
 from casepulse.llm.pretokens import PieceCache, id_bytes, worker_cache
 
 #: Open bins of one packer, and pieces that one packer gets on average.
 OPEN_BINS = 32_768
 PIECES_PER_TASK = 40_000
 #: Pre-tokens that a Python worker keeps, and as many of an older generation.
-WORKER_PIECES = 400_000
+WORKER_PIECES = 250_000
 
 
 def token_pieces(
@@ -65,7 +65,7 @@ def token_pieces(
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return map_arrow(texts, cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 class BestFit:
@@ -142,14 +142,14 @@ def pack(
             )
 
     task = spare(pieces, "task")
-    return (
+    dealt = (
         pieces.repartition(packers, *keys)
         .withColumn(task, F.spark_partition_id())
         .sortWithinPartitions(F.desc(length_col), F.xxhash64(*keys), *keys)
-        .mapInArrow(fit, T.StructType([
-            *pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
-        ]))
     )
+    return map_arrow(dealt, fit, T.StructType([
+        *pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
+    ]))
 
 
 def packers_for(docs: DataFrame, pieces_per_task: int = PIECES_PER_TASK) -> int:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.llm.common import join_groups, parts_of, whole
+from casepulse.llm.common import join_groups, map_arrow, parts_of, whole
 from casepulse.llm.components import components
 from casepulse.llm.golay import near_codewords
 from casepulse.sources.writers import stage
@@ -66,9 +66,8 @@ def fingerprints(
                 [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(
-        hashed, "doc_id long, fp long"
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    return map_arrow(texts, hashed, "doc_id long, fp long")
 
 
 def join_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,12 +197,9 @@ def links(fps: DataFrame, *, distance: int = 3) -> DataFrame:
                 group.append(own)
         yield from done()
 
-    keyed = fps.select("fp").mapInArrow(explode, "key long, fp long")
-    found = stage(
-        spark,
-        keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(connect, "key long, a long, b long"),
-        "fp-links",
-    )
+    keyed = map_arrow(fps.select("fp"), explode, "key long, fp long")
+    sorted_ = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    found = stage(spark, map_arrow(sorted_, connect, "key long, a long, b long"), "fp-links")
     near = found.where("b is not null").select("a", "b")
     large = found.where("b is null").select("key", F.col("a").alias("fp"))
     if large.isEmpty():
@@ -214,7 +210,7 @@ def links(fps: DataFrame, *, distance: int = 3) -> DataFrame:
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
     )
     pairs = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.union(pairs.mapInArrow(compare, "a long, b long"))
+    return near.union(map_arrow(pairs, compare, "a long, b long"))
 
 
 def simhash_dedup(

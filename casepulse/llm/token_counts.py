@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.llm.common import whole
+from casepulse.llm.common import map_arrow, whole
 from casepulse.llm.pretokens import PieceCache, load, slices, worker_cache
 
 #: Rows that the table of frequent pre-tokens is made from, and its entries. The table only saves
@@ -18,7 +18,7 @@ from casepulse.llm.pretokens import PieceCache, load, slices, worker_cache
 SAMPLE_ROWS = 4000
 TABLE_SIZE = 32_768
 #: Further pre-tokens that a Python worker keeps, and as many of an older generation.
-WORKER_PIECES = 400_000
+WORKER_PIECES = 250_000
 
 def frequent_lengths(
     docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
@@ -44,7 +44,7 @@ def frequent_lengths(
 
     texts = docs.select(whole(text_col).alias("text"))
     sample = texts.sample(min(1.0, sample_rows / total), seed=7).limit(sample_rows).coalesce(1)
-    top = [row.piece for row in sample.mapInArrow(count, "piece string, n long").collect()]
+    top = [row.piece for row in map_arrow(sample, count, "piece string, n long").collect()]
     encoded = load(tokenizer_path).encode_batch(top, add_special_tokens=False)
     return dict(zip(top, (len(e.ids) for e in encoded), strict=True))
 
@@ -87,6 +87,6 @@ def token_counts(
         F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"),
         F.octet_length(whole(text_col)).cast("long").alias("n_bytes"),
     )
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn(
+    return map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long").withColumn(
         "over_limit", F.col("n_tokens") > limit
     )
