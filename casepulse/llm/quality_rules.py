@@ -45,7 +45,7 @@ def text_statistics(
     text. Work per text grows as n log n (one sort); nothing is shuffled. A NULL text is empty. With
     ``carry`` the whole input row comes along in the struct ``_row``.
     """
-    text, columns, row = F.col("_text"), F.col, ["_row"] if carry else []
+    text, row = F.col("_text"), ["_row"] if carry else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_text"),
         *([F.struct("*").alias("_row")] if carry else []),
@@ -64,7 +64,7 @@ def text_statistics(
     )
     # Windows whose hash is also a neighbour's in hash order, back in text order.
     rows = rows.withColumn("_repeated", F.sort_array(F.filter(F.transform(
-        columns("_windows"),
+        "_windows",
         lambda w, k: F.when(
             (F.get("_windows", k - 1)["h"] == w["h"]) | (F.get("_windows", k + 1)["h"] == w["h"]), w["i"]
         ),

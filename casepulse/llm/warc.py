@@ -383,7 +383,8 @@ class WarcDataSource(DataSource):
 
 
 def _uri(path: str) -> str:
-    return path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
+    """A path as a URI that names its file system."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
 def register(spark) -> None:
