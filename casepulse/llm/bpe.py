@@ -35,7 +35,7 @@ from casepulse.sources.writers import stage
 #: Bytes that the rolling hash sees, chance of a cut after a byte, and the least length of a chunk.
 WINDOW, AVERAGE, LEAST = 32, 2048, 512
 #: Pieces that a Python worker keeps, and as many of an older generation.
-WORKER_PIECES = 200_000
+WORKER_PIECES = 60_000
 # Fixed value: the pattern that cuts normal text into pieces, for the characters that are not in ODD.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: What a join's window has to its right and left: up to white space, which nothing goes over.
@@ -211,7 +211,7 @@ def encode_decode(
                 all_ids.append(ids)
                 decoded.append(own.decode(ids))
                 held += len(ids)
-                if held > 1 << 23:
+                if held > 1 << 21:
                     yield _batch(doc_ids, all_ids, decoded)
                     doc_ids, all_ids, decoded, held = [], [], [], 0
             if doc_ids:

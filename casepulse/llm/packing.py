@@ -54,7 +54,7 @@ def token_pieces(
                     own = ids[at:at + step] if at else ids[:first]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, own))
                     held += len(own)
-                    if held > 1 << 22:
+                    if held > 1 << 21:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                         )
