@@ -38,13 +38,26 @@ class Kind:
     base: bool = True
 
 
+#: Countries by the characters of their account numbers: the IBAN registry, and those that use the form without being in it.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|MZ|PT|ST", 26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: An account number of its country's length; and any other run, which ends before such a number.
+_LISTED = "(?:" + "|".join(
+    rf"(?:{countries})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{length - 4}}}" for length, countries in LENGTHS.items()
+) + ")(?![A-Za-z0-9])"
+_RUN = rf"[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?!{_LISTED})[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"
 #: The patterns of the base kinds, here without backtracking.
 KINDS = (
     Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write"),
     Kind("ip", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15}", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|pay|amex"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.6, "iban|account|bank|konto|cuenta|compte", base=False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", rf"(?<![A-Za-z0-9])(?:{_LISTED}|{_RUN})", 0.6, "iban|account|bank|konto|cuenta|compte", base=False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security", base=False),
 )
 BY_NAME = {kind.name: kind for kind in KINDS}
