@@ -18,6 +18,8 @@ from casepulse.llm.common import settled, whole
 
 #: Characters around a match in which context words count, what a word adds, and the least score of a span.
 NEAR, BONUS, LEAST = 40, 0.3, 0.5
+#: No pattern matches fewer characters.
+SHORTEST = 2
 #: Elements of an array that one running sum goes over; longer arrays are summed block by block.
 BLOCK = 256
 
@@ -136,12 +138,48 @@ def _matches(rows: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
     }))
 
 
+def _around(rows: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
+    """``rows`` with b_ and a_: the ``NEAR`` characters before and after each match.
+
+    They may go over neighbouring matches. Each is put together from as many gaps and matches as
+    ``NEAR`` characters can hold, so a text takes time in proportion to its length.
+    """
+    def ends(kind: Kind) -> dict[str, Column]:
+        gaps, matches, none = f"g_{kind.name}", f"m_{kind.name}", F.lit("")
+        return {
+            f"b_{kind.name}": F.transform(matches, lambda m, i: F.right(F.concat(F.get(gaps, i), m), F.lit(NEAR))),
+            f"a_{kind.name}": F.transform(matches, lambda m, i: F.left(
+                F.concat(m, F.coalesce(F.get(gaps, i + 1), none)), F.lit(NEAR)
+            )),
+        }
+
+    def joined(kind: Kind) -> dict[str, Column]:
+        gaps, before, after = (f"{c}_{kind.name}" for c in "gba")
+        count, none = NEAR // SHORTEST, F.lit("")
+
+        def of(pieces: str, place: Column) -> Column:
+            return F.coalesce(F.get(pieces, place), none)
+
+        return {
+            before: F.transform(before, lambda _, i: F.right(
+                F.concat(*(of(before, i - k) for k in range(count, 0, -1)), F.get(gaps, i)), F.lit(NEAR)
+            )),
+            after: F.transform(after, lambda _, i: F.left(
+                F.concat(of(gaps, i + 1), *(of(after, i + k) for k in range(1, count + 1))), F.lit(NEAR)
+            )),
+        }
+
+    for build in (ends, joined):
+        rows = settled(rows.withColumns({
+            name: F.when(F.col(f"g_{k.name}").isNotNull(), column) for k in kinds for name, column in build(k).items()
+        }))
+    return rows
+
+
 def _score(kind: Kind, i: Column) -> Column:
-    """The score of match i: that of its kind, more with a context word in the gap before or after it."""
-    words, gaps = F.lit(rf"(?i)\b(?:{kind.context})"), f"g_{kind.name}"
-    near = F.regexp_like(F.right(F.get(gaps, i), F.lit(NEAR)), words) | F.regexp_like(
-        F.left(F.get(gaps, i + 1), F.lit(NEAR)), words
-    )
+    """The score of match i: that of its kind, more with a context word in the characters around it."""
+    words = F.lit(rf"(?i)\b(?:{kind.context})")
+    near = F.regexp_like(F.get(f"b_{kind.name}", i), words) | F.regexp_like(F.get(f"a_{kind.name}", i), words)
     return F.lit(kind.score) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
 
 
@@ -157,7 +195,7 @@ def find_spans(docs: DataFrame, *, text_col: str = "text", as_col: str = "spans"
     spans of the kinds that are not base ones where the score is below ``LEAST``. A NULL text is
     empty. All columns of ``docs`` stay; one already named ``as_col`` is replaced. No shuffle.
     """
-    rows = _matches(docs.select(F.struct("*").alias("row"), whole(text_col).alias("text")), KINDS)
+    rows = _around(_matches(docs.select(F.struct("*").alias("row"), whole(text_col).alias("text")), KINDS), KINDS)
     rows = settled(rows.withColumns({
         f"d_{k.name}": F.when(F.col(f"g_{k.name}").isNotNull(), F.zip_with(
             f"g_{k.name}", f"m_{k.name}", lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))
@@ -192,7 +230,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     for kind in KINDS:
-        rows = _marked(_matches(rows, [kind]), kind)
+        rows = _marked(_around(_matches(rows, [kind]), [kind]), kind)
     text, columns = F.col("text"), []
     changed = ~text.eqNullSafe(F.col(f"row.`{text_col}`"))
     for field in docs.schema:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from casepulse.llm import pii
@@ -35,3 +38,27 @@ def test_an_account_number_ends_with_its_country_s_length(texts, text, accounts)
 def test_each_country_has_one_length():
     countries = [c for group in pii.LENGTHS.values() for c in group.split("|")]
     assert len(countries) == len(set(countries)) and all(len(c) == 2 for c in countries)
+
+
+def test_a_context_word_counts_for_each_number_of_a_list(texts):
+    rows = [(1, "SSN: 123-45-6789, 987-65-4321"), (2, "123-45-6789, 987-65-4321 (social)"), (3, "123-45-6789, 987-65-4321")]
+    df = texts(rows, clashing=False)
+    both = [("ssn", "123-45-6789"), ("ssn", "987-65-4321")]
+    assert spans_of(df) == {1: both, 2: both, 3: []}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: "SSN: [SSN], [SSN]", 2: "[SSN], [SSN] (social)", 3: rows[2][1]}
+
+
+def test_scores_are_those_of_the_characters_around(texts):
+    rng = random.Random(3)
+    parts = ["card ", "tel. ", "ssn ", "x ", "é🙂, ", "12 34x", "+1 2 ", "4111 1111 1111 1111, ", "+1 (743) 555-3824; ", "123-45-6789, ", "a@b.cd "]
+    rows = [(k, "".join(rng.choices(parts, k=40))) for k in range(60)]
+    found = {r.doc_id: r.spans for r in pii.find_spans(texts(rows, clashing=False)).collect()}
+    assert sum(map(len, found.values())) > 100
+    for k, text in rows:
+        want = []
+        for kind in pii.KINDS:
+            near = re.compile(rf"(?i)\b(?:{kind.context})", re.ASCII)
+            for s in (s for s in found[k] if s.kind == kind.name):
+                around = text[max(0, s.start - pii.NEAR):s.start], text[s.end:s.end + pii.NEAR]
+                want.append((s.kind, s.start, round(kind.score + pii.BONUS * any(map(near.search, around)), 6)))
+        assert [(s.kind, s.start, round(s.score, 6)) for s in found[k]] == want
