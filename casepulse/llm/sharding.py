@@ -3,7 +3,8 @@
 Rows with equal texts form a group, and groups are ordered by their text's hash, so a shard is a
 range of hashes and a row finds its shard by comparing its hash with at most 15 cuts, without a
 join. The cuts give the smallest possible capacity of the largest shard: a binary search over
-capacities, each checked greedily - every shard takes groups until the next would not fit.
+capacities, each checked greedily - every shard takes groups until the next would not fit. A group
+that alone makes the capacity has a shard for itself, and the same search goes on before and after it.
 
 The greedy check needs the largest running sum up to a number. The driver holds running sums at
 some groups only, and knows from them that some capacities are enough and others are not. Between
@@ -29,6 +30,8 @@ from casepulse.sources.writers import stage
 STEPS = 512
 #: Bits of the hash that name a range; running sums start anew in each, and its total comes to the driver.
 RANGE_BITS = 12
+#: Shards that take all that fits are even enough if the last is short by one part in so many.
+SLACK = 10
 
 
 class Sums:
@@ -56,37 +59,49 @@ class Sums:
         at = bisect_left(self.open, (most, 0)) - 1
         return max(best, min(most, self.open[at][1] - 1)) if hopeful and at >= 0 else best
 
-    def ends(self, capacity: int, shards: int, hopeful: bool) -> list[int]:
-        """Where the shards end if each takes all that fits."""
-        at, out = 0, []
+    def ends(self, capacity: int, shards: int, hopeful: bool, start: int = 0, stop: int | None = None) -> list[int]:
+        """Where the shards from ``start`` on end if each takes all that fits, up to ``stop``."""
+        at, out, stop = start, [], self.known[-1] if stop is None else stop
         for _ in range(shards):
-            at = self.reach(at + capacity, hopeful)
+            at = self.reach(min(at + capacity, stop), hopeful)
             out.append(at)
         return out
 
-    def least(self, low: int, high: int, shards: int, hopeful: bool) -> int:
-        """The smallest capacity from ``low`` to ``high`` with which the shards take everything."""
+    def needed(self, capacity: int, most: int, hopeful: bool, start: int, stop: int) -> int:
+        """How many shards take everything from ``start`` to ``stop``; more than ``most`` if those do not."""
+        return sum(end < stop for end in self.ends(capacity, most, hopeful, start, stop)) + 1
+
+    def least(
+        self, low: int, high: int, shards: int, hopeful: bool, spans: Sequence[tuple[int, int]] | None = None
+    ) -> int:
+        """The smallest capacity from ``low`` to ``high`` with which the shards take everything, or all of ``spans``."""
+        spans = [(0, self.known[-1])] if spans is None else spans
         while low < high:
             middle = (low + high) // 2
-            if self.ends(middle, shards, hopeful)[-1] == self.known[-1]:
+            if sum(self.needed(middle, shards, hopeful, a, z) for a, z in spans) <= shards:
                 high = middle
             else:
                 low = middle + 1
         return high
 
 
-def minimax_ends(running: DataFrame, sums: Sums, largest: int, shards: int) -> list[int]:
-    """The running sums (column upto) at which the shards end, for the smallest capacity."""
-    total, steps = sums.known[-1], STEPS
-    low, high = max(largest, -(-total // shards)), total
+def least_capacity(
+    running: DataFrame, sums: Sums, largest: int, shards: int, parts: Sequence[tuple[int, int]]
+) -> int:
+    """The smallest capacity with which ``shards`` take all between the running sums (column upto) of each of ``parts``."""
+    steps = STEPS
+    low = max(largest, -(-sum(z - a for a, z in parts) // shards))
+    high = max(low, *(z - a for a, z in parts))
     while True:
         # Less would not do even if sums stood wherever they may; with the known sums this does.
-        low = sums.least(low, high, shards, hopeful=True)
-        high = sums.least(low, high, shards, hopeful=False)
+        low = sums.least(low, high, shards, True, parts)
+        high = sums.least(low, high, shards, False, parts)
         if low == high:
-            return sums.ends(high, shards, hopeful=False)
+            return high
         # Whatever the answer, each shard ends between these.
-        spans = list(zip(sums.ends(low, shards, False), sums.ends(high, shards, True), strict=True))
+        spans = [span for a, z in parts for span in zip(
+            sums.ends(low, shards, False, a, z), sums.ends(high, shards, True, a, z), strict=True
+        )]
         spans = [(a, z, max(1, -(-(z - a) // steps))) for a, z in spans if z > a]
         near = [(F.col("upto") > a) & (F.col("upto") <= z) for a, z, _ in spans]
         place = F.array(*(
@@ -103,36 +118,67 @@ def minimax_ends(running: DataFrame, sums: Sums, largest: int, shards: int) -> l
         steps *= 4
 
 
-def running_sums(groups: DataFrame) -> tuple[DataFrame, Sums, int]:
-    """The groups (hash, size) in order of hash with upto, the sum of sizes up to each; sums at the ranges' ends; the largest size.
+def even_ends(running: DataFrame, sums: Sums, shards: int, start: int, stop: int) -> list[int]:
+    """The running sums at which the shards from ``start`` to ``stop`` end: the largest is the smallest possible, the rest even.
+
+    While the largest group alone makes the capacity, it gets a shard for itself, and what stands
+    before and after it shares the other shards under their own smallest capacity.
+    """
+    parts, left, ends = [(start, stop)], shards, []
+    while parts:
+        inside = reduce(or_, ((F.col("upto") > a) & (F.col("upto") <= z) for a, z in parts))
+        size, upto = running.where(inside).agg(F.max(F.struct("size", "upto"))).first()[0]
+        capacity = least_capacity(running, sums, size, left, parts)
+        if capacity > size:
+            break
+        before = upto - size
+        sums.learn(before - 1, upto, [(before, before, 1), (upto, upto, 1)])
+        ends += [before, upto]
+        parts = [
+            (a, z) for low, high in parts for a, z in ([(low, before), (upto, high)] if low <= before < high else [(low, high)]) if a < z
+        ]
+        left -= 1
+    if parts == [(start, stop)]:
+        if (capacity * shards - (stop - start)) * SLACK <= capacity:
+            return sums.ends(capacity, shards, False, start, stop)
+        # Groups are large, so shards that take all that fits would leave the last ones short.
+        first = sums.ends(capacity, 1, False, start, stop)[0]
+        return [first, *(even_ends(running, sums, shards - 1, first, stop) if first < stop else [])]
+    given = {(a, z): sums.needed(capacity, left, False, a, z) for a, z in parts}
+    while given and sum(given.values()) < left:
+        given[max(given, key=lambda part: (part[1] - part[0]) / given[part])] += 1
+    for (a, z), n in given.items():
+        ends += even_ends(running, sums, n, a, z)
+    return sorted(ends)
+
+
+def running_sums(groups: DataFrame) -> tuple[DataFrame, Sums]:
+    """The groups (hash, size) in order of hash with upto, the sum of sizes up to each; sums at the ranges' ends.
 
     Each range of hashes is summed by itself. Only the ranges' totals, 2 ** RANGE_BITS at most,
     come to the driver and go back as what to add to each range.
     """
     ranged = groups.withColumn("range", F.shiftright("hash", 64 - RANGE_BITS).cast("int"))
-    totals = ranged.groupBy("range").agg(F.sum("size").alias("size"), F.max("size").alias("largest")).orderBy("range").collect()
+    totals = ranged.groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect()
     ends = list(accumulate((t["size"] for t in totals), initial=0))
     before = groups.sparkSession.createDataFrame(
         [(t["range"], end) for t, end in zip(totals, ends, strict=False)], "range int, before long"
     )
     window = Window.partitionBy("range").orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = ranged.withColumn("within", F.sum("size").over(window)).join(F.broadcast(before), "range")
-    return (
-        running.select("hash", "size", (F.col("before") + F.col("within")).alias("upto")), Sums(ends),
-        max((t["largest"] for t in totals), default=0),
-    )
+    return running.select("hash", "size", (F.col("before") + F.col("within")).alias("upto")), Sums(ends)
 
 
 def cut_hashes(rows: DataFrame, shards: int) -> list[int]:
     """The hash of the last group of each shard but the last, from the rows' hash and size."""
     spark = rows.sparkSession
     groups = stage(spark, rows.groupBy("hash").agg(F.sum("size").alias("size")), "shard-groups")
-    running, sums, largest = running_sums(groups)
-    if not largest:
+    running, sums = running_sums(groups)
+    if not sums.known[-1]:
         return []
     running = stage(spark, running, "running-sums")
-    ends = minimax_ends(running, sums, largest, shards)
-    inner = sorted({end for end in ends if end < sums.known[-1]})
+    total = sums.known[-1]
+    inner = sorted({end for end in even_ends(running, sums, shards, 0, total) if 0 < end < total})
     return sorted(row["hash"] for row in running.where(F.col("upto").isin(inner)).collect()) if inner else []
 
 
@@ -160,9 +206,10 @@ def shard_by_bytes(
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, shard and slot (gapless from 0) of every row.
 
     Equal texts share a shard, and the largest shard is as small as any cut of the groups in hash
-    order allows. Groups are told apart by a 64-bit hash: should two texts share one, they share a
-    shard. A NULL text is an empty one. Fewer groups than shards leave the last shards empty. Rows
-    that repeat an id get slots of their own; other columns are ignored; an empty table gives an
+    order allows; around a group larger than an even share the rest is spread evenly. Groups are
+    told apart by a 64-bit hash: should two texts share one, they share a shard. A NULL text is an
+    empty one. Fewer groups than shards leave the last shards empty. Rows that repeat an id get
+    slots of their own; other columns are ignored; an empty table gives an
     empty result. The texts are read once: hashes, sizes and checksums are stored.
     """
     rows = stage(docs.sparkSession, docs.select(

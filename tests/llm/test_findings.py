@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-from casepulse.llm import pii
+from casepulse.llm import pii, sharding
+from tests.llm.test_sharding import best_capacity
 
 
 def spans_of(df):
@@ -62,3 +63,32 @@ def test_scores_are_those_of_the_characters_around(texts):
                 around = text[max(0, s.start - pii.NEAR):s.start], text[s.end:s.end + pii.NEAR]
                 want.append((s.kind, s.start, round(kind.score + pii.BONUS * any(map(near.search, around)), 6)))
         assert [(s.kind, s.start, round(s.score, 6)) for s in found[k]] == want
+
+
+# --- shards ------------------------------------------------------------------------------
+
+
+def shard_sizes(llm, sizes, shards=16):
+    step = (1 << 64) // len(sizes)
+    groups = [(k * step - (1 << 63), size) for k, size in enumerate(sizes)]
+    cuts = sharding.cut_hashes(llm.createDataFrame(groups, "hash long, size long"), shards)
+    out = [0] * shards
+    for hash_, size in groups:
+        out[sum(hash_ > cut for cut in cuts)] += size
+    assert max(out) == best_capacity(sizes, shards)
+    return out
+
+
+@pytest.mark.parametrize(("share", "at"), [(0.1, 0.5), (1 / 3, 0.3), (1 / 3, 0)])
+def test_a_large_group_leaves_the_other_shards_even(llm, share, at):
+    rng = random.Random(9)
+    sizes = [rng.randint(50, 150) for _ in range(6000)]
+    large = int(sum(sizes) * share / (1 - share))
+    sizes.insert(int(at * len(sizes)), large)
+    out = sorted(shard_sizes(llm, sizes))
+    even = (sum(sizes) - large) / 15
+    assert out[-1] == large and 0.8 * even < out[0] and out[-2] < 1.2 * even
+
+
+def test_few_groups_leave_no_shard_empty(llm):
+    assert sorted(shard_sizes(llm, [10] * 50)) == [30] * 14 + [40] * 2
