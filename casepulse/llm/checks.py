@@ -81,5 +81,86 @@ FROM documents LEFT JOIN joined USING (doc_id)
 """
 
 
+def _crc32(value: str) -> str:
+    """The unsigned CRC-32 of a number's decimal text, bit by bit."""
+    digits = f"list_transform(range(1, length({value}::VARCHAR) + 1), lambda k: ascii(substr({value}::VARCHAR, k, 1))::BIGINT)"
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = (f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+_UP = """SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16
+  FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 16, n"""
+_SIDES = """SELECT *, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {0} WHERE n > 1 WINDOW run AS (PARTITION BY tree, level, pos // 16 ORDER BY pos)"""
+_FOLD = """SELECT id, tree, level + 1, pos // 16, sha256(before || d || after), sides || before || after
+  FROM {0} JOIN {1} USING (tree, level, pos)"""
+
+#: Levels as steps of recursive queries: up both kinds of trees, then from each leaf through its siblings.
+_CHECKS["op11_merkle_manifest"] = f"""
+WITH RECURSIVE named AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, {_leaf("text")} AS h,
+         {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered FROM documents
+), up AS (
+  SELECT tree, 0 AS level, pos, h, n FROM named UNION ALL {_UP.format("up")}
+), subroots AS (SELECT tree, h FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS tree, 0 AS level, tree AS pos, h, (SELECT count(*) FROM subroots) AS n FROM subroots UNION ALL {_UP.format("top")}
+), sides AS ({_SIDES.format("up")}), top_sides AS ({_SIDES.format("top")}),
+inner_fold AS (
+  SELECT id, tree, 0 AS level, pos, CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN lowered ELSE h END AS d, '' AS sides FROM named
+  UNION ALL {_FOLD.format("inner_fold", "sides")}
+), outer_fold AS (
+  SELECT id, 0 AS tree, 0 AS level, tree AS pos, d, sides FROM (SELECT *, max(level) OVER (PARTITION BY id) AS most FROM inner_fold) WHERE level = most
+  UNION ALL {_FOLD.format("outer_fold", "top_sides")}
+), folded AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY id) AS most FROM outer_fold) WHERE level = most)
+SELECT doc_id, named.h AS leaf, subroots.h AS subroot, top.h AS root, sha256(sides) AS proof_sha256, d AS folded_root, d = top.h AS verified
+FROM named JOIN subroots ON subroots.tree = named.tree JOIN folded ON folded.id = named.id JOIN top ON top.n = 1
+"""
+
+_CHECKS["op12_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER best AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+"""
+
+#: Nodes as lists of turns; totals by joining every node with all of its beginnings.
+_CHECKS["op13_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS own,
+         {_crc32("conv_id")} % 9 AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), made AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS s
+  FROM turns a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 5
+), steps AS (
+  SELECT conv_id, d, s[1:d] AS k, d = len(s) AS last FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM made)
+), nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce((count(*) - 1) * octet_length(encode(k[d].t)), 0) AS gain,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM steps GROUP BY k, d
+), kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT b.k[1:b.up] AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum(gain) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM nodes) b LEFT JOIN kids ON kids.k = b.k GROUP BY ALL
+)
+SELECT nodes.conv_id, nodes.d AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN below ON below.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k
+LEFT JOIN nodes parent ON parent.k = nodes.k[1:nodes.d - 1] AND nodes.d > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_CHECKS)

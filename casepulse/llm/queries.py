@@ -12,12 +12,15 @@ from casepulse.llm import (
     bpe,
     exact_dedup,
     line_dedup,
+    merkle,
     packing,
     pii,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash_dedup,
     token_counts,
+    topk,
     warc,
 )
 from casepulse.llm.common import table
@@ -125,5 +128,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum five divides present their text in lower case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    return merkle.merkle_manifest(
+        documents(spark, sf_dir), columns=["doc_id", "source", "lang", "n_chars", "text"], presented={"text": text}, proofs=False
+    ).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(
+        table(spark, sf_dir, "conversations"), kept=F.crc32(conv.cast("string")) % 9, base=conv - conv % 5, longest=8
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
