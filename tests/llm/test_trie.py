@@ -61,18 +61,19 @@ ODD = [
     (1, None, None, None), (1, 0, "u", "a"), (1, 0, "u", "a"), (2, 0, "u", "é" * 9), (None, 1, "u", "x"), (7, 3, "u", ""),
     (7, 2, "a", "b"), (-3, 0, "u", "a"), (-3, 1, "u", "z"), (0, 0, "u", "x" * 300_000),
 ]
-CASES = {
-    "odd": ODD, "empty": [], "one": ODD[3:4], "no id": ODD[4:5],
-    "deep": [(c, t, "u", f"t{t}" if t < 40 * c + RANDOM.randint(0, 3) else f"{c}-{t}") for c in range(60) for t in range(RANDOM.randint(1, 90))],
-    "bushy": [(c, t, RANDOM.choice("ua"), RANDOM.choice(["x", "yy", "zzz"])) for c in range(400) for t in range(RANDOM.randint(0, 12))],
-    "nested": [(c, t, "u", f"same{t}") for c in range(150) for t in range(c % 75)],
-}
+CASES = [
+    ODD,
+    [(c, t, "u", f"t{t}" if t < 40 * c + RANDOM.randint(0, 3) else f"{c}-{t}") for c in range(60) for t in range(RANDOM.randint(1, 90))],
+    [(c, t, RANDOM.choice("ua"), RANDOM.choice(["x", "yy", "zzz"])) for c in range(400) for t in range(RANDOM.randint(0, 12))],
+    [(c, t, "u", f"same{t}") for c in range(150) for t in range(c % 75)],
+]
+#: All of them beside each other: odd turns, deep and bushy prefixes, and prefixes of one another.
+MANY = [(c if c is None else c + 1000 * k, t, role, text) for k, rows in enumerate(CASES) for c, t, role, text in rows]
 
 
-@pytest.mark.parametrize("rebuild", [True, False])
-@pytest.mark.parametrize("case", CASES)
-def test_against_dictionaries(llm, case, rebuild):
-    assert trie(llm, CASES[case], rebuild, small=4) == brute(CASES[case], rebuild)
+@pytest.mark.parametrize(("rows", "rebuild"), [(MANY, True), (MANY, False), ([], True), (ODD[3:4], True), (ODD[4:5], False)])
+def test_against_dictionaries(llm, rows, rebuild):
+    assert trie(llm, rows, rebuild, small=4) == brute(rows, rebuild)
 
 
 def test_long_conversations_and_one_of_thousands(llm, monkeypatch):
@@ -91,7 +92,7 @@ def test_every_split_halves_the_weight(llm, monkeypatch):
         return split(*arguments)
 
     monkeypatch.setattr(prefix_trie, "split", counted)
-    rows = CASES["nested"]
+    rows = CASES[-1]
     assert trie(llm, rows, False, small=1) == brute(rows, False)
     assert 3 <= len(rounds) <= 13
 
@@ -102,9 +103,10 @@ def test_conversations(llm, testdata):
 
 
 def test_running_values_over_blocks(llm):
-    rows = llm.createDataFrame([(k, d, 3 * d + k) for k in (1, None) for d in range(50)], "k long, d long, v long").where("k = 1")
-    got = running(rows, ["k"], "d", {"upto": F.col("v"), "x_all": F.col("v")}, block=7).orderBy("d").collect()
-    total = mixed = 0
+    rows = llm.createDataFrame([(k, d, 3 * d + k) for k in (1, 2) for d in range(50)], "k long, d long, v long")
+    got = running(rows, ["k"], "d", {"upto": F.col("v"), "x_all": F.col("v")}, block=7).orderBy("k", "d").collect()
     for r in got:
+        if r.d == 0:
+            total = mixed = 0
         total, mixed = total + r.v, mixed ^ r.v
         assert (r.upto, r.x_all) == (total, mixed)
