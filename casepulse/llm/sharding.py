@@ -4,7 +4,8 @@ Rows with equal texts form a group, and groups are ordered by their text's hash,
 range of hashes and a row finds its shard by comparing its hash with at most 15 cuts, without a
 join. The cuts give the smallest possible capacity of the largest shard: a binary search over
 capacities, each checked greedily - every shard takes groups until the next would not fit. A group
-that alone makes the capacity has a shard for itself, and the same search goes on before and after it.
+that alone makes the capacity has a shard for itself, and the same search goes on before and after it. Under
+the capacity found, each shard ends as near below an even share of what is left as the rest allows.
 
 The greedy check needs the largest running sum up to a number. The driver holds running sums at
 some groups only, and knows from them that some capacities are enough and others are not. Between
@@ -30,8 +31,6 @@ from casepulse.sources.writers import stage
 STEPS = 512
 #: Bits of the hash that name a range; running sums start anew in each, and its total comes to the driver.
 RANGE_BITS = 12
-#: Shards that take all that fits are even enough if the last is short by one part in so many.
-SLACK = 10
 
 
 class Sums:
@@ -41,6 +40,8 @@ class Sums:
         self.known = sorted(set(known))
         #: (low, high): there may be sums between the two, without them.
         self.open = [(a, z) for a, z in zip(self.known, self.known[1:], strict=False) if z - a > 1]
+        #: Of ``open``, those that an answer of ``floor`` or ``ceil`` depends on.
+        self.doubts: list[tuple[int, int]] = []
 
     def learn(self, low: int, high: int, found: Iterable[tuple[int, int, int]]) -> None:
         """Above ``low`` and up to ``high`` are these: the first, the last and the number of each bucket."""
@@ -59,6 +60,34 @@ class Sums:
         at = bisect_left(self.open, (most, 0)) - 1
         return max(best, min(most, self.open[at][1] - 1)) if hopeful and at >= 0 else best
 
+    def floor(self, most: int) -> int:
+        """The largest known sum up to ``most``; notes whether an unknown one may be larger."""
+        at = bisect_left(self.open, (most, 0)) - 1
+        if at >= 0 and min(most, self.open[at][1] - 1) > (known := self.known[bisect_right(self.known, most) - 1]):
+            self.doubts.append(self.open[at])
+            return known
+        return self.known[bisect_right(self.known, most) - 1]
+
+    def ceil(self, least: int) -> int:
+        """The smallest known sum from ``least`` on; notes whether an unknown one may be smaller."""
+        best = self.known[bisect_left(self.known, least)]
+        at = bisect_left(self.open, (best, 0)) - 1
+        if at >= 0 and max(least, self.open[at][0] + 1) < min(best, self.open[at][1]):
+            self.doubts.append(self.open[at])
+        return best
+
+    def even(self, capacity: int, shards: int, start: int, stop: int) -> list[int]:
+        """Ends of shards of ``capacity`` at most: each takes an even share of what is left, or as much as the rest must leave to it."""
+        least = [stop]
+        for _ in range(shards - 1):
+            least.append(self.ceil(max(start, least[-1] - capacity)))
+        at, out = start, []
+        for left, low in zip(range(shards, 0, -1), reversed(least), strict=True):
+            share = self.floor(at + (stop - at) // left)
+            at = max(low, share if share > at or at == stop else self.ceil(at + 1))
+            out.append(at)
+        return out
+
     def ends(self, capacity: int, shards: int, hopeful: bool, start: int = 0, stop: int | None = None) -> list[int]:
         """Where the shards from ``start`` on end if each takes all that fits, up to ``stop``."""
         at, out, stop = start, [], self.known[-1] if stop is None else stop
@@ -102,22 +131,44 @@ def least_capacity(
         spans = [span for a, z in parts for span in zip(
             sums.ends(low, shards, False, a, z), sums.ends(high, shards, True, a, z), strict=True
         )]
-        spans = [(a, z, max(1, -(-(z - a) // steps))) for a, z in spans if z > a]
-        near = [(F.col("upto") > a) & (F.col("upto") <= z) for a, z, _ in spans]
-        place = F.array(*(
-            F.when(inside, F.floor((F.col("upto") - a - 1) / F.lit(step)))
-            for inside, (a, _, step) in zip(near, spans, strict=True)
-        ))
-        buckets = running.where(reduce(or_, near)).select(
-            "upto", F.posexplode(place).alias("span", "bucket")
-        ).where("bucket is not null").groupBy("span", "bucket").agg(
-            F.min("upto").alias("a"), F.max("upto").alias("z"), F.count(F.lit(1)).alias("n")
-        ).collect()
-        for k, (a, z, _) in enumerate(spans):
-            sums.learn(a, z, ((b.a, b.z, b.n) for b in buckets if b.span == k))
+        ask(running, sums, spans, steps)
         steps *= 4
 
 
+def ask(running: DataFrame, sums: Sums, spans: Iterable[tuple[int, int]], steps: int) -> None:
+    """Learns the running sums above the start and up to the end of each span, ``steps`` buckets to a span at most.
+
+    Spans that overlap become one, so every running sum is in one span and one bucket at most.
+    """
+    apart: list[tuple[int, int]] = []
+    for a, z in sorted(span for span in spans if span[0] < span[1]):
+        if apart and a < apart[-1][1]:
+            apart[-1] = apart[-1][0], max(z, apart[-1][1])
+        else:
+            apart.append((a, z))
+    span, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for k, (a, z) in enumerate(apart):
+        inside = (F.col("upto") > a) & (F.col("upto") <= z)
+        step = max(1, -(-(z - a) // steps))
+        span = F.when(inside, k).otherwise(span)
+        bucket = F.when(inside, F.floor((F.col("upto") - a - 1) / F.lit(step))).otherwise(bucket)
+    buckets = running.select("upto", span.alias("span"), bucket.alias("bucket")).where("span is not null").groupBy(
+        "span", "bucket"
+    ).agg(F.min("upto").alias("a"), F.max("upto").alias("z"), F.count(F.lit(1)).alias("n")).collect()
+    for k, (a, z) in enumerate(apart):
+        sums.learn(a, z, ((b.a, b.z, b.n) for b in buckets if b.span == k))
+
+
+def spread(running: DataFrame, sums: Sums, capacity: int, shards: int, start: int, stop: int) -> list[int]:
+    """The even ends of shards of ``capacity``, from running sums that are certain."""
+    while True:
+        sums.doubts = []
+        ends = sums.even(capacity, shards, start, stop)
+        if not sums.doubts:
+            return ends
+        ask(running, sums, ((a, z - 1) for a, z in sums.doubts), STEPS)
+
+
 def even_ends(running: DataFrame, sums: Sums, shards: int, start: int, stop: int) -> list[int]:
     """The running sums at which the shards from ``start`` to ``stop`` end: the largest is the smallest possible, the rest even.
 
@@ -139,11 +190,7 @@ def even_ends(running: DataFrame, sums: Sums, shards: int, start: int, stop: int
         ]
         left -= 1
     if parts == [(start, stop)]:
-        if (capacity * shards - (stop - start)) * SLACK <= capacity:
-            return sums.ends(capacity, shards, False, start, stop)
-        # Groups are large, so shards that take all that fits would leave the last ones short.
-        first = sums.ends(capacity, 1, False, start, stop)[0]
-        return [first, *(even_ends(running, sums, shards - 1, first, stop) if first < stop else [])]
+        return spread(running, sums, capacity, shards, start, stop)
     given = {(a, z): sums.needed(capacity, left, False, a, z) for a, z in parts}
     while given and sum(given.values()) < left:
         given[max(given, key=lambda part: (part[1] - part[0]) / given[part])] += 1

@@ -92,3 +92,22 @@ def test_a_large_group_leaves_the_other_shards_even(llm, share, at):
 
 def test_few_groups_leave_no_shard_empty(llm):
     assert sorted(shard_sizes(llm, [10] * 50)) == [30] * 14 + [40] * 2
+
+
+def test_asking_for_sums_makes_no_more_rows_than_there_are(llm, monkeypatch):
+    """Every running sum is in one span and one bucket, also where the spans of several shards overlap."""
+    frames, ask = [], sharding.ask
+
+    def watched(running, sums, spans, steps):
+        spans = list(spans)
+        frames.append((running, spans))
+        return ask(running, sums, spans, steps)
+
+    monkeypatch.setattr(sharding, "ask", watched)
+    sizes = [7] * 900 + [3_000] + [5] * 900
+    shard_sizes(llm, sizes)
+    plan = frames[0][0]._jdf.queryExecution().toString()
+    assert frames and "Generate" not in plan
+    learned = sharding.Sums([0, sum(sizes)])
+    ask(llm.createDataFrame([(10,), (20,), (30,)], "upto long"), learned, [(0, 25), (5, 22), (8, 40)], 4)
+    assert learned.known == [0, 10, 20, 30, sum(sizes)]
