@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casepulse.llm.common import join_groups, map_arrow, parts_of, whole
+from casepulse.llm.common import join_groups, map_arrow, parts_of, spare, whole
 from casepulse.llm.components import components
 from casepulse.llm.golay import near_codewords
 from casepulse.sources.writers import stage
@@ -260,5 +260,6 @@ def keep_first(
     stay or go, unless one of them is in another component than its id: it goes with the rest.
     """
     found = simhash_dedup(docs, shingle=shingle, distance=distance, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    name = spare(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

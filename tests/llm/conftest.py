@@ -12,7 +12,7 @@ from casepulse.llm.common import importable
 #: Columns whose names the operators use themselves.
 CLASHING = (
     "n_tokens", "row", "mark", "hash", "lines", "chunks", "spans", "kept", "keep_id", "shard", "size", "fp", "node", "task",
-    "sequence_id", "n_lines", "_text", "_hash", "_salt", "left",
+    "sequence_id", "n_lines", "_text", "_hash", "_salt", "left", "gone", "id", "own", "alone", "first", "again", "copies", "_hot",
 )
 
 
