@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +37,26 @@ def same_weekday_dates(as_of: dt.date, weeks: int) -> list[dt.date]:
     return [as_of - days(7 * k) for k in range(weeks + 1)]
 
 
+def day_ranges(given: Iterable[dt.date]) -> list[tuple[dt.date, dt.date]]:
+    """Days as ranges without gaps, both ends included."""
+    out: list[tuple[dt.date, dt.date]] = []
+    for day in sorted(set(given)):
+        if out and day - out[-1][1] == days(1):
+            out[-1] = out[-1][0], day
+        else:
+            out.append((day, day))
+    return out
+
+
+def on_days(column: str, given: Iterable[dt.date], *, time: bool = False) -> Column:
+    """Whether a date, or a zone-less ``time``, is on one of some days: as ranges, which a scan can use."""
+    def at(day: dt.date) -> Column:
+        return F.lit(day).cast("timestamp_ntz") if time else F.lit(day)
+
+    ranges = ((F.col(column) >= at(a)) & (F.col(column) < at(z + days(1))) for a, z in day_ranges(given))
+    return reduce(or_, ranges, F.lit(False))
+
+
 def words(position: Column, size: int) -> Column:
     """Aggregate: an array of BIGINTs with a bit for each position in 0..size-1 that occurs.
 

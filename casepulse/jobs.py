@@ -3,7 +3,8 @@
     python -m casepulse.jobs daily --inputs IN --out OUT
     python -m casepulse.jobs churn --inputs IN --out OUT --as-of 2024-11-13
 
-``daily`` refreshes the hourly and the daily fact, which the other jobs read. Tables that a job stages
+``daily`` writes the hourly and the daily fact, which the other jobs read; ``refresh`` brings them up to
+date by the days that have changed, and keeps windows and means for the other jobs. Tables that a job stages
 are gone when it ends.
 """
 
@@ -24,17 +25,18 @@ from casepulse.operators import (
     contacts,
     facts,
     outbox,
+    rolling,
     sla,
     survey,
     trend,
     weekday,
 )
+from casepulse.refresh import State, refresh_changed
 from casepulse.schemas import CHURN_TIERS, DAILY_SINCE, SCHEMAS, Tier
 from casepulse.session import get_spark
 from casepulse.sources.readers import conform, read_table
+from casepulse.sources.survey_log import SurveyLog, read_survey_log
 from casepulse.sources.writers import (
-    append_survey,
-    read_survey_log,
     stage,
     staging,
     write_by_day,
@@ -63,6 +65,7 @@ def refresh_daily(spark: SparkSession, inputs: str, out: str, since: dt.date = D
     """Hourly and daily fact of the cases from ``since`` on; earlier days stay as they are.
 
     The raw tables are read once, for the hours; the days are summed from what was stored.
+    ``refresh.refresh_changed`` gives the same facts and reads the changed days only.
     """
     names = (
         "studies", "study_details", "clients", "client_details", "client_settings",
@@ -72,6 +75,7 @@ def refresh_daily(spark: SparkSession, inputs: str, out: str, since: dt.date = D
     write_by_day(facts.hourly_client_cases(*tables, since=since), f"{out}/{HOURLY}", since=since)
     hours = hourly_fact(spark, out).filter(F.col("case_receiving_date") >= F.lit(since))
     write_by_day(facts.daily_from_hours(hours), f"{out}/{DAILY}", since=since)
+    State(spark, out).forget()
 
 
 def hourly_fact(spark: SparkSession, out: str) -> DataFrame:
@@ -112,17 +116,18 @@ def churn(
     Mails go to triggered contacts only, messages to all unless ``only_triggered``.
     """
     as_of = as_of_ts.date()
-    daily = daily_fact(spark, out)
-    write_report(activity.client_activity(daily, as_of=as_of), f"{out}/client_activity")
-
-    churned = stage(
-        spark,
-        activity.churn_tiers(
-            daily, as_of=as_of, tiers=tiers, min_avg_load=min_avg_load, lag_days=LAG_DAYS,
-            window_days=WINDOW_DAYS,
-        ),
-        "churn",
-    )
+    state, window = State(spark, out), {"as_of": as_of, "lag_days": LAG_DAYS, "window_days": WINDOW_DAYS}
+    options = window | {"tiers": tiers, "min_avg_load": min_avg_load}
+    oldest = as_of - days(max(LAG_DAYS + WINDOW_DAYS - 1, *(tier.silent_days for tier in tiers)))
+    if state.done and state.through - days(rolling.RING - 1) <= oldest:
+        ring = state.ring()
+        active = rolling.client_activity(ring, through=state.through, **window)
+        churned = rolling.churn_tiers(ring, through=state.through, **options)
+    else:
+        daily = daily_fact(spark, out)
+        active, churned = activity.client_activity(daily, **window), activity.churn_tiers(daily, **options)
+    write_report(active, f"{out}/client_activity")
+    churned = stage(spark, churned, "churn")
     write_report(churned, f"{out}/churn_clients")
 
     clients = read_table(spark, inputs, "clients")
@@ -146,21 +151,16 @@ def churn(
     reachable = stage(spark, contacts.reachable_contacts(churned, directory, modality), "reachable")
     write_report(reachable, f"{out}/reachable_contacts")
 
-    log_path = f"{out}/client_survey"
-    recent = read_survey_log(spark, log_path, since=as_of - days(survey.COOLDOWN_DAYS))
     order = [tier.churn_category for tier in tiers]
-    entries = stage(
-        spark,
-        survey.survey_entries(
+
+    def decide(recent: DataFrame) -> DataFrame:
+        return survey.survey_entries(
             reachable, recent, as_of_ts=as_of_ts, tier_order=order, dedup_keys=dedup_keys,
             cooldown_on=cooldown_on,
-        ),
-        "entries",
-    )
-    numbered = survey.with_created_id(
-        entries, read_survey_log(spark, log_path), as_of_ts=as_of_ts
-    )
-    created = append_survey(spark, numbered, log_path, as_of_ts=as_of_ts)
+        )
+
+    log = SurveyLog(spark, f"{out}/client_survey")
+    created = log.append(decide, as_of_ts=as_of_ts, reach=days(survey.COOLDOWN_DAYS))
     write_report(created.select(*survey.CREATED_COLUMNS), f"{out}/created_entries")
 
     merged = survey.survey_merged(created, reachable)
@@ -209,9 +209,12 @@ def weekdays(
         weekday.same_weekday_hourly(recent, as_of=as_of), f"{out}/same_weekday_hourly",
         sort_by=["client_id", "hour"],
     )
-    write_report(
-        weekday.weekday_interval_baseline(facts.timed_cases(hours)), f"{out}/weekday_interval_baseline"
+    state = State(spark, out)
+    baseline = (
+        weekday.baseline_of(state.totals()) if state.done
+        else weekday.weekday_interval_baseline(facts.timed_cases(hours))
     )
+    write_report(baseline, f"{out}/weekday_interval_baseline")
 
 
 @job
@@ -237,6 +240,11 @@ def comparisons(
     )
 
 
+def compact_log(spark: SparkSession, out: str) -> None:
+    """Stores the last entry of each contact, so that later runs need not read the whole survey log."""
+    SurveyLog(spark, f"{out}/client_survey").compact()
+
+
 def deliveries(spark: SparkSession, log_path: str, out: str) -> None:
     """Status and result code of each answer in a delivery log."""
     write_report(outbox.delivery_status(spark.read.parquet(log_path)), f"{out}/delivery_status")
@@ -244,7 +252,7 @@ def deliveries(spark: SparkSession, log_path: str, out: str) -> None:
 
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="casepulse.jobs")
-    parser.add_argument("job", choices=("daily", "churn", "silent", "weekdays", "trends", "comparisons"))
+    parser.add_argument("job", choices=("daily", "refresh", "churn", "silent", "weekdays", "trends", "comparisons", "compact"))
     parser.add_argument("--inputs", help="folder of the input tables")
     parser.add_argument("--out", required=True, help="folder of the results")
     parser.add_argument("--as-of", type=dt.datetime.fromisoformat, help="day or time the report is for")
@@ -261,14 +269,18 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--whole-weeks", action="store_true")
     parser.add_argument("--cohort-key", choices=("client_name", "client_id"), default="client_name")
     given = parser.parse_args(arguments)
-    if given.job != "daily" and given.as_of is None:
+    if given.job not in ("daily", "refresh", "compact") and given.as_of is None:
         parser.error("--as-of is required")
-    if given.job in ("daily", "churn", "silent") and given.inputs is None:
+    if given.job in ("daily", "refresh", "churn", "silent") and given.inputs is None:
         parser.error("--inputs is required")
 
     spark = get_spark()
     if given.job == "daily":
         refresh_daily(spark, given.inputs, given.out, given.since)
+    elif given.job == "refresh":
+        refresh_changed(spark, given.inputs, given.out, given.since)
+    elif given.job == "compact":
+        compact_log(spark, given.out)
     elif given.job == "churn":
         churn(
             spark, given.inputs, given.out, given.as_of, template_id=given.template_id,

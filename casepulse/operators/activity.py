@@ -47,7 +47,7 @@ def client_activity(
     )
 
 
-def _check_disjoint(tiers: Sequence[Tier]) -> None:
+def check_disjoint(tiers: Sequence[Tier]) -> None:
     ordered = sorted(tiers)
     for lower, upper in zip(ordered, ordered[1:]):
         if upper.min_days <= lower.max_days:
@@ -70,7 +70,7 @@ def churn_tiers(
     days means that the last day seen lies before as_of - k, so one aggregate per client
     answers all tiers at once.
     """
-    _check_disjoint(tiers)
+    check_disjoint(tiers)
     end = as_of - days(lag_days)
     start = end - days(window_days - 1)
     yesterday = as_of - days(1)
@@ -83,6 +83,11 @@ def churn_tiers(
         .agg(*_activity(start, end), F.max(F.when(recent, F.col(DATE))).alias("last_seen"))
         .filter(F.col("avg_case_load") > min_avg_load)
     )
+    return in_tiers(facts, as_of=as_of, tiers=tiers)
+
+
+def in_tiers(facts: DataFrame, *, as_of: dt.date, tiers: Sequence[Tier]) -> DataFrame:
+    """The clients of ``facts`` (client_fk, active_days, avg_case_load, last_seen) that are in a tier."""
     active_type = category = F.lit(None).cast("string")
     for tier in tiers:
         silent = F.col("last_seen").isNull() | (

@@ -97,22 +97,24 @@ def _eligible_clients(
     )
 
 
-def _client_cases(
+REAL_MEASURES = tuple(f"real_{name}" for name in MEASURES)
+
+
+def client_case_counts(
     studies: DataFrame,
     study_details: DataFrame,
-    clients: DataFrame,
-    client_details: DataFrame,
-    client_settings: DataFrame,
     tat: DataFrame,
     *,
     since: dt.date = DAILY_SINCE,
-    exclude: Sequence[int] | DataFrame | None = DAILY_EXCLUDED,
     sla: Mapping[str, float] = DAILY_SLA,
     missing_tat: str = "zero",
     unescape: str = "double",
     by_hour: bool = False,
 ) -> DataFrame:
-    """The cases of both facts, summed per client, day and, ``by_hour``, hour."""
+    """The cases of both facts before they meet the clients, summed per client, day and, ``by_hour``, hour.
+
+    Partners do not count the placeholder study 0, so the sums without it (real_) come as well.
+    """
     times = ["case_receiving_date", "hour"] if by_hour else ["case_receiving_date"]
     cases = (
         studies.filter(F.col("status") == "COMPLETED")
@@ -159,19 +161,29 @@ def _client_cases(
         "Within_TAT": pick_by_modality({m: F.col(f"within_{limits.index(v)}") for m, v in sla.items()}),
         "tat_breach": pick_by_modality({m: F.col(f"breach_{limits.index(v)}") for m, v in sla.items()}),
     }
-    # Partners do not count the placeholder study 0, so both sums travel to the client join.
     real = F.col("study_id") != 0
     sums = [F.sum(value).alias(name) for name, value in measures.items()]
     real_sums = [
         F.coalesce(F.sum(F.when(real, value)), F.lit(0)).alias(f"real_{name}")
         for name, value in measures.items()
     ]
-    client_days = timed.groupBy("client_fk", *times).agg(*sums, *real_sums)
+    return timed.groupBy("client_fk", *times).agg(*sums, *real_sums)
 
+
+def with_clients(
+    counts: DataFrame,
+    clients: DataFrame,
+    client_details: DataFrame,
+    client_settings: DataFrame,
+    *,
+    exclude: Sequence[int] | DataFrame | None = DAILY_EXCLUDED,
+) -> DataFrame:
+    """The counts of billable clients with the attributes of the fact."""
+    times = [name for name in ("case_receiving_date", "hour") if name in counts.columns]
     dims = _eligible_clients(clients, client_details, client_settings, exclude)
     partner = F.col("oms_partner") == 1
     return (
-        client_days.join(dims, "client_fk")
+        counts.join(dims, "client_fk")
         .filter((F.col("oms_partner") == 0) | (partner & (F.col("real_total_case") > 0)))
         .select(
             "client_fk",
@@ -181,12 +193,27 @@ def _client_cases(
             "client_source",
             *[
                 F.when(partner, F.col(f"real_{name}")).otherwise(F.col(name)).alias(name)
-                for name in measures
+                for name in MEASURES
             ],
         )
     )
 
 
+def _client_cases(
+    studies: DataFrame,
+    study_details: DataFrame,
+    clients: DataFrame,
+    client_details: DataFrame,
+    client_settings: DataFrame,
+    tat: DataFrame,
+    *,
+    exclude: Sequence[int] | DataFrame | None = DAILY_EXCLUDED,
+    **options,
+) -> DataFrame:
+    counts = client_case_counts(studies, study_details, tat, **options)
+    return with_clients(counts, clients, client_details, client_settings, exclude=exclude)
+
+
 def daily_client_cases(*tables: DataFrame, **options) -> DataFrame:
     """Completed, non-demo cases per client, onboarding day, case day and client source.
 

@@ -112,7 +112,7 @@ def _held(survey_log: DataFrame, as_of_ts: dt.datetime) -> DataFrame:
 
 
 def with_created_id(
-    entries: DataFrame, survey_log: DataFrame, *, as_of_ts: dt.datetime
+    entries: DataFrame, survey_log: DataFrame, *, as_of_ts: dt.datetime, last_id: int | None = None
 ) -> DataFrame:
     """Entries with their ids: that of the log if it holds the entry, else the next ones after it.
 
@@ -135,9 +135,9 @@ def with_created_id(
         .agg(F.count(F.lit(1)).alias("__size"))
         .select("__block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     )
-    last_id = F.coalesce(survey_log.agg(F.max("id")).scalar(), F.lit(0))
+    known_id = F.lit(last_id).cast("long") if last_id is not None else survey_log.agg(F.max("id")).scalar()
     new = numbered.join(F.broadcast(starts), "__block").select(
-        (last_id + F.col("__start") + F.col("__row")).alias("created_id"), *entries.columns
+        (F.coalesce(known_id, F.lit(0)) + F.col("__start") + F.col("__row")).alias("created_id"), *entries.columns
     )
     return held.unionByName(new)
 

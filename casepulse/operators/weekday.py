@@ -109,10 +109,10 @@ def same_weekday_hourly(
     return hourly.withColumn("case_diff_pct", pct)
 
 
-def weekday_interval_baseline(cases: DataFrame, *, hours: int = 4) -> DataFrame:
-    """Mean cases per client, weekday and time interval, over the days that have any.
+def interval_totals(cases: DataFrame, *, hours: int = 4) -> DataFrame:
+    """Cases and number of days with any, per client, weekday and time interval.
 
-    Rows group by numbers; the labels are made once per result row.
+    Both are sums over days, so totals of different days add up and a day can be taken back.
     """
     day = F.to_date(TS)
     bucket = F.floor(F.hour(TS) / F.lit(hours)).cast("int")
@@ -121,12 +121,30 @@ def weekday_interval_baseline(cases: DataFrame, *, hours: int = 4) -> DataFrame:
         .groupBy("client_id", day.alias("day"), bucket.alias("bucket"))
         .agg(total("total_case").alias("cases"))
     )
-    means = per_day.groupBy("client_id", F.weekday("day").alias("weekday"), "bucket").agg(
-        F.avg("cases").alias("average_cases")
+    return per_day.groupBy("client_id", F.weekday("day").alias("weekday"), "bucket").agg(
+        F.sum("cases").alias("cases"), F.count(F.lit(1)).alias("days")
     )
-    return means.select(
+
+
+def replaced_totals(totals: DataFrame, old: DataFrame, new: DataFrame, *, hours: int = 4) -> DataFrame:
+    """Totals after the cases ``old`` of some whole days became ``new``; both hold all cases of those days."""
+    taken = interval_totals(old, hours=hours).withColumns({name: -F.col(name) for name in ("cases", "days")})
+    parts = totals.unionByName(taken).unionByName(interval_totals(new, hours=hours))
+    return parts.groupBy("client_id", "weekday", "bucket").agg(
+        F.sum("cases").alias("cases"), F.sum("days").alias("days")
+    ).filter("days > 0")
+
+
+def baseline_of(totals: DataFrame, *, hours: int = 4) -> DataFrame:
+    """Mean cases per client, weekday and time interval; rows group by numbers, labels are made once per row."""
+    return totals.select(
         "client_id",
         weekday_label(F.col("weekday")).alias("Day of Week"),
         interval_label(F.col("bucket"), hours).alias("time_interval"),
-        "average_cases",
+        (F.col("cases") / F.col("days")).alias("average_cases"),
     )
+
+
+def weekday_interval_baseline(cases: DataFrame, *, hours: int = 4) -> DataFrame:
+    """Mean cases per client, weekday and time interval, over the days that have any."""
+    return baseline_of(interval_totals(cases, hours=hours), hours=hours)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from casepulse.operators import (
     facts,
     keyed,
     outbox,
+    rolling,
     sla,
     survey,
     trend,
@@ -23,7 +25,10 @@ from casepulse.operators import (
 )
 from casepulse.plans import bindings as b
 from casepulse.plans.bindings import Tables
+from casepulse.refresh import refresh_changed
+from casepulse.schemas import SCHEMAS
 from casepulse.session import shared_folder
+from casepulse.sources.survey_log import SurveyLog
 from casepulse.sources.writers import stage, write_report
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -83,6 +88,27 @@ def daily_from_hours(t: Tables) -> DataFrame:
     return facts.by_client_id(facts.daily_from_hours(hourly_client_cases(t)))
 
 
+@query
+def daily_client_cases_refreshed(t: Tables) -> DataFrame:
+    """The daily fact after a refresh of what has changed since an earlier state of the tables."""
+    folder = f"{shared_folder(t.spark)}/refresh-{uuid.uuid4().hex}"
+    names = ("studies", "study_details", "clients", "client_details", "client_settings", "client_tat_metrics")
+    now = dict(zip(names, _case_tables(t), strict=True))
+    late = F.col("id") % 37 == 0
+    before = now | {
+        # Some studies were open and some not there; some details and times came later; a client had another name.
+        "studies": now["studies"].filter("id % 41 <> 0").withColumn("status", F.when(late, "OPEN").otherwise(F.col("status"))),
+        "study_details": now["study_details"].filter("study_fk % 43 <> 0"),
+        "client_tat_metrics": now["client_tat_metrics"].filter("study_id % 47 <> 0"),
+        "clients": now["clients"].withColumn("client_name", F.when(F.col("id") % 10 == 1, "before").otherwise(F.col("client_name"))),
+    }
+    for state, tables in (("before", before), ("now", now)):
+        for name, table in tables.items():
+            table.write.parquet(f"{folder}/{state}/{name}.parquet")
+        refresh_changed(t.spark, f"{folder}/{state}", f"{folder}/out", since=b.DAILY_FROM)
+    return t.spark.read.schema(SCHEMAS["daily_client_cases"]).parquet(f"{folder}/out/daily_client_cases")
+
+
 @query
 def daily_client_cases_excluding(t: Tables) -> DataFrame:
     """Excluded clients come from a table, and studies without a time are left out of the target counts."""
@@ -167,6 +193,30 @@ def churn_tiers(t: Tables) -> DataFrame:
     return _churn(t)
 
 
+def _ring(t: Tables) -> tuple[DataFrame, dt.date]:
+    """Rings of two days ago, in which one day was other than it is now, moved on by a day and that day taken back."""
+    daily, earlier, through = b.sparse_daily(t), b.CHURN_AS_OF - dates.days(9), b.CHURN_AS_OF - dates.days(2)
+    other = F.when(F.col("case_receiving_date") == F.lit(earlier), F.col("total_case") * 5).otherwise(F.col("total_case"))
+    before = daily.withColumn("total_case", other).filter(
+        (F.col("case_receiving_date") <= F.lit(through)) & ((F.col("case_receiving_date") != F.lit(earlier)) | (F.col("client_fk") % 3 == 0))
+    )
+    state = stage(t.spark, rolling.window_state(before, through=through), "ring")
+    now = through + dates.days(1)
+    return rolling.advanced(state, daily, through=through, to=now, replaced=[earlier]), now
+
+
+@query
+def churn_tiers_rolling(t: Tables) -> DataFrame:
+    ring, through = _ring(t)
+    return rolling.churn_tiers(ring, through=through, as_of=b.CHURN_AS_OF, tiers=b.SAMPLE_TIERS, min_avg_load=1)
+
+
+@query
+def client_activity_rolling(t: Tables) -> DataFrame:
+    ring, through = _ring(t)
+    return rolling.client_activity(ring, through=through, as_of=b.CHURN_AS_OF)
+
+
 @query
 def client_activity_long(t: Tables) -> DataFrame:
     """Active days in a window of 400 days."""
@@ -265,6 +315,19 @@ def weekday_interval_baseline(t: Tables) -> DataFrame:
     return weekday.weekday_interval_baseline(b.timed_cases(t))
 
 
+@query
+def weekday_interval_baseline_running(t: Tables) -> DataFrame:
+    """From running totals: of all days but the last, with one day as it was before; those two days are read anew."""
+    cases, day = b.timed_cases(t), F.to_date("case_receiving_date")
+    replaced, last = b.CHURN_AS_OF - dates.days(5), b.EVENTS_LAST_DAY
+    was = cases.filter(day < F.lit(last)).withColumn(
+        "total_case", F.when(day == F.lit(replaced), 3 * F.col("total_case")).otherwise(F.col("total_case"))
+    )
+    totals = stage(t.spark, weekday.interval_totals(was), "totals")
+    new = cases.filter((day == F.lit(replaced)) | (day >= F.lit(last)))
+    return weekday.baseline_of(weekday.replaced_totals(totals, was.filter(day == F.lit(replaced)), new))
+
+
 @query
 def daily_cases(t: Tables) -> DataFrame:
     return comparison.daily_cases(b.dense_daily(t, "client_id"), as_of=b.EVENTS_LAST_DAY)
@@ -436,6 +499,44 @@ def survey_rerun(t: Tables) -> DataFrame:
     )
 
 
+@query
+def survey_two_runs(t: Tables) -> DataFrame:
+    """Two runs that append at once: the one that began first loses its number and decides again."""
+    log, reachable = SurveyLog(t.spark, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}"), stage(t.spark, reachable_contacts(t), "reachable")
+    log.adopt(b.customer_survey_log(t))
+    last_id, early = log.head()["last_id"], b.CHURN_AS_OF_TS - dt.timedelta(hours=1)
+
+    def append(as_of_ts: dt.datetime, meanwhile: list[dt.datetime]) -> None:
+        def decide(recent: DataFrame) -> DataFrame:
+            entries = stage(t.spark, survey.survey_entries(
+                reachable, recent, as_of_ts=as_of_ts, tier_order=[tier.churn_category for tier in b.SAMPLE_TIERS]
+            ), "decided")
+            while meanwhile:
+                append(meanwhile.pop(), [])
+            return entries
+
+        log.append(decide, as_of_ts=as_of_ts, reach=dates.days(survey.COOLDOWN_DAYS))
+
+    append(b.CHURN_AS_OF_TS, [early])
+    return log.read(since=b.CHURN_AS_OF).select(
+        "client_fk", "contact_fk", "trigger", "created_at",
+        F.count(F.lit(1)).over(Window.partitionBy("id")).alias("uses_of_id"),
+        (F.col("id") <= F.lit(log.head()["last_id"])).alias("known"),
+        (F.col("id") > F.lit(last_id)).alias("after_log"),
+    )
+
+
+@query
+def last_survey_entries_snapshot(t: Tables) -> DataFrame:
+    """From a snapshot of older entries and the entries since."""
+    log, entries = SurveyLog(t.spark, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}"), b.customer_survey_log(t)
+    recent = F.col("created_at") >= F.lit(b.CHURN_AS_OF - dates.days(5))
+    log.adopt(entries.filter(~recent))
+    log.compact()
+    log.adopt(entries.filter(recent))
+    return log.last_entries()
+
+
 @query
 def last_survey_entries(t: Tables) -> DataFrame:
     return survey.last_entries(b.customer_survey_log(t))

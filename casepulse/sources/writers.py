@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -27,11 +27,13 @@ def write_report(
     df.write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
 
-def write_by_day(fact: DataFrame, path: str, *, since: dt.date | None = None) -> None:
+def write_by_day(
+    fact: DataFrame, path: str, *, since: dt.date | None = None, days: Iterable[dt.date] | None = None
+) -> None:
     """A fact, one folder per case day; days of the input replace what is stored of them.
 
     With ``since`` the input is all there is from then on: a stored day from ``since`` that is not
-    in it lost its last case, and its folder goes. The rebalance gives each day few files and
+    in it lost its last case, and its folder goes; with ``days`` so for each of these. The rebalance gives each day few files and
     splits a day that is too large for one. The input is staged, as its days are read as well.
     """
     day, spark = "case_receiving_date", fact.sparkSession
@@ -44,6 +46,10 @@ def write_by_day(fact: DataFrame, path: str, *, since: dt.date | None = None) ->
         gone = stored.select(day).distinct().join(staged.select(day).distinct(), day, "left_anti")
         for row in gone.collect():  # days, not rows of the fact
             remove_folder(spark, f"{path}/{day}={row[0].isoformat()}")
+    if days is not None:
+        left = {row[0] for row in staged.select(day).distinct().collect()}
+        for gone in set(days) - left:
+            remove_folder(spark, f"{path}/{day}={gone.isoformat()}")
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
