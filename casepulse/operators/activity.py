@@ -124,16 +124,19 @@ def silent_clients(daily: DataFrame, *, as_of: dt.date, window_days: int = 30) -
     )
 
 
-def silent_directory(silent: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Silent clients with their contacts, phones as stored; clients without contacts stay."""
+def silent_directory(silent: DataFrame, contacts: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Silent clients with their contacts, phones as stored; clients without contacts stay.
+
+    ``sizes`` (column client_fk) may tell the clients with many contacts in place of the directory.
+    """
     people = only_keys(
         contacts.select("client_fk", "contact_fk", "unique_id", "phone_number"), silent, "client_fk"
     )
-    listed = left_join_hot(silent, people, ["client_fk"], ["contact_fk"])
+    listed = left_join_hot(silent, people, ["client_fk"], ["contact_fk"], sizes=sizes)
     return _silent_columns(listed)
 
 
-def silent_contacts(silent: DataFrame, contacts: DataFrame) -> DataFrame:
+def silent_contacts(silent: DataFrame, contacts: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Contacts of silent clients that have a phone, cleaned.
 
     Only rows with a phone remain, so an inner join suffices. An empty phone is kept.
@@ -141,7 +144,7 @@ def silent_contacts(silent: DataFrame, contacts: DataFrame) -> DataFrame:
     people = contacts.select("client_fk", "contact_fk", "unique_id", "phone_number").filter(
         F.col("phone_number").isNotNull()
     )
-    listed = join_hot(silent, people, ["client_fk"], ["contact_fk"])
+    listed = join_hot(silent, people, ["client_fk"], ["contact_fk"], sizes=sizes)
     return _silent_columns(
         listed.withColumn("phone_number", text.clean_phone(F.col("phone_number")))
     )

@@ -53,7 +53,7 @@ def contact_directory(
         text.strip_list_marks(F.col("designation")).alias("designation"),
         "persona_type",
     ).distinct()
-    listed = join_hot(named, people, ["client_fk"], ["contact_fk"])
+    listed = join_hot(named, people, ["client_fk"], ["contact_fk"], sizes=contacts)
     no_contact = F.lit(0).cast("long")
     empty = {name: F.lit("") for name in ("phone_number", "email", "designation", "persona_type")}
     lonely = named.join(
@@ -95,18 +95,23 @@ def _report_columns(listed: DataFrame) -> DataFrame:
     )
 
 
-def churn_contacts(churn: DataFrame, contacts: DataFrame, modality: DataFrame) -> DataFrame:
+def churn_contacts(
+    churn: DataFrame, contacts: DataFrame, modality: DataFrame, sizes: DataFrame | None = None
+) -> DataFrame:
     """Churned clients with each of their contacts and their recent modality counts.
 
-    Clients that the directory does not hold stay, without a contact.
+    Clients that the directory does not hold stay, without a contact. ``sizes`` (column client_fk) may
+    tell the clients with many contacts in place of the directory.
     """
     people = contacts.drop("designation", "persona_type")
     return _report_columns(
-        left_join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"])
+        left_join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"], sizes=sizes)
     )
 
 
-def reachable_contacts(churn: DataFrame, contacts: DataFrame, modality: DataFrame) -> DataFrame:
+def reachable_contacts(
+    churn: DataFrame, contacts: DataFrame, modality: DataFrame, sizes: DataFrame | None = None
+) -> DataFrame:
     """The contacts above that have a phone or an e-mail.
 
     A client without any contact cannot be reached, so this needs no outer join and the
@@ -116,5 +121,5 @@ def reachable_contacts(churn: DataFrame, contacts: DataFrame, modality: DataFram
         text.has_text(text.null_na(F.col("phone_number"))) | text.has_text(F.col("email"))
     )
     return _report_columns(
-        join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"])
+        join_hot(_with_modality(churn, modality), people, ["client_fk"], ["contact_fk"], sizes=sizes)
     )

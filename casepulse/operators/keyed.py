@@ -9,7 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MATCHED, SALT = "__matched", "__salt"
+MATCHED, SALT, KEY, HOT = "__matched", "__salt", "__key", "__hot"
+
+# Keys that a join spreads at most, each with more than one row in so many, and keys that the sketch follows.
+HOT_KEYS, TRACKED = 1024, 16_384
 
 
 def left_join_defaults(
@@ -27,25 +30,53 @@ def left_join_defaults(
     return joined.withColumns(filled).drop(MATCHED)
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
+    """Hashes (``__key``) of the keys that hold more than one row in ``parts``, or in HOT_KEYS if those are fewer.
+
+    At most HOT_KEYS of them, from one aggregate with a sketch of frequent items, which combines on the map side. A key
+    that is named by mistake does no harm; one with such a share is always named.
+    """
+    share = min(parts, HOT_KEYS)
+    top = df.select(F.xxhash64(*on).alias(KEY)).agg(
+        F.expr(f"approx_top_k({KEY}, {HOT_KEYS}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")
+    )
+    return top.select("rows", F.inline("top")).filter(F.col("count") * share > F.col("rows")).select(
+        F.col("item").alias(KEY)
+    )
+
+
+def _marked(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    return df.withColumn(KEY, F.xxhash64(*on)).join(F.broadcast(hot.withColumn(HOT, F.lit(True))), KEY, "left")
+
+
+def copied_hot(left: DataFrame, on: Sequence[str], hot: DataFrame, parts: int) -> DataFrame:
+    """Rows of hot keys once for each salt, others once."""
+    salts = F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return _marked(left, on, hot).withColumn(SALT, F.explode(salts)).drop(KEY, HOT)
+
+
 def join_hot(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-    parts: int | None = None,
+    parts: int | None = None, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join for a right side in which one key may hold a large share of the rows.
 
-    Right rows are spread over ``parts`` parts of their key by other columns, left rows repeated
-    for each part. Meant for a left side with few rows per key. Without a number of parts there
-    are as many as shuffle partitions, so that a hot key fills all tasks of a cluster.
+    Right rows of hot keys are spread over ``parts`` parts by other columns, and only left rows of
+    those keys are repeated for each part. Without a number of parts there are as many as shuffle
+    partitions, so that a hot key fills all tasks of a cluster. What is hot is counted on the right side, or on
+    ``sizes``, a table with about as many rows per key that is cheaper to read once more.
     """
     parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    repeated = left.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    spread = right.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int"))
-    return repeated.join(spread, [*on, SALT]).drop(SALT)
+    hot = hot_keys(right if sizes is None else sizes, on, parts)
+    spread = _marked(right, on, hot).withColumn(
+        SALT, F.when(F.col(HOT), F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")).otherwise(0)
+    ).drop(KEY, HOT)
+    return copied_hot(left, on, hot, parts).join(spread, [*on, SALT]).drop(SALT)
 
 
 def left_join_hot(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-    parts: int | None = None,
+    parts: int | None = None, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Left join for a right side in which one key may hold a large share of the rows.
 
@@ -53,7 +84,7 @@ def left_join_hot(
     against the distinct keys; an outer join could not split its right side.
     """
     keys = list(on)
-    matched = join_hot(left, right, keys, spread_by, parts)
+    matched = join_hot(left, right, keys, spread_by, parts, sizes)
     unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 

@@ -21,6 +21,7 @@ TREND_AS_OF = dt.date(2001, 7, 31)
 SLA_AS_OF = dt.date(2001, 8, 1)
 DAILY_FROM = dt.date(2024, 1, 5)
 LONG_WINDOW, QUARTER, MANY_WEEKS, FEW_DAYS = 400, 90, 80, 10
+SPLIT_PARTS, SPLIT_BUCKETS = 6, 50
 OTHER_SLA = {"XRAY": 30, "MRI": 90}
 SAMPLE_TIERS = (
     Tier(12, 30, 1, "Tier 1"),

@@ -28,6 +28,7 @@ from casepulse.plans.bindings import Tables
 from casepulse.refresh import refresh_changed
 from casepulse.schemas import SCHEMAS
 from casepulse.session import shared_folder
+from casepulse.sources import splits
 from casepulse.sources.survey_log import SurveyLog
 from casepulse.sources.writers import stage, write_report
 
@@ -62,6 +63,15 @@ def _case_tables(t: Tables) -> list[DataFrame]:
     ]
 
 
+@query
+def balanced_splits(t: Tables) -> DataFrame:
+    """Rows of each part of a split read of the orders by client, some of which have none."""
+    orders = t.read("orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("key"))
+    found = splits.split_predicates(orders, "key", b.SPLIT_PARTS, buckets=b.SPLIT_BUCKETS)
+    part = F.coalesce(*(F.when(F.expr(condition), k) for k, condition in enumerate(found)))
+    return orders.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("orders"), F.min("key").alias("first_key"))
+
+
 @query
 def csv_report(t: Tables) -> DataFrame:
     """Client days through a sorted CSV report and back."""
@@ -243,13 +253,13 @@ def _directory(t: Tables, only: DataFrame | None = None) -> DataFrame:
 @query
 def silent_directory(t: Tables) -> DataFrame:
     silent = silent_clients(t)
-    return activity.silent_directory(silent, _directory(t, silent))
+    return activity.silent_directory(silent, _directory(t, silent), b.customer_contacts(t))
 
 
 @query
 def silent_contacts(t: Tables) -> DataFrame:
     silent = silent_clients(t)
-    return activity.silent_contacts(silent, _directory(t, silent))
+    return activity.silent_contacts(silent, _directory(t, silent), b.customer_contacts(t))
 
 
 @query
@@ -431,7 +441,7 @@ def _recent_modality(t: Tables, churn: DataFrame) -> DataFrame:
 @query
 def churn_contacts(t: Tables) -> DataFrame:
     churn = _staged_churn(t)
-    return contacts.churn_contacts(churn, _directory(t, churn), _recent_modality(t, churn))
+    return contacts.churn_contacts(churn, _directory(t, churn), _recent_modality(t, churn), b.customer_contacts(t))
 
 
 @query
@@ -443,7 +453,7 @@ def churn_contacts_plain(t: Tables) -> DataFrame:
 @query
 def reachable_contacts(t: Tables) -> DataFrame:
     churn = _staged_churn(t)
-    return contacts.reachable_contacts(churn, _directory(t, churn), _recent_modality(t, churn))
+    return contacts.reachable_contacts(churn, _directory(t, churn), _recent_modality(t, churn), b.customer_contacts(t))
 
 
 def _entries(t: Tables, reachable: DataFrame) -> DataFrame:

@@ -35,6 +35,23 @@ def test_hot_left_join_equals_a_left_join(spark):
         assert rows_of(got, "k", "a", "b") == rows_of(left.join(right, "k"), "k", "a", "b")
 
 
+def test_only_hot_keys_are_copied(spark):
+    """A client with a third of the contacts is copied for each part; thousands of others are not."""
+    left = spark.range(3000).withColumnRenamed("id", "k")
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2999)
+    right = spark.range(30_000).select(key.alias("k"), F.col("id").alias("b"))
+    hot = keyed.hot_keys(right, ["k"], 200)
+    assert rows_of(hot) == rows_of(spark.range(7, 8).select(F.xxhash64("id")))
+    assert keyed.copied_hot(left, ["k"], hot, 200).count() == 2999 + 200
+    joined = keyed.join_hot(left, right, ["k"], ["b"], 200)
+    assert joined.count() == 30_000 and joined.columns == ["k", "b"]
+    assert keyed.hot_keys(right.limit(0), ["k"], 200).count() == 0
+    # Without a hot key nothing is copied; keys of several columns, also NULL ones, are counted as one.
+    assert keyed.hot_keys(spark.range(30_000), ["id"], 200).count() == 0
+    pairs = right.withColumn("none", F.lit(None).cast("string"))
+    assert keyed.hot_keys(pairs, ["k", "none"], 200).count() == 1
+
+
 def test_only_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k long, v string")
     wanted = spark.createDataFrame([(2,), (2,), (3,), (None,)], "id long")
