@@ -12,6 +12,7 @@ from casepulse.llm import line_dedup, packing, pii, quality_rules, simhash_dedup
 from casepulse.llm.common import table
 from casepulse.llm.queries import CAPACITY, END_ID
 from casepulse.session import shared_folder
+from casepulse.sources.writers import remove_folder, staging
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of ``documents``; each stage's result is stored before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed sequences of ``documents``; each stage's result is stored before the next one reads it.
+
+    Only the last one's stays: earlier results, and what the operators stage, go as soon as they have been read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    with staging(spark):
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove_folder(spark, before)
+            before = f"{folder}/{name}"
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 
@@ -151,7 +152,12 @@ def test_pipeline_stage_by_stage(llm, testdata, small, byte_bpe, encode):
     assert all(plain[i] == t for i, t in left.items() if not brute_spans(t)) and BASE
     sequences, _ = step_packed(stages, llm, clean, testdata)
     assert_packed(sequences, plain, byte_bpe, encode)
+    shared = llm.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(shared))
     whole = corpus_pipeline.run(llm, testdata)
+    # Of all that the stages wrote, only the result stays.
+    (made,) = set(os.listdir(shared)) - there
+    assert os.listdir(f"{shared}/{made}") == ["packing"]
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in sequences}
 
 
