@@ -6,7 +6,7 @@ All of it is DataFrame expressions and aggregates; only counts by feature and bi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from math import log2
 
@@ -18,8 +18,8 @@ from casepulse.sources.writers import stage
 
 #: The base rules.
 SYMBOLS, MIN_WORDS, MAX_REPEATED = "#*$%&|<>", 50, 50
-#: Candidate thresholds per feature, conditions per rule, rules per list.
-BINS, CONDITIONS, RULES = 32, 3, 8
+#: Candidate thresholds per feature, conditions per rule.
+BINS, CONDITIONS = 32, 3
 #: Share of rejected rows that must be bad, on rows that did not grow the rule, and the least bad rows.
 PRECISION, SUPPORT = 0.95, 5
 #: What the learner may test, from the statistics below.
@@ -147,9 +147,13 @@ def _bin(value: Column, thresholds: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= value))
 
 
-def _grow(rows: DataFrame, bins: dict[str, list[float]], rule: Rule) -> Condition | None:
+def _grow(
+    rows: DataFrame, bins: dict[str, list[float]], rule: Rule, without: Collection[tuple[str, bool]] = ()
+) -> Condition | None:
     """The condition with the highest information gain over the rows that the rule covers.
 
+    ``without`` names features, each with a side, that are not tested.
+
     One aggregate: good and bad rows by feature and bin, at most 2 * BINS + 3 rows for each feature.
     """
     features = [f for f in bins if bins[f]]
@@ -173,6 +177,8 @@ def _grow(rows: DataFrame, bins: dict[str, list[float]], rule: Rule) -> Conditio
             above = [counts[f][b] for b in counts[f] if b > k]
             bad, good = (sum(c[n] for c in above) for n in (0, 1))
             for at_least, b, g in ((True, bad, good), (False, all_bad - bad, all_good - good)):
+                if (f, at_least) in without:
+                    continue
                 gain = b * (log2(b / (b + g)) - before) if b else 0.0
                 if gain > best_gain + 1e-9:
                     best, best_gain = Condition(f, at_least, float(threshold)), gain
@@ -194,14 +200,16 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
 
 def learn_rules(
     statistics: DataFrame, labels: DataFrame, *, features: Sequence[str] = FEATURES, id_col: str = "doc_id",
-    label_col: str = "quality", rules: int = RULES, conditions: int = CONDITIONS,
+    label_col: str = "quality", conditions: int = CONDITIONS,
     precision: float = PRECISION, support: int = SUPPORT,
 ) -> list[Rule]:
     """A decision list that rejects rows like those labelled 0, from all labelled rows that pass the base rules.
 
     Sequential covering: a rule grows by the condition with the most information gain on two thirds
     of the rows (by the hash of the id), is pruned on the rest, and is accepted if there at least
-    ``precision`` of what it rejects is bad and it has ``support`` bad rows; its rows then leave.
+    ``precision`` of what it rejects is bad and it has ``support`` bad rows; its rows then leave. After a rule that
+    is refused the next one begins with another feature or its other side, until all have been refused in turn or
+    fewer than ``support`` bad rows are left to accept a rule; there may be any number of rules.
     Without labels of both kinds the list is empty.
     """
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("_label")).where(
@@ -213,15 +221,19 @@ def learn_rules(
     rows = stage(statistics.sparkSession, rows, "labelled")
     bins, found = _bins(rows, features), []
     left = rows
-    while len(found) < rules:
+    while left.where("bad and not grow").count() >= support:
         rule: Rule = ()
-        while len(rule) < conditions and (condition := _grow(left, bins, rule)):
-            rule += (condition,)
+        refused: set[tuple[str, bool]] = set()
+        while not rule and (first := _grow(left, bins, (), refused)):
+            rule = (first,)
+            while len(rule) < conditions and (condition := _grow(left, bins, rule)):
+                rule += (condition,)
+            rule, bad, good = _prune(left, rule)
+            if bad < support or bad < precision * (bad + good):
+                refused.add((first.feature, first.at_least))
+                rule = ()
         if not rule:
             break
-        rule, bad, good = _prune(left, rule)
-        if bad < support or bad < precision * (bad + good):
-            break
         found.append(rule)
         left = left.where(~covers(rule))
     return found
