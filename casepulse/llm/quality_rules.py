@@ -147,27 +147,31 @@ def _bin(value: Column, thresholds: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= value))
 
 
-def _grow(
-    rows: DataFrame, bins: dict[str, list[float]], rule: Rule, without: Collection[tuple[str, bool]] = ()
-) -> Condition | None:
-    """The condition with the highest information gain over the rows that the rule covers.
+#: Bad and good rows by feature and bin.
+Counts = dict[str, dict[int, tuple[int, int]]]
 
-    ``without`` names features, each with a side, that are not tested.
 
-    One aggregate: good and bad rows by feature and bin, at most 2 * BINS + 3 rows for each feature.
-    """
+def _counted(rows: DataFrame, bins: dict[str, list[float]], rule: Rule) -> Counts:
+    """The growing rows that the rule covers: one aggregate, at most 2 * BINS + 3 rows for each feature."""
     features = [f for f in bins if bins[f]]
+    counts: Counts = {f: {} for f in features}
     if not features:
-        return None
+        return counts
     covered = rows.where(covers(rule)).where("grow")
     place = [F.struct(F.lit(f).alias("feature"), _bin(F.col(f), bins[f]).alias("bin")) for f in features]
-    counts: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in features}
     for row in covered.select("bad", F.explode(F.array(*place)).alias("p")).groupBy("p.feature", "p.bin").agg(
         F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")
     ).collect():
         counts[row.feature][row.bin] = (row.bad, row.good)
+    return counts
+
+
+def _best(
+    counts: Counts, bins: dict[str, list[float]], without: Collection[tuple[str, bool]] = ()
+) -> Condition | None:
+    """The condition with the highest information gain; ``without`` names features, each with a side, that are not tested."""
     best, best_gain = None, 0.0
-    for f in features:
+    for f in counts:
         all_bad = sum(b for b, _ in counts[f].values())
         all_good = sum(g for _, g in counts[f].values())
         if not all_bad or not all_good:
@@ -185,6 +189,11 @@ def _grow(
     return best
 
 
+def _held_bad(rows: DataFrame, rule: Rule) -> int:
+    """Bad rows under the rule among those that did not grow it; further conditions leave no more."""
+    return rows.where("bad and not grow").where(covers(rule)).count()
+
+
 def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     """The shortest start of the rule that is best on the rows it was not grown on, and its bad and good rows there."""
     starts = [rule[:k] for k in range(1, len(rule) + 1)]
@@ -221,13 +230,16 @@ def learn_rules(
     rows = stage(statistics.sparkSession, rows, "labelled")
     bins, found = _bins(rows, features), []
     left = rows
-    while left.where("bad and not grow").count() >= support:
+    while _held_bad(left, ()) >= support:
         rule: Rule = ()
         refused: set[tuple[str, bool]] = set()
-        while not rule and (first := _grow(left, bins, (), refused)):
+        counts = _counted(left, bins, ())
+        while not rule and (first := _best(counts, bins, refused)):
             rule = (first,)
-            while len(rule) < conditions and (condition := _grow(left, bins, rule)):
-                rule += (condition,)
+            # A rule with too few bad rows is refused however it goes on.
+            if _held_bad(left, rule) >= support:
+                while len(rule) < conditions and (condition := _best(_counted(left, bins, rule), bins)):
+                    rule += (condition,)
             rule, bad, good = _prune(left, rule)
             if bad < support or bad < precision * (bad + good):
                 refused.add((first.feature, first.at_least))
