@@ -17,31 +17,29 @@ FROM plain WINDOW same AS (PARTITION BY body)
 """
 
 
-#: Chunks as joins of neighbouring lines, numbered occurrences instead of group minima.
-_CHECKS["op1_line_dedup"] = """
-WITH lines AS (
-  SELECT doc_id, i, l, ('0x' || substr(md5(l), 1, 12))::BIGINT AS h, n
-  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i, len(ls) AS n
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-), rolled AS (
-  SELECT *, (31 * coalesce(lag(h) OVER doc, 0) + h) % 3 = 0 AS hit FROM lines WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
-), ended AS (
-  SELECT *, i BETWEEN 1 AND n - 3 AND hit AND (i = 1 OR NOT lag(hit) OVER doc) AS last
-  FROM rolled WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
-), numbered AS (
-  SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
-  FROM ended
+#: Chunks as windows over numbered lines, numbered occurrences instead of group minima.
+_CHECKS["op1_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM split
+), worded AS (
+  SELECT doc_id, i, ('0x' || substr(md5(l), 1, 12))::BIGINT AS h FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), chunks AS (
-  SELECT doc_id, no, any_value(n) AS n_lines, count(*) AS size, string_agg(l, chr(10) ORDER BY i) AS body
-  FROM numbered GROUP BY doc_id, no
+  SELECT doc_id, i, CASE WHEN (31 * h + lead(h) OVER doc) % 3 = 0 THEN coalesce(lead(i, 2) OVER doc, lead(i) OVER doc)
+                         ELSE lead(i) OVER doc END AS till
+  FROM worded WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
 ), told AS (
-  SELECT *, size > 1 AND row_number() OVER (PARTITION BY body, size > 1 ORDER BY doc_id, no) > 1 AS gone FROM chunks
+  SELECT doc_id, i, till, row_number() OVER (PARTITION BY array_to_string(ls[i + 1:till + 1], chr(10)) ORDER BY doc_id, i) > 1 AS later
+  FROM chunks JOIN split USING (doc_id) WHERE till IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, till + 1)) AS i FROM told WHERE later
 ), rest AS (
-  SELECT doc_id, any_value(n_lines) AS n_lines, coalesce(sum(size) FILTER (gone), 0) AS n_removed,
-         coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS body
-  FROM told GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+         coalesce(string_agg(l, chr(10) ORDER BY lines.i) FILTER (gone.i IS NULL), '') AS body
+  FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
 )
-SELECT doc_id, n_lines, n_removed::BIGINT AS n_removed, length(body) AS n_left, sha256(body) AS left_sha256 FROM rest
+SELECT doc_id, n_lines, n_removed, length(body) AS n_left, sha256(body) AS left_sha256 FROM rest
 """
 
 _KINDS = {

@@ -23,33 +23,30 @@ def no_python(df):
 
 
 def plain_chunks(text):
+    """The lines, and the first and last line of each chunk."""
     lines = text.split("\n")
-    hashes = [int(hashlib.md5(line.encode()).hexdigest()[:12], 16) for line in lines]
-    rolled = [(31 * (hashes[k - 1] if k else 0) + h) % 3 == 0 for k, h in enumerate(hashes)]
-    out, start = [], 0
-    for k in range(len(lines)):
-        if k == len(lines) - 1 or (1 <= k < len(lines) - 2 and rolled[k] and (k == 1 or not rolled[k - 1])):
-            out.append(lines[start:k + 1])
-            start = k + 1
-    return out
+    worded = [k for k, line in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", line)]
+    hashes = [int(hashlib.md5(lines[k].encode()).hexdigest()[:12], 16) for k in worded]
+    out = []
+    for k in range(len(worded) - 1):
+        longer = (31 * hashes[k] + hashes[k + 1]) % 3 == 0 and k + 2 < len(worded)
+        out.append((worded[k], worded[k + 2 if longer else k + 1]))
+    return lines, out
 
 
 def brute_lines(rows):
     """Documents in order of id; equal rows see what the first of them saw."""
-    seen, out, done = {}, [], {}
+    seen, out = {}, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         if text is None:
             out.append((doc_id, None, 0))
             continue
-        kept, removed = [], 0
-        for no, lines in enumerate(plain_chunks(text)):
-            chunk = "\n".join(lines)
-            owner = seen.setdefault(chunk, (doc_id, text, no)) if len(lines) > 1 else (doc_id, text, no)
-            if owner == (doc_id, text, no):
-                kept.append(chunk)
-            else:
-                removed += len(lines)
-        out.append((doc_id, "\n".join(kept), removed))
+        gone, (lines, chunks) = set(), plain_chunks(text)
+        for no, (first, last) in enumerate(chunks):
+            own = (doc_id, text, no)
+            if seen.setdefault("\n".join(lines[first:last + 1]), own) != own:
+                gone.update(range(first, last + 1))
+        out.append((doc_id, "\n".join(line for k, line in enumerate(lines) if k not in gone), len(gone)))
     return sorted(out, key=lambda row: tuple((v is not None, str(type(v)), v) for v in row))
 
 
@@ -68,6 +65,35 @@ def test_lines_of_documents(small):
     assert no_python(got)
 
 
+def passage_rows(rng, n, pairs, around=10):
+    """Pairs of rows that share a passage of ``n`` lines between lines of their own."""
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(14))
+    rows, passages = [], {}
+    for k in range(pairs):
+        passages[k] = {line() for _ in range(n)}
+        rows += [
+            (2 * k + copy, "\n".join([*(line() for _ in range(around)), *sorted(passages[k]), *(line() for _ in range(around))]))
+            for copy in (0, 1)
+        ]
+    return rows, passages
+
+
+@pytest.mark.parametrize(("n", "found", "removed"), [(2, 0.5, 0.5), (3, 1, 0.85), (4, 1, 0.85), (6, 1, 0.9), (8, 1, 0.9), (12, 1, 0.95)])
+def test_short_passages_go(texts, n, found, removed):
+    """In its second place, and nowhere else, whatever stands around it."""
+    pairs = 100
+    rows, passages = passage_rows(random.Random(n), n, pairs)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(texts(rows, clashing=False)).collect()}
+    hits = lines = 0
+    for k in range(pairs):
+        assert got[2 * k].text == rows[2 * k][1] and got[2 * k].n_removed == 0
+        left = got[2 * k + 1].text.split("\n")
+        assert [x for x in left if x not in passages[k]] == [x for x in rows[2 * k + 1][1].split("\n") if x not in passages[k]]
+        hits += got[2 * k + 1].n_removed > 0
+        lines += got[2 * k + 1].n_removed
+    assert hits >= found * pairs and lines >= removed * n * pairs
+
+
 def test_a_shared_passage_goes_wherever_it_stands(texts):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -81,7 +107,15 @@ def test_a_shared_passage_goes_wherever_it_stands(texts):
     assert all(got[100 + k].text == texts_of[100 + k] for k in range(20))
     for k in range(1, 60):
         left = [part for part in got[k].text.split("\n") if part in passage]
-        assert len(left) <= 16 and len([p for p in got[k].text.split("\n") if p and p not in passage]) == k % 7 + k % 5
+        assert len(left) <= 1 and len([p for p in got[k].text.split("\n") if p and p not in passage]) == k % 7 + k % 5
+
+
+def test_empty_lines_are_no_chunk_and_every_line_stays_somewhere(texts):
+    rows = [(1, "a\n\n\nb"), (2, "c\n\n\nd"), (3, "x\na\n\n\nb\ny"), (4, "\n\n"), (5, "k\nk\nk\nk")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(texts(rows)).collect()}
+    assert got[1] == "a\n\n\nb" and got[2] == "c\n\n\nd" and got[4] == "\n\n"
+    assert {*"\n".join(got.values()).split("\n")} == {*"\n".join(t for _, t in rows).split("\n")}
+    assert rows_of(line_dedup.line_dedup(texts(rows)), "doc_id", "text", "n_removed") == brute_lines(rows)
 
 
 # --- personal data -----------------------------------------------------------------------
