@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from casepulse.llm.common import join_groups, map_arrow, whole
 from casepulse.llm.pretokens import (
     ODD,
+    ODD_SEAM,
+    SEAM,
     Generations,
     id_bytes,
+    library_pieces,
     load,
     model_ids,
     slices,
@@ -83,14 +86,15 @@ class Encoder:
 
     The text's normal form (NFC, lower case) is cut by the tokenizer's pattern, and the library's
     model gives the ids of each piece. Texts with characters for which libraries may differ in any
-    of this, or with a special token's string, go to the library as a whole.
+    of this get their normal form and pieces from the library; with a special token's string they go
+    to it as a whole.
     """
 
     def __init__(self, path: str, limit: int = WORKER_PIECES):
         self.tokenizer = load(path)
         self.special = special_strings(self.tokenizer)
         self.pieces = Generations(limit, self.made)
-        self.cut = re.compile(PATTERN).findall
+        self.cut, self.cut_odd = re.compile(PATTERN).findall, library_pieces(self.tokenizer)
 
     def made(self, pieces: set[str]) -> dict[str, bytes]:
         ids = model_ids(self.tokenizer)
@@ -98,15 +102,14 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text. White space ends a token whatever stands around it."""
-        plain = "" if ODD.search(text) else normalize("NFC", text).lower()
-        if ODD.search(plain or text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        out = []
-        for part in slices(plain):
-            pieces = self.cut(part)
-            self.pieces.need(set(pieces))
-            out.append(b"".join(map(self.pieces.kept.__getitem__, pieces)))
-        return b"".join(out)
+        normal = "" if ODD.search(text) else normalize("NFC", text).lower()
+        if odd := ODD.search(normal or text):
+            normal = self.tokenizer.normalizer.normalize_str(text)
+        cut = self.cut_odd if odd else self.cut
+        parts = slices(normal, seams=ODD_SEAM if odd else SEAM)
+        return b"".join(b"".join(self.pieces.values(cut(part))) for part in parts)
 
     def decode(self, ids: bytes) -> str:
         return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)

@@ -17,6 +17,8 @@ from casepulse.llm.pretokens import PieceCache, id_bytes, worker_cache
 #: Open bins of one packer, and pieces that one packer gets on average.
 OPEN_BINS = 32_768
 PIECES_PER_TASK = 40_000
+#: Bytes of a token, at the least of usual texts, by which the number of pieces is estimated.
+TOKEN_BYTES = 3
 #: Pre-tokens that a Python worker keeps, and as many of an older generation.
 WORKER_PIECES = 250_000
 
@@ -152,6 +154,11 @@ def pack(
     ]))
 
 
-def packers_for(docs: DataFrame, pieces_per_task: int = PIECES_PER_TASK) -> int:
-    """As many packers as the number of rows asks for."""
-    return max(1, -(-docs.count() // pieces_per_task))
+def packers_for(
+    docs: DataFrame, pieces_per_task: int = PIECES_PER_TASK, *, capacity: int = 1024, text_col: str | None = None
+) -> int:
+    """As many packers as the number of pieces asks for: one for each row and, given the text, more for the bytes of long ones."""
+    size = F.octet_length(text_col) if text_col else F.lit(0)
+    found = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("size")).first()
+    pieces = found.n + (found.size or 0) // (TOKEN_BYTES * capacity)
+    return max(1, -(-pieces // pieces_per_task))

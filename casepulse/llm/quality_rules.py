@@ -268,9 +268,9 @@ def quality_rules(
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The list is learned from the labelled rows' statistics. Each row then meets it in the scan that
-    reads it: its statistics are computed there once more, which moves no text.
+    Rows are stored with their statistics, which are so computed once and move no text; the list is learned
+    from the labelled rows' numbers, and then decides the stored rows.
     """
-    rules = learn_rules(text_statistics(docs, id_col=id_col, text_col=text_col), labels)
-    rows = text_statistics(docs, id_col=id_col, text_col=text_col, carry=True)
+    rows = stage(docs.sparkSession, text_statistics(docs, id_col=id_col, text_col=text_col, carry=True), "statistics")
+    rules = learn_rules(rows, labels)
     return rows.where(~F.col("base_failed") & verdict(rules)).select("_row.*")

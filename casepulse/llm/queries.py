@@ -105,7 +105,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID, capacity=CAPACITY
     ).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(pieces, packers=packing.packers_for(docs), capacity=CAPACITY)
+    return packing.pack(pieces, packers=packing.packers_for(docs, capacity=CAPACITY, text_col="text"), capacity=CAPACITY)
 
 
 @query

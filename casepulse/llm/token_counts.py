@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casepulse.llm.common import map_arrow, whole
-from casepulse.llm.pretokens import PieceCache, load, slices, worker_cache
+from casepulse.llm.pretokens import LONGEST, PieceCache, worker_cache
 
-#: Rows that the table of frequent pre-tokens is made from, and its entries. The table only saves
-#: work: counts are the same whatever is in it.
+#: Rows (about) that the table of frequent pre-tokens is made from, and its entries, of ``LONGEST`` characters
+#: at most. The table only saves work: counts are the same whatever is in it.
 SAMPLE_ROWS = 4000
 TABLE_SIZE = 32_768
 #: Further pre-tokens that a Python worker keeps, and as many of an older generation.
@@ -24,7 +24,11 @@ def frequent_lengths(
     docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
     table_size: int = TABLE_SIZE,
 ) -> dict[str, int]:
-    """The number of tokens of the pre-tokens most frequent in a bounded sample of rows."""
+    """The number of tokens of the pre-tokens most frequent in a bounded sample of rows.
+
+    Each partition keeps a counter of bounded size over its share of the sample and hands on its ``table_size``
+    first entries; Spark adds these up.
+    """
     total = docs.count()
     if not total:
         return {}
@@ -35,18 +39,19 @@ def frequent_lengths(
             for text in batch.column(0):
                 text = text.as_py()
                 if cache.plain(text):
-                    for part in slices(text):
-                        seen.update(cache.cut(part))
+                    for pieces in cache.parts(text):
+                        seen.update(piece for piece in pieces if len(piece) <= LONGEST)
                         if len(seen) > 16 * table_size:
                             seen = Counter(dict(seen.most_common(4 * table_size)))
         top = seen.most_common(table_size)
-        yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"]
+        )
 
-    texts = docs.select(whole(text_col).alias("text"))
-    sample = texts.sample(min(1.0, sample_rows / total), seed=7).limit(sample_rows).coalesce(1)
-    top = [row.piece for row in map_arrow(sample, count, "piece string, n long").collect()]
-    encoded = load(tokenizer_path).encode_batch(top, add_special_tokens=False)
-    return dict(zip(top, (len(e.ids) for e in encoded), strict=True))
+    sample = docs.select(whole(text_col).alias("text")).sample(min(1.0, sample_rows / total), seed=7)
+    counted = map_arrow(sample, count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "piece").limit(table_size).collect()
+    return PieceCache(tokenizer_path, len, 0).made({row.piece for row in top})
 
 
 def token_counts(
@@ -55,8 +60,8 @@ def token_counts(
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
-    First tier: a broadcast table of at most ``table_size`` frequent pre-tokens and their numbers
-    of tokens. Second tier: a cache in each Python worker, filled by the library. Nothing is
+    First tier: a broadcast table of at most ``table_size`` frequent pre-tokens, each of at most ``LONGEST``
+    characters, and their numbers of tokens. Second tier: a cache in each Python worker, filled by the library. Nothing is
     shuffled, so a hot source or a group of copies costs no more than its bytes.
 
     Counts are those of the tokenizers library on the whole text without added special tokens,

@@ -69,3 +69,9 @@ def test_empty_table_ties_and_wrong_lengths(llm):
     assert sorted((r.offset) for r in pack(same, packers=2).collect()) == [0, 0, 512, 512]
     with pytest.raises(Exception, match="lengths must be"):
         pack(llm.createDataFrame([(1, 0, 2000)], schema), packers=1).collect()
+
+
+def test_few_long_texts_are_dealt_to_several_packers(llm):
+    docs = llm.range(8).selectExpr("id as doc_id", "repeat('word ', 30000) as text")
+    assert packers_for(docs, 40) == 1 and packers_for(docs, 40, capacity=1024, text_col="text") == 10
+    assert packers_for(docs.where("doc_id < 0"), 40, text_col="text") == 1

@@ -16,6 +16,12 @@ MIXED = st.text(st.one_of(
 ), max_size=60)
 
 
+WEB = [
+    "“Don’t stop,” she said — it’s the year’s best… naïve café", "日本語のテキストは空白なしで続く。東京と大阪の間", "مرحبا بالعالم هذا نص عربي قصير",
+    "👍🏽 great 🙂🙂 post — 50 % off™ ½ price", "ราคาสินค้าในร้าน", "Straße\u00a0und İstanbul, ΑΣ ΣΑΣ", "plain words, and 1234 numbers",
+]
+
+
 def unpacked(ids):
     return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
@@ -28,6 +34,45 @@ def test_pieces_give_the_ids_of_the_library(byte_bpe, encode, text):
     assert unpacked(got) == encode(byte_bpe, text)
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_texts_of_the_web_come_through_the_cache(byte_bpe, word_bpe, encode, kind):
+    """Curly quotes, dashes, no-break spaces, CJK, Arabic, Thai, emoji: the library's ids, most pieces kept."""
+    texts = [" ".join(WEB[(k + j) % len(WEB)] for j in range(5)) for k in range(70)]
+    if kind == "bytes":
+        path, cache = byte_bpe, pretokens.PieceCache(byte_bpe, pretokens.id_bytes, 10_000)
+        run = lambda text: b"".join(b"".join(part) for part in cache.values(text))
+        assert all(map(cache.plain, texts))
+    else:
+        path, cache = word_bpe, bpe.Encoder(word_bpe)
+        run = cache.encode
+    asked, missed, values, make = [], [], cache.pieces.values, cache.pieces.make
+    cache.pieces.values = lambda keys: asked.extend(keys) or values(keys)
+    cache.pieces.make = lambda keys: missed.extend(keys) or make(keys)
+    for text in texts:
+        assert unpacked(run(text)) == encode(path, text)
+    assert len(missed) < 0.2 * len(asked)
+
+
+def test_long_words_are_not_kept(byte_bpe, word_bpe, encode, monkeypatch):
+    monkeypatch.setattr(pretokens, "KEPT_CHARACTERS", 500)
+    cache, words = pretokens.PieceCache(byte_bpe, pretokens.id_bytes, 10**6), bpe.Encoder(word_bpe)
+    for k in range(40):
+        text = f"word{k} " + "Zx9" * (3000 + k) + " " + "ab" * 4000 + f" é’ and other words {k}" * 20
+        assert unpacked(b"".join(b"".join(part) for part in cache.values(text))) == encode(byte_bpe, text)
+        assert unpacked(words.encode(text)) == encode(word_bpe, text)
+    for kept in (cache.pieces, words.pieces):
+        assert sum(map(len, kept.kept)) <= 500 and max(map(len, kept.kept)) <= pretokens.LONGEST
+
+
+@settings(max_examples=100, deadline=None)
+@given(words=st.lists(st.sampled_from(["a", "é’s", " ", "  ", "\n", "日本.", "12", "“b ", "\x1c"]), max_size=80), size=st.integers(1, 9))
+def test_slices_of_any_text_end_where_pieces_end(byte_bpe, words, size):
+    text = " ".join(words)
+    cut = pretokens.library_pieces(pretokens.load(byte_bpe))
+    parts = list(pretokens.slices(text, size, pretokens.ODD_SEAM))
+    assert "".join(parts) == text and [p for part in parts for p in cut(part)] == cut(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(words=st.lists(st.sampled_from(["a", "b'll", " ", "  ", "\n", "x.", "12", "\t "]), max_size=80), size=st.integers(1, 9))
 def test_slices_end_where_pieces_end(byte_bpe, words, size):
