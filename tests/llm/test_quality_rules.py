@@ -92,3 +92,17 @@ def test_a_refused_rule_does_not_end_the_search(llm):
     statistics = llm.createDataFrame(rows, "doc_id long, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES))
     got = learn_rules(statistics, llm.createDataFrame(labels, "doc_id long, quality int"), features=FEATURES)
     assert any(condition.feature == "b" for rule in got for condition in rule)
+
+
+def test_counts_by_bin_are_exact(llm):
+    """As many bins as the learner may make, unevenly filled, over many partitions."""
+    n = 2 * quality_rules.BINS + 2
+    rows = [(i, i % n if i % 3 else i * i % n, i * i % 7 == 1, i % 5 > 0, float(i % 2)) for i in range(6000)]
+    df = llm.createDataFrame(rows, "doc_id long, bin_a int, bad boolean, grow boolean, b double").repartition(13)
+    rule = (quality_rules.Condition("b", True, 0.5),)
+    want: dict = {}
+    for _, place, bad, grow, b in rows:
+        if grow and b >= 0.5:
+            x, y = want.get(place, (0, 0))
+            want[place] = (x + bad, y + (not bad))
+    assert quality_rules._counted(df, {"a": [float(k) for k in range(n)], "c": []}, rule) == {"a": want}
