@@ -154,21 +154,22 @@ Counts = dict[str, dict[int, tuple[int, int]]]
 def _counted(rows: DataFrame, bins: dict[str, list[float]], rule: Rule) -> Counts:
     """The growing rows that the rule covers: one aggregate of two rows, bad and good, with a histogram for each feature.
 
-    A histogram with room for every bin merges none, so its counts are exact, and no row is multiplied.
+    A histogram with room for every bin merges none, so its counts are exact, and no row is multiplied. Where parts
+    of one bin are merged, its place may be off by a rounding, and it may come in several parts.
     """
     features = [f for f in bins if bins[f]]
     counts: Counts = {f: {} for f in features}
     if not features:
         return counts
     found = rows.where(covers(rule)).where("grow").groupBy("bad").agg(*(
-        F.histogram_numeric(f"bin_{f}", F.lit(len(bins[f]) + 2)).alias(f"of_{f}") for f in features
+        F.histogram_numeric(F.col(f"bin_{f}").cast("double"), F.lit(len(bins[f]) + 2)).alias(f"of_{f}") for f in features
     )).collect()
     for row in found:
         for f in features:
             for place in row[f"of_{f}"]:
-                bad, good = counts[f].get(place.x, (0, 0))
-                n = int(place.y)
-                counts[f][place.x] = (bad + n, good) if row.bad else (bad, good + n)
+                k, n = round(place.x), round(place.y)
+                bad, good = counts[f].get(k, (0, 0))
+                counts[f][k] = (bad + n, good) if row.bad else (bad, good + n)
     return counts
 
 
