@@ -58,10 +58,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), folder)
-    return warc.read_warc(spark, folder).select(
-        warc.page_of("record_id").alias("page_id"),
-        F.coalesce(F.octet_length("payload"), "payload_bytes").cast("long").alias("payload_bytes"),
-        "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"),
+
+    def rows(kind: str, size, **options) -> DataFrame:
+        return warc.read_warc(spark, folder, where={"record_type": [kind]}, **options).select(
+            warc.page_of("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), "payload_digest",
+            "record_type", warc.page_of("refers_to").alias("refers_to"),
+        )
+
+    # Payloads are decoded once, to check them; the scan for revisits goes past them.
+    return rows("response", F.octet_length("payload"), verify=True).union(
+        rows("revisit", F.col("payload_bytes"), payload=False)
     )
 
 

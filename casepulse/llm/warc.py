@@ -193,7 +193,9 @@ class Member(Stream):
                 size = min(self.left, max(4096, n))
                 part = self.inflate.unconsumed_tail + self.raw.read(size)
                 self.left -= size
-            got = self.inflate.decompress(part)
+            got = self.inflate.decompress(part, max(4096, n))
+            if not part and not got and not self.inflate.eof:
+                raise ValueError("a gzip member ends too early")
             if self.inflate.unused_data:
                 self.raw.give(self.inflate.unused_data)
             if got:
@@ -257,8 +259,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, where: Mapping[str, Sequence[str]] | None = None):
-        self.path, self.columns = path, schema.fieldNames()
+    def __init__(
+        self, path: str, schema: T.StructType, where: Mapping[str, Sequence[str]] | None = None, verify: bool = False
+    ):
+        self.path, self.columns, self.verify = path, schema.fieldNames(), verify
         self.types = [f.dataType for f in schema]
         self.wanted = {column: set(values) for column, values in (where or {}).items()}
         if unknown := set(self.columns) - set(SCHEMA.fieldNames()) or set(self.wanted) - set(HEADERS):
@@ -303,13 +307,16 @@ class WarcReader(DataSourceReader):
             headers, used = _headers(stream), 0
             length = int(headers[b"content-length"])
             row = {c: _value(headers[h.lower()]) if h.lower() in headers else None for c, h in HEADERS.items()}
-            if row["payload_digest"]:
-                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+            digest = row["payload_digest"] or ""
+            if digest:
+                row["payload_digest"] = digest.removeprefix("sha1:")
             passes = all(row[c] in values for c, values in self.wanted.items())
             if passes and body:
                 row["payload_bytes"], used = _http(stream, length)
             if passes and "payload" in body and row["record_type"] == "response":
                 row["payload"] = stream.read(length - used)
+                if self.verify and digest.startswith("sha1:") and sha1_base32(row["payload"]) != row["payload_digest"].upper():
+                    raise ValueError(f"the payload of {row['record_id']} has another digest than its header: {digest}")
             else:
                 stream.skip(length - used)
             stream.close()
@@ -376,7 +383,8 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, json.loads(self.options.get("where", "{}")))
+        verify = json.loads(self.options.get("verify", "false"))
+        return WarcReader(self.options["path"], schema, json.loads(self.options.get("where", "{}")), verify)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], schema, overwrite)
@@ -393,16 +401,17 @@ def register(spark) -> None:
 
 
 def read_warc(
-    spark, path: str, *, payload: bool = True, where: Mapping[str, Sequence[str]] | None = None
+    spark, path: str, *, payload: bool = True, where: Mapping[str, Sequence[str]] | None = None, verify: bool = False
 ) -> DataFrame:
     """The records under ``path``; without ``payload`` no block's body is read.
 
     ``where`` lists the wanted values of header columns: ``{"record_type": ["revisit"]}``. A record
-    without such a header is not wanted.
+    without such a header is not wanted. With ``verify``, a payload that is read and whose SHA-1 is not
+    that in its header is an error; payloads without such a header are not compared.
     """
     register(spark)
     fields = [f for f in SCHEMA if payload or f.name != "payload"]
-    reader = spark.read.format("warc").schema(T.StructType(fields))
+    reader = spark.read.format("warc").schema(T.StructType(fields)).option("verify", json.dumps(verify))
     return reader.option("where", json.dumps({c: list(v) for c, v in (where or {}).items()})).load(_uri(path))
 
 

@@ -83,10 +83,10 @@ class Counted(io.BytesIO):
         return got
 
 
-def records(data, gzipped, columns=("record_id", "payload"), wanted=None):
+def records(data, gzipped, columns=("record_id", "payload"), wanted=None, verify=False):
     file = Counted(data)
     schema = warc.T.StructType([f for f in warc.SCHEMA if f.name in columns])
-    reader = warc.WarcReader("file:///nowhere", schema, wanted)
+    reader = warc.WarcReader("file:///nowhere", schema, wanted, verify)
     return list(reader.records(warc.Stream(file), gzipped)), file.taken
 
 
@@ -105,6 +105,46 @@ def test_unwanted_payloads_are_not_read():
         assert [r[1] for r in rows] == noise
 
 
+@pytest.mark.parametrize("gzipped", [False, True])
+def test_damaged_payloads_are_errors(gzipped):
+    def packed(data):
+        return gzip.compress(data) if gzipped else data
+
+    whole = warc.record("<urn:page:1>", "u", b"x" * 5000, None)
+    damaged = whole[:-100] + b"y" + whole[-99:]
+    assert records(packed(whole), gzipped, verify=True)[0] == records(packed(whole), gzipped)[0]
+    with pytest.raises(ValueError, match="<urn:page:1> has another digest"):
+        records(packed(whole) + packed(damaged), gzipped, verify=True)
+    # What is not asked for, or not read, is not compared.
+    assert len(records(packed(damaged), gzipped)[0]) == 1
+    assert records(packed(damaged), gzipped, columns=("record_id",), verify=True)[0] == [("<urn:page:1>",)]
+    other = whole.replace(b"sha1:", b"none:")
+    assert len(records(packed(other), gzipped, verify=True)[0]) == 1
+
+
+def test_scan_for_revisits_inflates_no_payload(monkeypatch):
+    """A wanted record type leaves out the payloads of the others, and frames of several types stand side by side."""
+    body = bytes(range(256)) * 4000
+    data = b"".join(warc.packed(warc.record(f"<urn:page:{k}>", "u", body, "<urn:page:0>" if k % 2 else None)) for k in range(6))
+    inflated = []
+    more = warc.Member.more
+    monkeypatch.setattr(warc.Member, "more", lambda self, n: inflated.append(got := more(self, n)) or got)
+    rows, _ = records(data, True, columns=("record_id", "payload_bytes"), wanted={"record_type": {"revisit"}})
+    assert rows == [(f"<urn:page:{k}>", len(body)) for k in (1, 3, 5)]
+    assert sum(map(len, inflated)) < len(body) / 2
+
+
+def test_frames_of_different_types_in_one_plan(llm, pages):
+    folder = warc.new_folder(llm, "warc-test")
+    warc.write_warc(pages, folder)
+    kinds = {k: warc.read_warc(llm, folder, where={"record_type": [k]}, verify=True) for k in ("response", "revisit")}
+    both = read_back(llm, folder)
+    assert kinds["revisit"].count() == 3
+    assert kinds["response"].union(kinds["revisit"]).count() == both.count() == len(PAGES)
+    assert kinds["response"].join(kinds["revisit"].select("payload_digest"), "payload_digest").count() == 3  # each revisit meets its response
+    assert kinds["revisit"].count() == 3
+
+
 def test_foreign_archives():
     """Members of other writers do not name their length."""
     plain = [warc.record(f"<urn:page:{k}>", "u", b"body %d" % k * 5000, None) for k in range(4)]
