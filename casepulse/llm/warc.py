@@ -161,12 +161,16 @@ class Stream:
         """Puts back what was read too far."""
         self.buffer, self.at = unread + self.buffer[self.at:], 0
 
+    def another(self) -> bool:
+        """Whether the same member holds another record."""
+        return False
+
     def close(self) -> None:
         """The record is done with."""
 
 
 class Member(Stream):
-    """The record in the gzip member at the place of ``raw``; inflated only as far as it is read."""
+    """The records in the gzip member at the place of ``raw``; inflated only as far as it is read."""
 
     def __init__(self, raw: Stream):
         super().__init__(None)
@@ -206,6 +210,9 @@ class Member(Stream):
         if self.left is None or n <= len(self.buffer) - self.at:
             self.read(n)
 
+    def another(self) -> bool:
+        return self.left is None and not self.ended()
+
     def close(self) -> None:
         if self.left is None:
             while self.more(1 << 16):
@@ -302,8 +309,9 @@ class WarcReader(DataSourceReader):
     def records(self, file: Stream, gzipped: bool) -> Iterator[tuple]:
         """The asked columns of the records that pass the filters."""
         body = {"payload", "payload_bytes"} & set(self.columns)
-        while not file.ended():
-            stream = Member(file) if gzipped else file
+        stream = None
+        while stream or not file.ended():
+            stream = stream or (Member(file) if gzipped else file)
             headers, used = _headers(stream), 0
             length = int(headers[b"content-length"])
             row = {c: _value(headers[h.lower()]) if h.lower() in headers else None for c, h in HEADERS.items()}
@@ -319,7 +327,9 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"the payload of {row['record_id']} has another digest than its header: {digest}")
             else:
                 stream.skip(length - used)
-            stream.close()
+            if not stream.another():
+                stream.close()
+                stream = None
             if passes:
                 yield tuple(row.get(c) for c in self.columns)
 

@@ -156,6 +156,15 @@ def test_foreign_archives():
             assert [r[0] for r in rows] == [f"<urn:page:{k}>" for k in range(4)]
 
 
+def test_several_records_in_a_member():
+    plain = [warc.record(f"<urn:page:{k}>", "u", b"body %d" % k * 5000, None) for k in range(5)]
+    for data in (gzip.compress(b"".join(plain)), gzip.compress(b"".join(plain[:2])) + gzip.compress(b"".join(plain[2:]))):
+        rows, _ = records(data, True, verify=True)
+        assert rows == [(f"<urn:page:{k}>", b"body %d" % k * 5000) for k in range(5)]
+        rows, _ = records(data, True, columns=("record_id",), wanted={"record_id": {"<urn:page:3>"}})
+        assert rows == [("<urn:page:3>",)]
+
+
 @pytest.mark.parametrize("data", [b"HTTP/1.1 200 OK\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n", warc.record("<a>", "u", b"x" * 100, None)[:-60]])
 def test_broken_archives_are_errors(data):
     with pytest.raises(ValueError):
