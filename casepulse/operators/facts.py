@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casepulse.functions import text
@@ -129,24 +129,31 @@ def client_case_counts(
         )
     )
     # Both side tables are cut to the wanted studies before they are summed, which leaves them
-    # shuffled by study for all that follows. A study stays when it has no detail row or any that is not a demo.
+    # shuffled and sorted by study for all that follows: windows sum them in that order, where hash aggregates
+    # would each hold a task's studies in memory and have them sorted again for the next join.
+    by_study = Window.partitionBy("study_id")
+    # A study stays when it has no detail row or any that is not a demo.
     demo = (
         only_keys(study_details, cases, "study_fk", "study_id")
-        .groupBy(F.col("study_fk").alias("study_id"))
-        .agg(F.bool_and(F.coalesce(F.col("is_demo"), F.lit(False))).alias("only_demo"))
+        .select(F.col("study_fk").alias("study_id"), F.coalesce(F.col("is_demo"), F.lit(False)).alias("is_demo"))
+        .select("study_id", F.bool_and("is_demo").over(by_study).alias("only_demo"))
         .filter("only_demo")
         .select("study_id")
     )
     limits = sorted(set(sla.values()))
-    per_study = (
-        only_keys(tat.select("study_id", "modality", "tat_min"), cases, "study_id").distinct()
-        .groupBy("study_id")
-        .agg(
-            F.count(F.lit(1)).alias("tat_rows"),
-            *[F.count_if(F.col("tat_min") <= limit).alias(f"within_{i}") for i, limit in enumerate(limits)],
-            *[F.count_if(F.col("tat_min") > limit).alias(f"breach_{i}") for i, limit in enumerate(limits)],
-        )
+    # Of equal rows only the first counts, the one whose rank is its number.
+    in_order = by_study.orderBy("modality", "tat_min")
+    numbered = only_keys(tat.select("study_id", "modality", "tat_min"), cases, "study_id").select(
+        "study_id", "tat_min", F.rank().over(in_order).alias("rank"), F.row_number().over(in_order).alias("number"),
     )
+    different = F.col("rank") == F.col("number")
+    per_study = numbered.select(
+        "study_id",
+        "number",
+        F.count_if(different).over(by_study).alias("tat_rows"),
+        *[F.count_if(different & (F.col("tat_min") <= limit)).over(by_study).alias(f"within_{i}") for i, limit in enumerate(limits)],
+        *[F.count_if(different & (F.col("tat_min") > limit)).over(by_study).alias(f"breach_{i}") for i, limit in enumerate(limits)],
+    ).filter("number = 1").drop("number")
     fill = missing_tat_value(missing_tat)
     defaults = {"tat_rows": 1}
     for i, limit in enumerate(limits):

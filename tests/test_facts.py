@@ -74,6 +74,15 @@ def test_different_turn_around_rows_multiply_a_case_and_equal_ones_do_not(make):
     assert rows_of(make(studies, tat=tat), *COUNTS) == [(1, "", 3, 2, 1)]
 
 
+def test_missing_and_odd_minutes_are_equal_to_themselves(make):
+    studies = [(i, 1, at(1), "COMPLETED", rules("CT")) for i in (1, 2, 2, None)]
+    nan = float("nan")
+    tat = [(1, None, None), (1, None, None), (1, "CT", nan), (1, "CT", nan), (1, "CT", 0.0), (1, "CT", -0.0),
+           (None, "CT", 1.0), (2, "CT", None), (2, None, None), (2, "CT", 7.0), (2, "CT", 7.0), (9, "CT", 1.0)]
+    # Study 1 has three different rows, each of two rows with id 2 as well; a study without an id has none.
+    assert rows_of(make(studies, [(None, True), (9, True)], tat=tat), *COUNTS) == [(1, "", 3 + 2 * 3 + 1, 1 + 2 + 1, 1)]
+
+
 def test_client_rules(make):
     studies = [(i, i, at(1), "COMPLETED", rules("CT")) for i in range(1, 10)]
     clients = [

@@ -123,6 +123,17 @@ def test_side_tables_are_cut_to_the_wanted_studies_and_shuffled_once(spark, tmp_
         assert count(text, r"hashpartitioning\(study_(?:id|fk)#\d+L, [a-z_]+#") == 0
 
 
+def test_tasks_hold_no_sums_by_study(spark, tmp_path):
+    """What a task holds of three tables grows with each sort and each aggregate that its stage has for them."""
+    studies = stored(spark, tmp_path, "studies", [(i, i % 3, dt.datetime(2024, 5, 1), "COMPLETED", "") for i in range(9)])
+    details = stored(spark, tmp_path, "study_details", [(1, False)])
+    tat = stored(spark, tmp_path, "client_tat_metrics", [(1, "CT", 50.0)])
+    text = plan(facts.client_case_counts(studies, details, tat, by_hour=True))
+    assert not re.search(r"Aggregate\(keys=\[study_", text)
+    # The studies once and twice for their ids, both side tables, and one of them once more for equal rows.
+    assert count(text, r"Sort \[study_(?:id|fk)") == 6
+
+
 def test_steady_clients_take_one_pass(daily_table):
     daily = facts.by_client_id(daily_table)
     by_id = plan(comparison.steady_client_comparison(daily, as_of=AS_OF, cohort_key="client_id"))
