@@ -109,27 +109,39 @@ def same_weekday_hourly(
     return hourly.withColumn("case_diff_pct", pct)
 
 
-def interval_totals(cases: DataFrame, *, hours: int = 4) -> DataFrame:
-    """Cases and number of days with any, per client, weekday and time interval.
-
-    Both are sums over days, so totals of different days add up and a day can be taken back.
-    """
+def _interval_days(cases: DataFrame, hours: int, *more: str) -> DataFrame:
+    """Cases per client, day and time interval, and columns ``more`` of the cases."""
     day = F.to_date(TS)
     bucket = F.floor(F.hour(TS) / F.lit(hours)).cast("int")
-    per_day = (
+    return (
         cases.dropna(subset=["client_id", TS])
-        .groupBy("client_id", day.alias("day"), bucket.alias("bucket"))
+        .groupBy("client_id", day.alias("day"), bucket.alias("bucket"), *more)
         .agg(total("total_case").alias("cases"))
     )
-    return per_day.groupBy("client_id", F.weekday("day").alias("weekday"), "bucket").agg(
+
+
+def interval_totals(cases: DataFrame, *, hours: int = 4) -> DataFrame:
+    """Cases and number of days with any, per client, weekday and time interval.
+
+    Both are sums over days, so totals of different days add up and a day can be taken back.
+    """
+    return _interval_days(cases, hours).groupBy("client_id", F.weekday("day").alias("weekday"), "bucket").agg(
         F.sum("cases").alias("cases"), F.count(F.lit(1)).alias("days")
     )
 
 
 def replaced_totals(totals: DataFrame, old: DataFrame, new: DataFrame, *, hours: int = 4) -> DataFrame:
-    """Totals after the cases ``old`` of some whole days became ``new``; both hold all cases of those days."""
-    taken = interval_totals(old, hours=hours).withColumns({name: -F.col(name) for name in ("cases", "days")})
-    parts = totals.unionByName(taken).unionByName(interval_totals(new, hours=hours))
+    """Totals after the cases ``old`` of some whole days became ``new``; both hold all cases of those days.
+
+    Old and new days are summed together, the old ones under a minus sign, and then once with the totals.
+    """
+    columns = ("client_id", TS, "total_case")
+    signed = old.select(*columns, F.lit(-1).cast("long").alias("days")).unionByName(
+        new.select(*columns, F.lit(1).cast("long").alias("days"))
+    )
+    parts = totals.unionByName(_interval_days(signed, hours, "days").select(
+        "client_id", F.weekday("day").alias("weekday"), "bucket", (F.col("cases") * F.col("days")).alias("cases"), "days"
+    ))
     return parts.groupBy("client_id", "weekday", "bucket").agg(
         F.sum("cases").alias("cases"), F.sum("days").alias("days")
     ).filter("days > 0")

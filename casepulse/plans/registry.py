@@ -103,7 +103,10 @@ def daily_client_cases_refreshed(t: Tables) -> DataFrame:
     """The daily fact after a refresh of what has changed since an earlier state of the tables."""
     folder = f"{shared_folder(t.spark)}/refresh-{uuid.uuid4().hex}"
     names = ("studies", "study_details", "clients", "client_details", "client_settings", "client_tat_metrics")
-    now = dict(zip(names, _case_tables(t), strict=True))
+    for name, table in zip(names, _case_tables(t), strict=True):
+        table.write.parquet(f"{folder}/now/{name}.parquet")
+    # The earlier state comes from the stored tables, so that the events are parsed once.
+    now = {name: t.spark.read.parquet(f"{folder}/now/{name}.parquet") for name in names}
     late = F.col("id") % 37 == 0
     before = now | {
         # Some studies were open and some not there; some details and times came later; a client had another name.
@@ -112,9 +115,9 @@ def daily_client_cases_refreshed(t: Tables) -> DataFrame:
         "client_tat_metrics": now["client_tat_metrics"].filter("study_id % 47 <> 0"),
         "clients": now["clients"].withColumn("client_name", F.when(F.col("id") % 10 == 1, "before").otherwise(F.col("client_name"))),
     }
-    for state, tables in (("before", before), ("now", now)):
-        for name, table in tables.items():
-            table.write.parquet(f"{folder}/{state}/{name}.parquet")
+    for name, table in before.items():
+        table.write.parquet(f"{folder}/before/{name}.parquet")
+    for state in ("before", "now"):
         refresh_changed(t.spark, f"{folder}/{state}", f"{folder}/out", since=b.DAILY_FROM)
     return t.spark.read.schema(SCHEMAS["daily_client_cases"]).parquet(f"{folder}/out/daily_client_cases")
 

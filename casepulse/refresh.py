@@ -70,10 +70,12 @@ class State:
     def finish(self) -> None:
         """Replaces the changed days; any number of times with one result."""
         days = {name: [dt.date.fromisoformat(day) for day in self.content[name]] for name in ("changed", "affected")}
-        write_by_day(self.table(COUNTS, COUNTS_SCHEMA), f"{self.out}/{COUNTS}", days=days["changed"])
+        # After a first run, days of earlier, other writers from ``since`` on go as well.
+        since = dt.date.fromisoformat(self.content["since"]) if self.content.get("first") else None
+        write_by_day(self.table(COUNTS, COUNTS_SCHEMA), f"{self.out}/{COUNTS}", days=days["changed"], staged=True)
         for name in (HOURLY, DAILY):
-            write_by_day(self.table(name, SCHEMAS[name]), f"{self.out}/{name}", days=days["affected"])
-        self.commit(**{k: v for k, v in self.content.items() if k not in ("kind", "number")}, kind="done")
+            write_by_day(self.table(name, SCHEMAS[name]), f"{self.out}/{name}", since=since, days=days["affected"], staged=True)
+        self.commit(**{k: v for k, v in self.content.items() if k not in ("kind", "number", "first")}, kind="done")
 
 
 def _days(df: DataFrame) -> set[dt.date]:
@@ -116,9 +118,9 @@ def _refresh(spark: SparkSession, inputs: str, out: str, since: dt.date) -> list
     changed = _days(digests.changed_days(cases, state.table("cases", cases.schema)))
 
     # Other days of clients that have changed come from the stored counts.
-    who = stage(spark, digests.changed(clients, state.table("clients", clients.schema), ["source", "client_fk"]).select("client_fk").distinct(), "who")
     affected = set(changed)
     if not first_run:
+        who = stage(spark, digests.changed(clients, state.table("clients", clients.schema), ["source", "client_fk"]).select("client_fk").distinct(), "who")
         counts = spark.read.schema(COUNTS_SCHEMA).parquet(f"{out}/{COUNTS}")
         affected |= _days(counts.join(who, "client_fk", "left_semi").select(DAY).distinct())
     if not affected and not first_run:
@@ -152,13 +154,9 @@ def _refresh(spark: SparkSession, inputs: str, out: str, since: dt.date) -> list
 
     before = state.content.get("folder")
     state.commit(
-        kind="prepared", folder=folder, since=since.isoformat(), through=last.isoformat(),
+        kind="prepared", folder=folder, first=first_run, since=since.isoformat(), through=last.isoformat(),
         changed=sorted(day.isoformat() for day in changed), affected=sorted(day.isoformat() for day in affected),
     )
-    if first_run:
-        # Days of earlier, other writers from ``since`` on go as well.
-        for name, schema in ((HOURLY, SCHEMAS[HOURLY]), (DAILY, SCHEMAS[DAILY])):
-            write_by_day(state.table(name, schema), f"{out}/{name}", since=since)
     state.finish()
     if before:
         remove_folder(spark, f"{out}/{before}")

@@ -28,26 +28,28 @@ def write_report(
 
 
 def write_by_day(
-    fact: DataFrame, path: str, *, since: dt.date | None = None, days: Iterable[dt.date] | None = None
+    fact: DataFrame, path: str, *, since: dt.date | None = None, days: Iterable[dt.date] | None = None,
+    staged: bool = False,
 ) -> None:
     """A fact, one folder per case day; days of the input replace what is stored of them.
 
     With ``since`` the input is all there is from then on: a stored day from ``since`` that is not
     in it lost its last case, and its folder goes; with ``days`` so for each of these. The rebalance gives each day few files and
-    splits a day that is too large for one. The input is staged, as its days are read as well.
+    splits a day that is too large for one. The input is staged, as its days are read as well, unless it is
+    ``staged``: read from files that are not below ``path``.
     """
     day, spark = "case_receiving_date", fact.sparkSession
-    staged = stage(spark, fact, "fact")
-    staged.hint("rebalance", day).write.mode("overwrite").option(
+    held = fact if staged else stage(spark, fact, "fact")
+    held.hint("rebalance", day).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(day).parquet(path)
     if since is not None:
         stored = spark.read.schema(fact.schema).parquet(path).filter(F.col(day) >= F.lit(since))
-        gone = stored.select(day).distinct().join(staged.select(day).distinct(), day, "left_anti")
+        gone = stored.select(day).distinct().join(held.select(day).distinct(), day, "left_anti")
         for row in gone.collect():  # days, not rows of the fact
             remove_folder(spark, f"{path}/{day}={row[0].isoformat()}")
     if days is not None:
-        left = {row[0] for row in staged.select(day).distinct().collect()}
+        left = {row[0] for row in held.select(day).distinct().collect()}
         for gone in set(days) - left:
             remove_folder(spark, f"{path}/{day}={gone.isoformat()}")
 
