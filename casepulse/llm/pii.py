@@ -8,7 +8,7 @@ length; no match spans a line break.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,8 +109,8 @@ def confirmed(kind: str, match: Column) -> Column:
 SPANS = "array<struct<kind:string,start:int,end:int,score:double,match:string>>"
 
 
-def _sums(numbers: str) -> Column:
-    """The sums of what stands before each number of a column, block by block, so about linear."""
+def _sums(numbers: Column) -> Column:
+    """The sums of what stands before each number of an array, block by block, so about linear."""
     def step(state: Column, n: Column) -> Column:
         return F.struct((state["at"] + n).alias("at"), F.concat(state["sums"], F.array(state["at"])).alias("sums"))
 
@@ -127,59 +127,70 @@ def _sums(numbers: str) -> Column:
 
 
 def _matches(rows: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
-    """``rows`` with the matches (m_) in the column text and the gaps around them (g_), NULL without a match."""
+    """``rows`` with found: for each kind its matches (m) in the column text and the gaps around them (g), NULL without a match.
+
+    One column for all kinds: the code that Spark generates to carry rows on, and the memory that
+    compiling it takes, grow with the columns, and do so again with each step.
+    """
     text = F.col("text")
-    found = {f"m_{k.name}": F.when(
+    rows = settled(rows.withColumn("found", F.array(*(F.when(
         F.regexp_like(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-    ) for k in kinds}
-    rows = settled(rows.withColumns(found))
-    return settled(rows.withColumns({
-        f"g_{k.name}": F.when(F.size(f"m_{k.name}") > 0, F.split(text, k.pattern, -1)) for k in kinds
-    }))
+    ) for k in kinds))))
+
+    def parts(place: int, kind: Kind) -> Column:
+        matches = F.get("found", F.lit(place))
+        return F.when(F.size(matches) > 0, F.struct(matches.alias("m"), F.split(text, kind.pattern, -1).alias("g")))
+
+    return settled(rows.withColumn("found", F.array(*(parts(place, kind) for place, kind in enumerate(kinds)))))
+
+
+def _found(rows: DataFrame, fields: Sequence[str], build: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """``rows`` with what ``build`` makes of the fields of a kind, beside those named in ``fields``."""
+    def each(part: Column) -> Column:
+        made = {name: part[name] for name in fields} | build(part)
+        return F.when(part.isNotNull(), F.struct(*(column.alias(name) for name, column in made.items())))
 
+    return settled(rows.withColumn("found", F.transform("found", each)))
 
-def _around(rows: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
-    """``rows`` with b_ and a_: the ``NEAR`` characters before and after each match.
+
+def _around(rows: DataFrame) -> DataFrame:
+    """``rows`` with b and a: the ``NEAR`` characters before and after each match.
 
     They may go over neighbouring matches. Each is put together from as many gaps and matches as
     ``NEAR`` characters can hold, so a text takes time in proportion to its length.
     """
-    def ends(kind: Kind) -> dict[str, Column]:
-        gaps, matches, none = f"g_{kind.name}", f"m_{kind.name}", F.lit("")
+    none = F.lit("")
+
+    def ends(part: Column) -> dict[str, Column]:
+        gaps, matches = part["g"], part["m"]
         return {
-            f"b_{kind.name}": F.transform(matches, lambda m, i: F.right(F.concat(F.get(gaps, i), m), F.lit(NEAR))),
-            f"a_{kind.name}": F.transform(matches, lambda m, i: F.left(
-                F.concat(m, F.coalesce(F.get(gaps, i + 1), none)), F.lit(NEAR)
-            )),
+            "b": F.transform(matches, lambda m, i: F.right(F.concat(F.get(gaps, i), m), F.lit(NEAR))),
+            "a": F.transform(matches, lambda m, i: F.left(F.concat(m, F.coalesce(F.get(gaps, i + 1), none)), F.lit(NEAR))),
         }
 
-    def joined(kind: Kind) -> dict[str, Column]:
-        gaps, before, after = (f"{c}_{kind.name}" for c in "gba")
-        count, none = NEAR // SHORTEST, F.lit("")
+    def joined(part: Column) -> dict[str, Column]:
+        gaps, before, after = part["g"], part["b"], part["a"]
+        count = NEAR // SHORTEST
 
-        def of(pieces: str, place: Column) -> Column:
+        def of(pieces: Column, place: Column) -> Column:
             return F.coalesce(F.get(pieces, place), none)
 
         return {
-            before: F.transform(before, lambda _, i: F.right(
+            "b": F.transform(before, lambda _, i: F.right(
                 F.concat(*(of(before, i - k) for k in range(count, 0, -1)), F.get(gaps, i)), F.lit(NEAR)
             )),
-            after: F.transform(after, lambda _, i: F.left(
+            "a": F.transform(after, lambda _, i: F.left(
                 F.concat(of(gaps, i + 1), *(of(after, i + k) for k in range(1, count + 1))), F.lit(NEAR)
             )),
         }
 
-    for build in (ends, joined):
-        rows = settled(rows.withColumns({
-            name: F.when(F.col(f"g_{k.name}").isNotNull(), column) for k in kinds for name, column in build(k).items()
-        }))
-    return rows
+    return _found(_found(rows, "mg", ends), "mg", joined)
 
 
-def _score(kind: Kind, i: Column) -> Column:
+def _score(kind: Kind, part: Column, i: Column) -> Column:
     """The score of match i: that of its kind, more with a context word in the characters around it."""
     words = F.lit(rf"(?i)\b(?:{kind.context})")
-    near = F.regexp_like(F.get(f"b_{kind.name}", i), words) | F.regexp_like(F.get(f"a_{kind.name}", i), words)
+    near = F.regexp_like(F.get(part["b"], i), words) | F.regexp_like(F.get(part["a"], i), words)
     return F.lit(kind.score) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
 
 
@@ -195,28 +206,27 @@ def find_spans(docs: DataFrame, *, text_col: str = "text", as_col: str = "spans"
     spans of the kinds that are not base ones where the score is below ``LEAST``. A NULL text is
     empty. All columns of ``docs`` stay; one already named ``as_col`` is replaced. No shuffle.
     """
-    rows = _around(_matches(docs.select(F.struct("*").alias("row"), whole(text_col).alias("text")), KINDS), KINDS)
-    rows = settled(rows.withColumns({
-        f"d_{k.name}": F.when(F.col(f"g_{k.name}").isNotNull(), F.zip_with(
-            f"g_{k.name}", f"m_{k.name}", lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))
-        )) for k in KINDS
-    }))
-    rows = settled(rows.withColumns({
-        f"s_{k.name}": F.when(F.col(f"d_{k.name}").isNotNull(), _sums(f"d_{k.name}")) for k in KINDS
-    }))
-
-    def spans(kind: Kind) -> Column:
+    rows = _matches(docs.select(F.struct("*").alias("row"), whole(text_col).alias("text")), KINDS)
+    rows = _around(rows.select("row", "found"))
+    rows = _found(rows, "mgba", lambda part: {
+        "d": F.zip_with(part["g"], part["m"], lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    })
+    rows = _found(rows, "mgba", lambda part: {"s": _sums(part["d"])})
+
+    def spans(place: int, kind: Kind) -> Column:
+        part = F.get("found", F.lit(place))
+
         def span(match: Column, i: Column) -> Column:
-            start = F.get(f"s_{kind.name}", i) + F.length(F.get(f"g_{kind.name}", i))
+            start = F.get(part["s"], i) + F.length(F.get(part["g"], i))
             return F.struct(
                 F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"),
-                _score(kind, i).alias("score"), match.alias("match"),
+                _score(kind, part, i).alias("score"), match.alias("match"),
             )
 
-        taken = F.filter(F.transform(f"m_{kind.name}", span), lambda s: _taken(kind, s["match"], s["score"]))
-        return F.when(F.col(f"g_{kind.name}").isNotNull(), taken).otherwise(F.array().cast(SPANS))
+        taken = F.filter(F.transform(part["m"], span), lambda s: _taken(kind, s["match"], s["score"]))
+        return F.when(part.isNotNull(), taken).otherwise(F.array().cast(SPANS))
 
-    rows = settled(rows.select("row", F.concat(*map(spans, KINDS)).alias("spans")))
+    rows = settled(rows.select("row", F.concat(*(spans(*place) for place in enumerate(KINDS))).alias("spans")))
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != as_col]
     return rows.select(*kept, F.col("spans").alias(as_col))
 
@@ -230,7 +240,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     for kind in KINDS:
-        rows = _marked(_around(_matches(rows, [kind]), [kind]), kind)
+        rows = _marked(_around(_matches(rows, [kind])), kind)
     text, columns = F.col("text"), []
     changed = ~text.eqNullSafe(F.col(f"row.`{text_col}`"))
     for field in docs.schema:
@@ -245,11 +255,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
 def _marked(rows: DataFrame, kind: Kind) -> DataFrame:
     """row and text, with the name of the kind in place of its spans."""
-    matches, gaps = f"m_{kind.name}", f"g_{kind.name}"
+    part = F.get("found", F.lit(0))
 
     def mark(match: Column, i: Column) -> Column:
-        return F.when(_taken(kind, match, _score(kind, i)), F.lit(f"[{kind.name.upper()}]")).otherwise(match)
+        return F.when(_taken(kind, match, _score(kind, part, i)), F.lit(f"[{kind.name.upper()}]")).otherwise(match)
 
-    rows = settled(rows.withColumn("marks", F.when(F.col(gaps).isNotNull(), F.transform(matches, mark))))
-    joined = F.array_join(F.zip_with(gaps, "marks", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    rows = settled(rows.withColumn("marks", F.when(part.isNotNull(), F.transform(part["m"], mark))))
+    joined = F.array_join(F.zip_with(part["g"], "marks", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     return settled(rows.select("row", F.coalesce(joined, "text").alias("text")))
